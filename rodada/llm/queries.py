@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from rodada.llm.bpe import round_trip
 from rodada.llm.common import table
 from rodada.llm.decontaminate import contamination
+from rodada.llm.fingerprints import document_fingerprints
+from rodada.llm.html_text import page_texts
+from rodada.llm.language_id import language_id
+from rodada.llm.licenses import license_scan, license_sql
+from rodada.llm.ngram_join import jaccard_components
+from rodada.llm.suffix_dedup import remove_repeats
 from rodada.llm.token_counts import token_counts
 from rodada.llm.token_store import token_store
 
@@ -23,10 +29,34 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -36,7 +66,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op7_token_counts, op9_bpe_round_trip, op10_decontaminate)
+    f.__name__: f
+    for f in (
+        op1_token_store, op2_license_scan, op3_suffix_dedup, op4_ngram_join, op5_language_id,
+        op6_fingerprints, op7_token_counts, op8_html_text, op9_bpe_round_trip, op10_decontaminate,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_sql()}

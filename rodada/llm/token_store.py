@@ -8,7 +8,8 @@ File (little-endian): magic | blocks: words, then escapes | index | its length (
 each block, (byte offset, words, escapes, values) as int64, and for each document (doc_id, first value, values).
 
 Defined results: a null text is the empty text (only the end id); repeated doc_ids are kept as documents of their own,
-each with its own start; an empty table gives no files and no rows; other columns of the input are ignored. A document
+each with its own start; rows without doc_id have no place
+in the order and are left out; an empty table gives no files and no rows; other columns of the input are ignored. A document
 longer than a block spans blocks; memory holds one block of ids and one document.
 """
 
@@ -144,7 +145,7 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer_path: str, end_
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [name.rsplit("/", 1)[1]], "n_docs": [len(writer.docs)], "n_ids": [writer.total]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     made = ordered.mapInArrow(encode, "part int, path string, n_docs long, n_ids long").collect()  # a row a partition
     start, out = 0, []
     for r in sorted(made, key=lambda r: r["part"]):
