@@ -19,14 +19,15 @@ from rodada.llm.token_counts import token_counts
 from rodada.llm.token_store import token_store
 
 
-def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file, by name."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store(table(spark, sf_dir, "documents"), _tokenizer())
+    return token_store(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), _tokenizer())
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"), _tokenizer())
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,12 +309,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document (and kept, its remaining bytes)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document.
+
+    with_text adds kept: the remaining bytes as text, without the remains of characters that a cut went through.
+    """
     source, info = repeated_spans(docs, length, gram, id_col, text_col)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5]
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.string()]
         for batch in batches:
             for rows, strings in texts(batch, "text", 64):
                 out = []
@@ -327,8 +330,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                     gone = sum(b - a for a, b in spans)
                     edges = [0, *(e for x in spans for e in x), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else data
-                    out.append((doc_id, len(data), gone, len(spans), hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
+                    out.append((doc_id, len(data), gone, len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)], names=names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
     return source.join(info.hint("shuffle_hash"), ["doc_id", "th"]).mapInArrow(drop, schema)
