@@ -70,3 +70,50 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 def _digest(e: DataFrame) -> tuple:
     r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return (r["n"], r["h"])
+
+
+def bounded_paths(edges: DataFrame, sources: DataFrame, cap: float, targets: DataFrame | None = None, max_rounds: int = 400) -> DataFrame:
+    """Cheapest paths from each source: (query, node, dist, path), dist <= cap.
+
+    edges: (u, v, w) with w >= 0. sources: (query, node). Frontier relaxation: each round joins what improved with the
+    edges, so a round's shuffle is the frontier and not the whole state; all queries run in the same rounds. Ties go to
+    the lexicographically smaller path. targets (query, node) only selects rows at the end.
+    """
+    start = sources.select("query", "node").distinct().select("query", "node", F.lit(0.0).alias("dist"), F.array("node").alias("path"))
+    state = frontier = cut(start)
+    hop = edges.select(F.col("u").alias("node"), "v", "w")
+    for _ in range(max_rounds):
+        step = frontier.join(hop, "node").select("query", F.col("v").alias("node"), F.round(F.col("dist") + F.col("w"), 6).alias("dist"), F.concat("path", F.array("v")).alias("path")).filter(F.col("dist") <= cap)
+        best = step.groupBy("query", "node").agg(F.min(F.struct("dist", "path")).alias("new"))
+        had = state.select("query", "node", F.struct("dist", "path").alias("had"))
+        frontier = cut(best.join(had, ["query", "node"], "left").filter("had is null or new < had").select("query", "node", "new.dist", "new.path"))
+        if frontier.isEmpty():
+            break
+        state = cut(state.join(frontier.select("query", "node"), ["query", "node"], "left_anti").unionByName(frontier))
+    else:
+        raise RuntimeError("paths didn't settle")
+    return state if targets is None else state.join(targets.select("query", "node").distinct(), ["query", "node"], "left_semi")
+
+
+def first_fit(items: DataFrame, conflicts: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """The ids that a sequential greedy pass keeps: an item goes if it conflicts with an earlier item that was kept.
+
+    items: (id). conflicts: (later, earlier) directed pairs under the pass's order. Each round keeps every undecided
+    item whose earlier partners are all gone, then drops what conflicts with the kept; the result equals the pass.
+    """
+    open_ = cut(items.select("id").distinct())
+    pairs = cut(conflicts.select("later", "earlier").distinct())
+    kept = None
+    for _ in range(max_rounds):
+        held = pairs.select(F.col("later").alias("id")).distinct()
+        free = cut(open_.join(held, "id", "left_anti"))
+        kept = free if kept is None else kept.unionByName(free)
+        hit = cut(pairs.join(free.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id")).distinct())
+        open_ = cut(open_.join(free, "id", "left_anti").join(hit, "id", "left_anti"))
+        if open_.isEmpty():
+            break
+        gone = hit.unionByName(free)
+        pairs = cut(pairs.join(gone.select(F.col("id").alias("later")), "later", "left_anti").join(hit.select(F.col("id").alias("earlier")), "earlier", "left_anti"))
+    else:
+        raise RuntimeError("the greedy pass didn't settle")
+    return cut(kept)
