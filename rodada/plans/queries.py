@@ -271,7 +271,7 @@ def ordered_distinct(spark, sf_dir):
 
 # --- clustering, places --------------------------------------------------------------------------------------------
 
-_PTS = "pts AS (SELECT id, lon, lat FROM g_node WHERE (id * 7919) % 11 < 5)"
+_PTS = "pts AS (SELECT id, lon, lat FROM g_node WHERE (id * id * 31 + id * 17) % 11 < 6)"
 _NB = f"nb AS (SELECT a.id, b.id AS other FROM pts a JOIN pts b ON {_planar('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 149.0), core AS (SELECT id FROM nb GROUP BY id HAVING count(*) >= 5)"
 _DB = f"""{_PTS}, {_NB}, cc(id, other) AS (SELECT id, id FROM core UNION SELECT c.id, n.other FROM cc c JOIN nb n ON n.id=c.other JOIN core k ON k.id=n.other), lab AS (SELECT id, min(other) AS cluster FROM cc GROUP BY id),
  reach AS (SELECT l.cluster, l.id AS core, n.other FROM lab l JOIN nb n ON n.id=l.id WHERE n.other NOT IN (SELECT id FROM core)),
@@ -279,7 +279,7 @@ _DB = f"""{_PTS}, {_NB}, cc(id, other) AS (SELECT id, id FROM core UNION SELECT
 
 
 def _cluster_points(spark, sf_dir):
-    return fixture(spark, sf_dir, "node").filter("(id * 7919) % 11 < 5")
+    return fixture(spark, sf_dir, "node").filter("(id * id * 31 + id * 17) % 11 < 6")
 
 
 @query(f"WITH RECURSIVE {ctes('node')}, {_DB} SELECT cluster, id, is_core FROM mem")
@@ -295,6 +295,18 @@ def cluster_stats(spark, sf_dir):
     return s.select("cluster", F.col("rank").cast("long").alias("rank"), "node_count", F.round("mean_lon", 5).alias("mean_lon"), F.round("mean_lat", 5).alias("mean_lat"), F.round("max_m", 1).alias("max_m"), scores.need_score(F.col("node_count"), F.col("mean_m"), F.col("cluster") % 5).alias("need"))
 
 
+@query()
+def expansion_plan(spark, sf_dir):
+    """Up to three phases over the part of the lattice that its ways leave under-served."""
+    from rodada.operators.expansion import plan_expansion
+
+    nodes, edges = fixture(spark, sf_dir, "node"), road_edges(spark, sf_dir)
+    keep = (F.col("is_cycling_infra") & (F.col("u") < 100)) | ~F.col("is_cycling_infra")
+    plan = plan_expansion("lattice", nodes, edges.filter(keep), fixture(spark, sf_dir, "poi"), COS_LAT, 3)
+    names = ("phase", "phase_id", "sector", "alt_type", "expansion_type", "urban_context", "length_m", "length_km", "new_nodes", "new_pois", "total_score", "cum_km", "cum_nodes", "cum_pois")
+    return plan.select(*names) if plan is not None else spark.createDataFrame([], "phase int, phase_id string, sector string, alt_type string, expansion_type string, urban_context string, length_m double, length_km double, new_nodes long, new_pois long, total_score double, cum_km double, cum_nodes long, cum_pois long")
+
+
 @query()
 def poi_dedup(spark, sf_dir):
     return pois.deduplicate_pois(fixture(spark, sf_dir, "poi"), COS_LAT)
@@ -355,12 +367,12 @@ def topology_type(spark, sf_dir):
     return y.select("id", "role", "phases", scores.continuity_score(F.col("role"), F.col("phases"), F.col("st"), F.col("axis"), F.col("ctx")).alias("continuity"))
 
 
-@query("""WITH x AS (SELECT o_orderkey AS id, CAST(o_orderkey % 400 AS DOUBLE) AS nn, CAST(o_orderkey % 12 AS DOUBLE) AS np, 500.37e0 + o_orderkey % 3000 AS len, 12.5e0 AS cont, 5.0e0 + (o_orderkey % 51) / 10.0e0 AS ax FROM orders),
+@query("""WITH x AS (SELECT o_orderkey AS id, CAST(o_orderkey % 400 + 1 AS DOUBLE) AS nn, CAST(o_orderkey % 12 AS DOUBLE) AS np, (o_orderkey % 400 + 1) * 1000.0e0 / (10.1e0 + (o_orderkey % 50) * 1.8e0) AS len, 12.5e0 AS cont, 5.0e0 + (o_orderkey % 51) / 10.0e0 AS ax FROM orders),
  y AS (SELECT *, round(nn/greatest(len/1000.0e0,0.1e0),1) AS eff FROM x)
  SELECT id, round(least(35.0, nn/250.0e0*35.0e0),1) AS s_cov, round(least(25.0, np/8.0e0*25.0e0),1) AS s_poi, round(least(10.0, eff/180.0e0*10.0e0),1) AS s_eff, round(least(35.0, nn/250.0e0*35.0e0)+least(25.0, np/8.0e0*25.0e0)+cont+ax+least(10.0, eff/180.0e0*10.0e0),1) AS total_score FROM y""")
 def expansion_scores(spark, sf_dir):
     k = F.col("o_orderkey")
-    x = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"), (k % 400).cast("double").alias("nn"), (k % 12).cast("double").alias("np"), (k % 3000 + 500.37).alias("len"), (k % 51 / 10 + 5.0).alias("ax"))
+    x = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"), (k % 400 + 1).cast("double").alias("nn"), (k % 12).cast("double").alias("np"), ((k % 400 + 1) * 1000.0 / (k % 50 * 1.8 + 10.1)).alias("len"), (k % 51 / 10 + 5.0).alias("ax"))
     return x.select("id", scores.expansion_scores(F.col("nn"), F.col("np"), F.col("len"), F.lit(12.5), F.col("ax")).alias("s")).select("id", "s.*")
 
 
