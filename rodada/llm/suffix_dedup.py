@@ -38,7 +38,7 @@ from rodada.llm.common import free_shuffles, materialize, texts
 LENGTH, GRAM = 200, 64
 SLICE = 1 << 18
 PIECE = 2048
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def _byte_table() -> np.ndarray:
@@ -112,23 +112,27 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def repeated_windows(pieces: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For each piece of bytes, whether the window at each start (len - length + 1 of them) occurs elsewhere too."""
+def repeated_windows(pieces: list[np.ndarray], length: int, groups: bool = False):
+    """For each piece of bytes, whether the window at each start (len - length + 1 of them) occurs elsewhere too.
+
+    With groups also, for each window, a number that equal windows share.
+    """
     m = len(pieces)
     sizes = np.array([len(p) for p in pieces], np.int64)
     n = int(sizes.sum()) + m
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    text = np.empty(n, np.int64)
+    text = np.empty(n, np.int32)
     text[ends] = np.arange(m)
     inside = np.ones(n, np.bool_)
     inside[ends] = False
-    text[inside] = np.concatenate(pieces).astype(np.int64) + m
+    text[inside] = np.concatenate(pieces).astype(np.int32) + m
     sa = suffix_array(text)
     before = text[sa - 1]  # the Burrows-Wheeler transform
-    lf = np.empty(n, np.int64)
-    lf[np.argsort(before, kind="stable")] = np.arange(n)
+    lf = np.empty(n, np.int32)
+    lf[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
     first = text[sa]
+    before = before >= m  # only whether it is a byte is asked for from here on
     known = np.zeros(n + 1, np.bool_)  # borders that have their common-prefix length
     known[: m + 1] = known[n] = True
     owner = np.zeros(n, np.int32)
@@ -139,7 +143,7 @@ def repeated_windows(pieces: list[np.ndarray], length: int) -> list[np.ndarray]:
         size = hi - lo + 1
         at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
         which = np.repeat(np.arange(len(lo), dtype=np.int32), size)
-        real = before[at] >= m
+        real = before[at]
         to = lf[at[real]]
         owner[to] = which[real]
         to.sort()
@@ -157,7 +161,12 @@ def repeated_windows(pieces: list[np.ndarray], length: int) -> list[np.ndarray]:
     twice = np.zeros(n, np.bool_)
     twice[sa[1:][same]] = True
     twice[sa[:-1][same]] = True
-    return [twice[a : a + max(0, s - length + 1)] for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    cut = lambda x: [x[a : a + max(0, s - length + 1)] for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    if not groups:
+        return cut(twice)
+    number = np.empty(n, np.int32)
+    number[sa] = np.concatenate(([0], np.cumsum(~same)))
+    return cut(twice), cut(number)
 
 
 def runs(flags: np.ndarray, offset: int = 0) -> list[tuple[int, int]]:
@@ -245,22 +254,23 @@ def _search(source: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                 by_doc.setdefault((x["doc_id"], x["th"]), []).append((x["start"], x["bytes"]))
             hot, lead = held[-1]["hot"], held[-1]["lead"]
             pieces = [(d, at, piece) for d, parts in by_doc.items() for at, piece in joined(parts, length)]
-            flags = repeated_windows([np.frombuffer(x, np.uint8) for _, _, x in pieces], length)
-            pivot = {x[k : k + length] for d, _, x in pieces if hot and d[0] == lead for k in range(len(x) - length + 1)}
-            found: dict[tuple, tuple[list, list]] = {}
-            told: set[bytes] = set()
-            for (d, start, x), f in zip(pieces, flags, strict=True):
-                starts, open_ = found.setdefault(d, ([], []))
-                starts += [{"a": a, "b": b} for a, b in runs(f, start)]
-                if hot and d[0] != lead:
-                    for k in range(len(f)):
-                        w = x[k : k + length]
-                        if not f[k]:
-                            open_.append({"w": hashlib.blake2b(w, digest_size=16).digest(), "at": start + k})
-                        elif w not in pivot and w not in told:
-                            told.add(w)
-                            open_.append({"w": hashlib.blake2b(w, digest_size=16).digest(), "at": -1})
-            rows = [(*d, lead, s, o) for d, (s, o) in found.items() if s or o]
+            arrays = [np.frombuffer(x, np.uint8) for _, _, x in pieces]
+            flags, numbers = repeated_windows(arrays, length, True) if hot else (repeated_windows(arrays, length), None)
+            starts: dict[tuple, list] = {}
+            for (d, start, _), f in zip(pieces, flags, strict=True):
+                starts.setdefault(d, []).extend({"a": a, "b": b} for a, b in runs(f, start))
+            open_: dict[tuple, list] = {}
+            if hot:  # the leader is in every block: what equals it is settled; of other equal windows one is told of
+                settled = np.unique(np.concatenate([g for (d, _, _), g in zip(pieces, numbers, strict=True) if d[0] == lead] or [np.zeros(0, np.int32)]))
+                for (d, start, x), f, g in zip(pieces, flags, numbers, strict=True):
+                    if d[0] != lead:
+                        new = np.flatnonzero(~f)
+                        told, where = np.unique(g[f], return_index=True)
+                        old = np.flatnonzero(f)[where[~np.isin(told, settled)]]
+                        settled = np.union1d(settled, told)
+                        open_.setdefault(d, []).extend({"w": hashlib.blake2b(x[k : k + length], digest_size=16).digest(), "at": start + k} for k in new.tolist())
+                        open_[d].extend({"w": hashlib.blake2b(x[k : k + length], digest_size=16).digest(), "at": -1} for k in old.tolist())
+            rows = [(*d, lead, s, open_.get(d, [])) for d, s in starts.items() if s or open_.get(d)]
             held.clear()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
