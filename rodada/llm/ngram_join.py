@@ -8,7 +8,8 @@ Steps, all of them exact for the threshold:
    sample shows to be frequent last, then by hash. Two sets that reach the threshold share a prefix shingle. The
    smallest class of a shingle leads the cell of all classes that have it in their prefix; two linked classes are
    together in at least one cell. Neither step gathers a shingle's rows: a minimum, and a join that can split skew.
-3. Each cell is searched: an inverted index over its sets, and for a query set the T-occurrence problem solved the
+3. T-occurrence over prefixes alone drops the members of a cell that can't reach the threshold with any other, so that
+   whole sets are only moved for likely links. Then each cell is searched: an inverted index over its sets, and for a query set the T-occurrence problem solved the
    DivideSkip way: the L longest lists are put aside, the short ones are merged counting occurrences, and what reaches
    T - L is looked up in the long lists by binary search; what reaches T is compared exactly. Only connectivity is
    asked for, so a member needs no query once all members that weren't queried are in one component.
@@ -159,8 +160,17 @@ def link_cell(sets: list[np.ndarray], percent: int, asked: list[bool] | None = N
                 root[root == root[x]] = root[q]
 
 
+def ordered(shingles: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The shingles' order keys, ascending: frequent ones (in the sorted array late) after all others, then by hash."""
+    key = shingles >> np.uint64(1)
+    if len(late):
+        at = np.minimum(np.searchsorted(late, shingles), len(late) - 1)
+        key = key | ((late[at] == shingles).astype(np.uint64) << np.uint64(63))
+    return np.sort(key)
+
+
 def _sets(docs: DataFrame, size: int, percent: int, heavy) -> DataFrame:
-    """doc_id, n, k1, k2 (hash of the set), prefix."""
+    """doc_id, n, k1, k2 (hash of the set), prefix (order keys, ascending)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -176,8 +186,7 @@ def _sets(docs: DataFrame, size: int, percent: int, heavy) -> DataFrame:
                     k1.append(int(digest[0]))
                     k2.append(int(digest[1]))
                     if len(x):
-                        is_late = np.isin(x, late)
-                        x = np.concatenate([x[~is_late], x[is_late]])[: len(x) - needed(len(x), percent) + 1]
+                        x = ordered(x, late)[: len(x) - needed(len(x), percent) + 1]
                     prefix.append(x.view(np.int64))
                 offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
@@ -202,6 +211,57 @@ def _frequent(docs: DataFrame, size: int, sample_docs: int, least: int, most: in
     return docs.sparkSession.sparkContext.broadcast(np.sort(found))
 
 
+def promising(members: list[tuple[int, int, np.ndarray]], percent: int) -> np.ndarray:
+    """Which members of a cell may be linked, judged by prefixes: members are (set size, prefix's last key, keys shared).
+
+    Up to the smaller last key v, both prefixes show all of their sets. If v is r's, an overlap has the common keys and
+    at most what r has after its prefix; so a pair needs as many common keys as the overlap lacks otherwise.
+    """
+    n = np.array([m[0] for m in members], np.int64)
+    rest = np.array([needed(m[0], percent) - 1 for m in members], np.int64)  # set size less prefix length
+    last = np.array([m[1] for m in members], np.int64).view(np.uint64)
+    keys = np.concatenate([m[2] for m in members])
+    owner = np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    out = np.zeros(len(members), np.bool_)
+    for q, (size, _, mine) in enumerate(members):
+        first, end = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
+        posted = owner[np.repeat(first, end - first) + _within(end - first)]
+        common = np.bincount(posted, minlength=len(members))
+        common[q] = 0
+        lack = -(-percent * (size + n) // (100 + percent)) - np.where(last[q] <= last, rest[q], rest)
+        fits = (n * 100 >= size * percent) & (n * percent <= size * 100)
+        out[q] = bool(((common >= np.maximum(lack, 1)) & fits).any())
+    return out
+
+
+def _promising_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """(lead, cls) that prefixes don't rule out, from rows (cls, n, last, keys, lead) of cells of bounded size."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                keep = promising([x[1:] for x in held], percent)
+                if keep.any():
+                    names = [x[0] for x, k in zip(held, keep, strict=True) if k]
+                    yield pa.RecordBatch.from_arrays([pa.array([lead] * len(names), pa.int64()), pa.array(names, pa.int64())], names=["lead", "cls"])
+
+        for batch in batches:
+            keys = batch.column("keys")
+            for k, (to, *x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lead", "cls", "n", "last")), strict=True)):
+                if to != lead:
+                    yield from done()
+                    lead, held = to, []
+                held.append((*x, keys[k].values.to_numpy().astype(np.int64)))
+        yield from done()
+
+    return rows.repartition(parts, "lead").sortWithinPartitions("lead").mapInArrow(judge, "lead long, cls long")
+
+
 def _search_cells(docs: DataFrame, work: DataFrame, size: int, percent: int, asked: bool) -> DataFrame:
     """Links (src, dst) from work rows (cls, lead, block, portion, asked): each (lead, block, portion) is one search."""
     spark = docs.sparkSession
@@ -254,16 +314,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     firsts = made.join(classes.hint("shuffle_hash"), ["k1", "k2", "n"]).filter("doc_id = cls")
     rows = firsts.select("cls", F.explode("prefix").alias("h"))
     leaders = rows.groupBy("h").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).filter("lead < last").select("h", "lead")
-    cells = materialize(rows.join(leaders, "h").select("lead", "cls").distinct())
-    sizes = cells.groupBy("lead").agg(F.count("*").alias("m"))
-    dealt = cells.join(sizes, "lead").withColumn("blocks", F.ceil(F.col("m") / cell_cap).cast("int"))
+    shared = materialize(rows.join(leaders, "h"))
+    cells = shared.select("lead", "cls").distinct()
+    sizes = materialize(cells.groupBy("lead").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / cell_cap).cast("int")))
+    per_class = shared.groupBy("cls").agg(F.collect_list("h").alias("keys"), F.collect_set("lead").alias("leads"))  # bounded by a prefix
+    described = firsts.select("cls", "n", F.element_at("prefix", -1).alias("last")).join(per_class, "cls")
+    small = described.select("cls", "n", "last", "keys", F.explode("leads").alias("lead")).join(sizes.filter("blocks = 1").select("lead"), "lead")
+    kept = materialize(_promising_cells(small, percent))
+    dealt = materialize(cells.join(sizes.filter("blocks > 1"), "lead"))
     place = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    is_pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(7), F.col("cls")), F.col("m")) < pivots)
+    is_pivot = F.pmod(F.xxhash64(F.lit(7), F.col("cls")), F.col("m")) < pivots
     blocks = F.when(is_pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(place))
-    work = dealt.select("cls", "lead", F.explode(blocks).alias("block"), F.lit(0).alias("portion"), F.lit(False).alias("asked"))
+    work = dealt.select("cls", "lead", F.explode(blocks).alias("block")).unionByName(kept.select("cls", "lead", F.lit(0).alias("block")))
+    work = work.withColumns({"portion": F.lit(0), "asked": F.lit(False)})
     links = materialize(_search_cells(source, work, size, percent, False).distinct())
     parts = connected_components(links)
-    hot = materialize(dealt.filter("blocks > 1").withColumn("block", place))
+    hot = dealt.withColumn("block", place)
     if not hot.isEmpty():
         labelled = hot.join(parts, hot["cls"] == parts["node"], "left").select("cls", "lead", "block", "blocks", F.coalesce("component", "cls").alias("component"))
         counts = labelled.groupBy("lead", "component").agg(F.count("*").alias("c"))
