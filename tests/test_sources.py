@@ -82,7 +82,7 @@ def test_graph_document(spark, tmp_path):
 
 def test_build_city(spark, elements, tmp_path):
     out = build_city(spark, "x", str(tmp_path / "e.json"), str(tmp_path / "out"), 0.82, 2)
-    assert out["cycleways"] == 2 and out["nodes"] == 3 and out["components"] == 1 and out["places"] == 1
+    assert out["cycleways"] == 2 and out["nodes"] == 3 and out["components"] == 1 and out["places"] == 2
     assert spark.read.text(str(tmp_path / "out" / "x" / "cycling-infrastructure")).count() == 2
 
 
