@@ -93,13 +93,15 @@ def _neighbours(keys: DataFrame) -> DataFrame:
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.char_length(text).cast("long").alias("n_chars"), text.alias("text")).filter("doc_id is not null")
-    order = materialize(_neighbours(whole.drop("text")))
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).filter("doc_id is not null")
+    size = F.char_length("text").cast("long").alias("n_chars")
+    order = materialize(_neighbours(whole.select("doc_id", "th", size)))
     need = F.col("n_chars").cast("long") - F.ceil(F.col("n_chars") / 2)  # floor(n / 2)
     wanted = order.select(F.col("next_doc").alias("doc_id"), F.col("next_th").alias("th"), F.col("doc_id").alias("to_doc"), F.col("th").alias("to_th"), need.alias("need"))
     half = whole.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]).select(F.col("to_doc").alias("doc_id"), F.col("to_th").alias("th"), F.expr("substring(text, 1, cast(need as int))").alias("tail"))
     edited = F.concat(F.expr("substring(text, 1, cast(ceil(n_chars / 2) as int))"), F.col("tail"))
-    both = whole.join(half, ["doc_id", "th"]).select("doc_id", "th", "n_chars", "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
+    # both joins read the same columns of whole, so that its exchange is made once
+    both = whole.join(half, ["doc_id", "th"]).select("doc_id", "th", size, "text", "tail").select("doc_id", "th", "n_chars", "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
     forms = both.select("doc_id", "th", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("t")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("t")))).alias("v"))
     units = forms.select("doc_id", "th", "n_chars", "edited_sha256", F.col("v.form").alias("form"), F.posexplode(F.split("v.t", PARAGRAPH_END)).alias("pos", "unit"))
     sums = paragraph_sums(F.col("unit"))
