@@ -160,6 +160,25 @@ def link_cell(sets: list[np.ndarray], percent: int, asked: list[bool] | None = N
                 root[root == root[x]] = root[q]
 
 
+def star_links(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each linked member with the first of its component: what the links connect, in one step."""
+    root = list(range(n))
+    for a, b in links:
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        root[max(a, b)] = min(a, b)
+    out = []
+    for x in range(n):
+        top = x
+        while root[top] != top:
+            top = root[top]
+        if top != x:
+            out.append((top, x))
+    return out
+
+
 def ordered(shingles: np.ndarray, late: np.ndarray) -> np.ndarray:
     """The shingles' order keys, ascending: frequent ones (in the sorted array late) after all others, then by hash."""
     key = shingles >> np.uint64(1)
@@ -211,33 +230,42 @@ def _frequent(docs: DataFrame, size: int, sample_docs: int, least: int, most: in
     return docs.sparkSession.sparkContext.broadcast(np.sort(found))
 
 
-def promising(members: list[tuple[int, int, np.ndarray]], percent: int) -> np.ndarray:
-    """Which members of a cell may be linked, judged by prefixes: members are (set size, prefix's last key, keys shared).
+def promising(members: list[tuple[int, int, np.ndarray, np.ndarray]], percent: int) -> np.ndarray:
+    """Which members of a cell may be linked, judged by prefixes.
 
-    Up to the smaller last key v, both prefixes show all of their sets. If v is r's, an overlap has the common keys and
-    at most what r has after its prefix; so a pair needs as many common keys as the overlap lacks otherwise.
+    Members are (set size, prefix's last key, keys shared with others, their places in the set's order from 1). Let v
+    be the smaller of two last keys: the overlap is what is common up to v, which both prefixes show, and at most what
+    either set has after v. The one whose prefix ends at v has its prefix before; the other at least the place of its
+    last shared key up to v.
     """
-    n = np.array([m[0] for m in members], np.int64)
-    rest = np.array([needed(m[0], percent) - 1 for m in members], np.int64)  # set size less prefix length
-    last = np.array([m[1] for m in members], np.int64).view(np.uint64)
-    keys = np.concatenate([m[2] for m in members])
-    owner = np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
+    m = len(members)
+    n = np.array([x[0] for x in members], np.int64)
+    prefix = n - np.array([needed(x[0], percent) - 1 for x in members], np.int64)
+    last = np.array([x[1] for x in members], np.int64).view(np.uint64)
+    keys = np.concatenate([x[2] for x in members])
+    owner = np.repeat(np.arange(m), [len(x[2]) for x in members])
+    before = np.empty((m, m), np.int64)  # [s, q]: members of s up to q's last key, at least
+    for s, (_, _, own, places) in enumerate(members):
+        before[s] = np.concatenate(([0], places))[np.searchsorted(own, last, side="right")]
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
-    out = np.zeros(len(members), np.bool_)
-    for q, (size, _, mine) in enumerate(members):
+    out = np.zeros(m, np.bool_)
+    for q, (size, _, mine, _) in enumerate(members):
         first, end = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
         posted = owner[np.repeat(first, end - first) + _within(end - first)]
-        common = np.bincount(posted, minlength=len(members))
+        common = np.bincount(posted, minlength=m)
         common[q] = 0
-        lack = -(-percent * (size + n) // (100 + percent)) - np.where(last[q] <= last, rest[q], rest)
+        mine_first = last[q] <= last
+        after_q = size - np.where(mine_first, prefix[q], before[q])
+        after_s = n - np.where(mine_first, before[:, q], prefix)
+        need = -(-percent * (size + n) // (100 + percent))
         fits = (n * 100 >= size * percent) & (n * percent <= size * 100)
-        out[q] = bool(((common >= np.maximum(lack, 1)) & fits).any())
+        out[q] = bool(((common > 0) & (common + np.minimum(after_q, after_s) >= need) & fits).any())
     return out
 
 
 def _promising_cells(rows: DataFrame, percent: int) -> DataFrame:
-    """(lead, cls) that prefixes don't rule out, from rows (cls, n, last, keys, lead) of cells of bounded size."""
+    """(lead, cls) that prefixes don't rule out, from rows (cls, n, last, keys, lead) of cells of bounded size; keys are structs (h, place)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +280,14 @@ def _promising_cells(rows: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             keys = batch.column("keys")
+            starts, h, place = keys.offsets.to_numpy(), keys.values.field("h").to_numpy().view(np.uint64), keys.values.field("place").to_numpy()
             for k, (to, *x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lead", "cls", "n", "last")), strict=True)):
                 if to != lead:
                     yield from done()
                     lead, held = to, []
-                held.append((*x, keys[k].values.to_numpy().astype(np.int64)))
+                mine, at = h[starts[k] : starts[k + 1]], place[starts[k] : starts[k + 1]]
+                order = np.argsort(mine)
+                held.append((*x, mine[order], at[order].astype(np.int64)))
         yield from done()
 
     return rows.repartition(parts, "lead").sortWithinPartitions("lead").mapInArrow(judge, "lead long, cls long")
@@ -287,8 +318,9 @@ def _search_cells(docs: DataFrame, work: DataFrame, size: int, percent: int, ask
             if len(held) > 1:
                 names = sorted(held)
                 links = link_cell([np.frombuffer(m, np.uint64) for _, m in names], percent, [held[x] for x in names] if asked else None)
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([names[a][0] for a, _ in links], pa.int64()), pa.array([names[b][0] for _, b in links], pa.int64())], names=["src", "dst"])
+                stars = [(names[a][0], names[b][0]) for a, b in star_links(len(names), links)]
+                if stars:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*stars, strict=True)], names=["src", "dst"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("lead", "block", "portion")), strict=True))
@@ -312,12 +344,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     made = materialize(_sets(source, size, percent, heavy))
     classes = materialize(made.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("cls")))
     firsts = made.join(classes.hint("shuffle_hash"), ["k1", "k2", "n"]).filter("doc_id = cls")
-    rows = firsts.select("cls", F.explode("prefix").alias("h"))
+    rows = firsts.select("cls", F.posexplode("prefix").alias("place", "h"))
     leaders = rows.groupBy("h").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).filter("lead < last").select("h", "lead")
     shared = materialize(rows.join(leaders, "h"))
     cells = shared.select("lead", "cls").distinct()
     sizes = materialize(cells.groupBy("lead").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / cell_cap).cast("int")))
-    per_class = shared.groupBy("cls").agg(F.collect_list("h").alias("keys"), F.collect_set("lead").alias("leads"))  # bounded by a prefix
+    per_class = shared.groupBy("cls").agg(F.collect_list(F.struct("h", (F.col("place") + 1).alias("place"))).alias("keys"), F.collect_set("lead").alias("leads"))  # bounded by a prefix
     described = firsts.select("cls", "n", F.element_at("prefix", -1).alias("last")).join(per_class, "cls")
     small = described.select("cls", "n", "last", "keys", F.explode("leads").alias("lead")).join(sizes.filter("blocks = 1").select("lead"), "lead")
     kept = materialize(_promising_cells(small, percent))
