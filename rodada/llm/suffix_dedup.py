@@ -15,8 +15,9 @@ are judged on the input. Steps:
    that precedes it (LF mapping) and so derives the common-prefix lengths of neighbouring suffixes by increasing value:
    an interval's right border gets the round's length if it had none, and only then stays open. After `length` rounds
    the borders without a value are those whose neighbours share `length` bytes or more: repeated windows.
-5. Hot cells only: windows unique in their block are compared with those of the cell's other blocks by their 128-bit
-   hash, counted with map-side combining. No group is gathered.
+5. Hot cells only: windows unique in their block, of which a gram of nine tenths of their length is somewhere else in
+   the cell too, are compared with those of the cell's other blocks by their 128-bit hash, counted with map-side
+   combining. No group is gathered.
 6. Windows become spans of bytes; each document drops the union of its spans.
 
 Defined results: null is the empty text; texts under `length` bytes lose nothing; rows that repeat a doc_id and text
@@ -70,8 +71,8 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, gram hashes) of the grams that some window of `length` bytes names. data has under 2^24 bytes."""
+def named_grams(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the gram that each window of `length` bytes names, all grams' hashes). data has under 2^24 bytes."""
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hashes(data, gram)
@@ -83,7 +84,13 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         size *= 2
     if size < width:
         key = np.minimum(key[: len(key) - (width - size)], key[width - size :])
-    at = np.unique((key & low).astype(np.int64))
+    return (key & low).astype(np.int64), h
+
+
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the grams that some window names."""
+    at, h = named_grams(data, length, gram)
+    at = np.unique(at)
     return at, h[at]
 
 
@@ -220,7 +227,7 @@ def _anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _search(source: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
     """Per block: (doc_id, th, starts array<struct<a,b>>) of repeated windows; and for hot cells rows of window hashes."""
-    reach = length - gram
+    reach, long_gram = length - gram, max(1, length - length // 10)
     n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +248,7 @@ def _search(source: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("lead", pa.int64()), ("starts", span), ("open", pa.list_(pa.struct([("w", pa.binary()), ("at", pa.int32())])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("lead", pa.int64()), ("starts", span), ("open", pa.list_(pa.struct([("w", pa.binary()), ("at", pa.int32()), ("g", pa.int64())])))])
         held: list[tuple] = []
         size, key = 0, None
 
@@ -268,8 +275,11 @@ def _search(source: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                         told, where = np.unique(g[f], return_index=True)
                         old = np.flatnonzero(f)[where[~np.isin(told, settled)]]
                         settled = np.union1d(settled, told)
-                        open_.setdefault(d, []).extend({"w": hashlib.blake2b(x[k : k + length], digest_size=16).digest(), "at": start + k} for k in new.tolist())
-                        open_[d].extend({"w": hashlib.blake2b(x[k : k + length], digest_size=16).digest(), "at": -1} for k in old.tolist())
+                        at, h = named_grams(np.frombuffer(x, np.uint8), length, long_gram)
+                        g = h.view(np.int64)[at] if len(at) else at
+                        tell = lambda k, place: {"w": hashlib.blake2b(x[k : k + length], digest_size=16).digest(), "at": place, "g": int(g[k])}  # noqa: B023, E731
+                        open_.setdefault(d, []).extend(tell(k, start + k) for k in new.tolist())
+                        open_[d].extend(tell(k, -1) for k in old.tolist())
             rows = [(*d, lead, s, open_.get(d, [])) for d, s in starts.items() if s or open_.get(d)]
             held.clear()
             if rows:
@@ -287,7 +297,7 @@ def _search(source: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
 
     cuts = source.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]).mapInArrow(cut, f"lead long, block int, {_KEY}, start int, hot boolean, bytes binary")
     together = cuts.repartition(n, "lead", "block").sortWithinPartitions("lead", "block")
-    return together.mapInArrow(search, f"{_KEY}, lead long, starts array<struct<a:int,b:int>>, open array<struct<w:binary,at:int>>")
+    return together.mapInArrow(search, f"{_KEY}, lead long, starts array<struct<a:int,b:int>>, open array<struct<w:binary,at:int,g:bigint>>")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -308,7 +318,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     wanted = dealt.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lead", "part", (F.col("n") > 1).alias("hot"), blocks.alias("blocks"), "at")).alias("jobs"))
     made = materialize(_search(source, wanted, length, gram))
     starts = made.select("doc_id", "th", F.explode("starts").alias("s"))
-    open_ = made.select("doc_id", "th", "lead", F.explode("open").alias("o")).select("doc_id", "th", "lead", F.col("o.w").alias("w"), F.col("o.at").alias("at"))
+    # equal windows name equal long grams: a window of which that gram is nowhere else in the cell is alone
+    grams = made.select("doc_id", "th", "lead", F.explode(F.array_distinct(F.transform("open", lambda x: x["g"]))).alias("g"))
+    shared = grams.join(grams.groupBy("lead", "g").agg(F.count("*").alias("c")).filter("c > 1").select("lead", "g"), ["lead", "g"]).groupBy("doc_id", "th", "lead").agg(F.collect_set("g").alias("gs"))
+    left = made.filter(F.size("open") > 0).join(shared, ["doc_id", "th", "lead"]).select("doc_id", "th", "lead", F.filter("open", lambda x: F.array_contains("gs", x["g"])).alias("open"))
+    open_ = materialize(left.select("doc_id", "th", "lead", F.explode("open").alias("o")).select("doc_id", "th", "lead", F.col("o.w").alias("w"), F.col("o.at").alias("at")))
     often = open_.groupBy("lead", "w").agg(F.count("*").alias("c")).filter("c > 1").select("lead", "w")
     late = open_.filter("at >= 0").join(often, ["lead", "w"]).select("doc_id", "th", F.struct("at", (F.col("at") + 1).alias("b")).alias("s"))
     marks = starts.select("doc_id", "th", "s.a", "s.b").unionByName(late.select("doc_id", "th", F.col("s.at").alias("a"), "s.b")).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
