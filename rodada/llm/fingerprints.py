@@ -97,21 +97,23 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     size = F.char_length("text").cast("long").alias("n_chars")
     order = materialize(_neighbours(whole.select("doc_id", "th", size)))
     need = F.col("n_chars").cast("long") - F.ceil(F.col("n_chars") / 2)  # floor(n / 2)
-    wanted = order.select(F.col("next_doc").alias("doc_id"), F.col("next_th").alias("th"), F.col("doc_id").alias("to_doc"), F.col("th").alias("to_th"), need.alias("need"))
-    half = whole.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]).select(F.col("to_doc").alias("doc_id"), F.col("to_th").alias("th"), F.expr("substring(text, 1, cast(need as int))").alias("tail"))
+    wanted = order.select(F.col("next_doc").alias("doc_id"), F.col("next_th").alias("th"), F.col("doc_id").alias("to_doc"), F.col("th").alias("to_th"), need.alias("need"), "copies", F.col("next_doc").alias("to_next"), F.col("next_th").alias("to_next_th"))
+    half = whole.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]).select(F.col("to_doc").alias("doc_id"), F.col("to_th").alias("th"), F.expr("substring(text, 1, cast(need as int))").alias("tail"), "copies", F.col("to_next").alias("next_doc"), F.col("to_next_th").alias("next_th"))
     edited = F.concat(F.expr("substring(text, 1, cast(ceil(n_chars / 2) as int))"), F.col("tail"))
+    names = ["doc_id", "th", "n_chars", "copies", "next_doc", "next_th"]
     # both joins read the same columns of whole, so that its exchange is made once
-    both = whole.join(half, ["doc_id", "th"]).select("doc_id", "th", size, "text", "tail").select("doc_id", "th", "n_chars", "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
-    forms = both.select("doc_id", "th", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("t")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("t")))).alias("v"))
-    units = forms.select("doc_id", "th", "n_chars", "edited_sha256", F.col("v.form").alias("form"), F.posexplode(F.split("v.t", PARAGRAPH_END)).alias("pos", "unit"))
+    both = whole.join(half, ["doc_id", "th"]).select(*names[:2], size, *names[3:], "text", "tail").select(*names, "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
+    names += ["edited_sha256"]
+    forms = both.select(*names, F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("t")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("t")))).alias("v"))
+    units = forms.select(*names, F.col("v.form").alias("form"), F.posexplode(F.split("v.t", PARAGRAPH_END)).alias("pos", "unit"))
     sums = paragraph_sums(F.col("unit"))
-    made = units.groupBy("doc_id", "th", "n_chars", "edited_sha256", "form").agg(*(s.alias(f"s{k}") for k, s in enumerate(sums)), F.sum((F.col("pos") == 0).cast("long")).alias("times"))
+    made = units.groupBy(*names, "form").agg(*(s.alias(f"s{k}") for k, s in enumerate(sums)), F.sum((F.col("pos") == 0).cast("long")).alias("times"))
     # rows that repeat were summed together `times` times
-    once = made.select("doc_id", "th", "n_chars", "edited_sha256", "form", F.array(*(F.expr(f"s{k} div times") for k in range(len(sums) - 1))).alias("packed"), F.expr(f"s{len(sums) - 1} div times").alias("n"))
+    once = made.select(*names, "form", F.array(*(F.expr(f"s{k} div times") for k in range(len(sums) - 1))).alias("packed"), F.expr(f"s{len(sums) - 1} div times").alias("n"))
     form = lambda k: F.first(F.when(F.col("form") == k, F.struct("packed", "n")), ignorenulls=True)
-    pair = materialize(once.groupBy("doc_id", "th", "n_chars", "edited_sha256").agg(form(0).alias("own"), form(1).alias("changed")))
+    pair = materialize(once.groupBy(*names).agg(form(0).alias("own"), form(1).alias("changed")))
     following = pair.select(F.col("doc_id").alias("next_doc"), F.col("th").alias("next_th"), F.col("own").alias("following"))
-    joined = pair.join(order.drop("n_chars"), ["doc_id", "th"]).join(following, ["next_doc", "next_th"])
+    joined = pair.join(following, ["next_doc", "next_th"])
     lanes = joined.select("doc_id", "n_chars", "edited_sha256", "copies", *(x for c in ("own", "changed", "following") for x in (lanes_of(F.col(f"{c}.packed")).alias(c), F.col(f"{c}.n").alias(f"n_{c}"))))
     out = lanes.select(
         "doc_id", "n_chars", "edited_sha256", "copies",
