@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable
 
 _BAD_SPACE = re.compile(r" (?!\S)")
@@ -22,17 +23,34 @@ def pieces(text: str) -> list[str]:
     return text.split(" ") if _BAD_SPACE.search(text) is None else _CUT.split(text)
 
 
+#: A mark after letters is a pre-token of its own.
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~")
+
+
 class PieceCache(dict):
-    """piece -> value of ' ' + piece. Bounded: emptied when `limit` entries are reached; long pieces aren't kept."""
+    """piece -> value of prefix + piece, for values that add up over pre-tokens (ids, counts).
+
+    Bounded by two generations of `limit` entries: when the young one is full it becomes the old one, whose entries
+    come back as they are asked for, so frequent pieces survive. Long pieces aren't kept. A word with one mark after
+    it is put together from the two, so that rare words are worked out once.
+    """
 
-    def __init__(self, value: Callable[[str], object], limit: int = 250_000, prefix: str = " ", max_chars: int = 40):
+    def __init__(self, value: Callable[[str], object], limit: int = 300_000, prefix: str = " ", max_chars: int = 40, glue: bool = True):
         super().__init__()
         self.value, self.limit, self.prefix, self.max_chars = value, limit, prefix, max_chars
+        self.old: dict = {}
+        self.mark = {m: value(m) for m in _MARKS} if glue else {}
 
     def __missing__(self, piece: str):
-        v = self.value(self.prefix + piece)
+        v = self.old.get(piece)
+        if v is None:
+            if len(piece) > 1 and piece[-1] in self.mark and piece[:-1].isalpha():
+                v = self[piece[:-1]] + self.mark[piece[-1]]
+            else:
+                v = self.value(self.prefix + piece)
         if len(piece) <= self.max_chars:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[piece] = v
         return v
@@ -68,21 +86,48 @@ def special_strings(tok) -> list[str]:
     return [t.content for t in tok.get_added_tokens_decoder().values()]
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: itself if printable, else one of those from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
+class WordTokens:
+    """The library's tokens of a string of letters, with or without a blank before it: one pre-token, so the model's part
+    of the library is asked at once."""
+
+    def __init__(self, tok):
+        self.model, self.letters = tok.model, byte_letters()
+
+    def __call__(self, s: str) -> list | None:
+        """Tokens, or None if s isn't one word."""
+        core = s[1:] if s[:1] == " " else s
+        if not core.isalpha():
+            return None
+        if core.isascii():
+            return self.model.tokenize(s if core is s else self.letters[32] + core)
+        return self.model.tokenize("".join(map(self.letters.__getitem__, s.encode())))
+
+
 class PieceEncoder:
-    """ids of a whole text as packed little-endian unsigned integers; equal to the library's encode()."""
+    """ids of a whole text as packed unsigned integers of the machine; equal to the library's encode()."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import numpy as np
 
         self.np, self.tok = np, load_tokenizer(path)
+        self.words = WordTokens(self.tok)
         self.special, self.cut = special_strings(self.tok), can_cut(path)
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        narrow = self.tok.get_vocab_size() <= 1 << 16
+        self.dtype, self.code = np.dtype("u2" if narrow else "u4"), "H" if narrow else "I"
         self.head = PieceCache(self._packed, limit // 8, "")
         self.tail = PieceCache(self._packed, limit)
 
     def _packed(self, piece: str) -> bytes:
-        ids = self.tok.encode(piece, add_special_tokens=False).ids
-        return self.np.array(ids, dtype=self.dtype).tobytes()
+        found = self.words(piece) if self.cut else None
+        ids = self.tok.encode(piece, add_special_tokens=False).ids if found is None else [t.id for t in found]
+        return array(self.code, ids).tobytes()
 
     def encode(self, text: str):
         """ids as a numpy array."""

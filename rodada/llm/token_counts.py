@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rodada.llm.chunks import PieceCache, can_cut, load_tokenizer, pieces, special_strings
+from rodada.llm.chunks import PieceCache, WordTokens, can_cut, load_tokenizer, pieces, special_strings
 from rodada.llm.common import n_rows_at_most, texts
 
 MAX_TABLE_BYTES = 8 << 20
@@ -39,7 +39,13 @@ class LibraryCounter:
         else:
             tok = load_tokenizer(path)
             self.special, self.cut = special_strings(tok), can_cut(path)
-            self.count = lambda s: len(tok.encode(s, add_special_tokens=False))
+            words = WordTokens(tok) if self.cut else lambda s: None
+
+            def count(s: str) -> int:
+                found = words(s)
+                return len(tok.encode(s, add_special_tokens=False)) if found is None else len(found)
+
+            self.count = count
 
 
 def frequent_pieces(docs: DataFrame, text_col: str, tokenizer_path: str, sample_docs: int = 2000, table_size: int = 1 << 16, max_chars: int = 24) -> tuple[bytes, bytes]:
@@ -66,7 +72,7 @@ def frequent_pieces(docs: DataFrame, text_col: str, tokenizer_path: str, sample_
     return " ".join(p for p, _ in top).encode(), bytes(n for _, n in top)
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, table_size: int = 1 << 16, cache_size: int = 250_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, table_size: int = 1 << 16, cache_size: int = 300_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each document."""
     table = frequent_pieces(docs, text_col, tokenizer_path, sample_docs, table_size)
     if (size := sum(map(len, table))) > MAX_TABLE_BYTES:
