@@ -27,17 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rodada.llm.chunks import PieceCache, pieces
+from rodada.llm.chunks import PieceCache, byte_letters, pieces
 from rodada.llm.common import texts
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level BPE writes for each byte: itself if printable, else one of those from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
-
-
 class MergeList:
     """The merges of a byte-level BPE file, with tokens numbered by rank: 0..255 the bytes, 256+i what merge i makes."""
 
@@ -60,6 +53,18 @@ class MergeList:
             self.bytes.append(a + b)
         self.ids = [vocab["".join(letters[x] for x in t)] for t in self.bytes]
         self.longest = max(map(len, self.bytes))
+        # a trie of the tokens: node * 256 + byte -> 256 * child node; token_at: the node's token or -1
+        self.child: dict[int, int] = {}
+        self.token_at = [-1]
+        for token, t in enumerate(self.bytes):
+            node = 0
+            for b in t:
+                nxt = self.child.get(node + b)
+                if nxt is None:
+                    nxt = self.child[node + b] = len(self.token_at) << 8
+                    self.token_at.append(-1)
+                node = nxt
+            self.token_at[node >> 8] = token
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of_id = {i: t for i, t in zip(self.ids, self.bytes, strict=True)} | {i: s.encode() for s, i in self.added.items()}
 
@@ -78,8 +83,8 @@ class StreamEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.buffer = b""
-        self.last: list[int] = []  # of each prefix of buffer, its last token
+        self.last: list[int] = []  # of each prefix after the last emitted token, its last token
+        self.open: list[tuple[int, int]] = []  # (start, node) of the strings that may still grow to a token
         self.before = -1  # the token emitted last
 
     def _stable(self, a: int, b: int) -> bool:
@@ -109,19 +114,24 @@ class StreamEncoder:
         return ok
 
     def push(self, data: bytes) -> None:
-        buffer, last, rank, longest, before = self.buffer + data, self.last, self.m.rank.get, self.m.longest, self.before
-        known, check = self.stable.get, self._stable
-        for end in range(len(last) + 1, len(buffer) + 1):
-            for start in range(max(0, end - longest), end):
-                token = rank(buffer[start:end])
-                if token is None:
+        last, before, open_ = self.last, self.before, self.open
+        child, token_at, known, check = self.m.child.get, self.m.token_at, self.stable.get, self._stable
+        for byte in data:
+            open_.append((len(last), 0))
+            grown, found = [], -1
+            for start, node in open_:  # ascending starts: the longest token first
+                node = child(node + byte)
+                if node is None:
                     continue
-                left = last[start - 1] if start else before
-                ok = left < 0 or known(left << 32 | token)
-                if ok or (ok is None and check(left, token)):
-                    last.append(token)
-                    break
-        self.buffer = buffer
+                grown.append((start, node))
+                if found < 0 and (token := token_at[node >> 8]) >= 0:
+                    left = last[start - 1] if start else before
+                    ok = left < 0 or known(left << 32 | token)
+                    if ok or (ok is None and check(left, token)):
+                        found = token
+            last.append(found)
+            open_ = grown
+        self.open = open_
 
     def _cut(self, end: int) -> list[int]:
         """The tokens of the prefix of that length."""
@@ -142,7 +152,8 @@ class StreamEncoder:
         (end,) = open_
         out = self._cut(end)
         if out:
-            self.buffer, self.last, self.before = self.buffer[end:], self.last[end:], out[-1]
+            self.last, self.before = self.last[end:], out[-1]
+            self.open = [(start - end, node) for start, node in self.open if start >= end]
         return out
 
     def finish(self) -> list[int]:
@@ -170,7 +181,7 @@ class Bpe:
         self.m = MergeList(path)
         self.stream, self.find = StreamEncoder(self.m), regex.compile(self.PATTERN).finditer
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.m.added, key=len, reverse=True)))) if self.m.added else None
-        self.token = PieceCache(self._pretoken, cache, "")
+        self.token = PieceCache(self._pretoken, cache // 2, "", glue=False)
         self.head = PieceCache(self._piece, cache // 8, "")
         self.tail = PieceCache(self._piece, cache)
 
@@ -178,6 +189,8 @@ class Bpe:
         return tuple(map(self.m.ids.__getitem__, self.stream.encode(s.encode())))
 
     def _piece(self, s: str) -> tuple[int, ...]:
+        if s.isalpha() or (s[:1] == " " and s[1:].isalpha()):
+            return self._pretoken(s)
         return tuple(i for p in self.find(s) for i in self.token[p[0]])
 
     def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
