@@ -244,9 +244,20 @@ def promising(members: list[tuple[int, int, np.ndarray, np.ndarray]], percent: i
     last = np.array([x[1] for x in members], np.int64).view(np.uint64)
     keys = np.concatenate([x[2] for x in members])
     owner = np.repeat(np.arange(m), [len(x[2]) for x in members])
-    before = np.empty((m, m), np.int64)  # [s, q]: members of s up to q's last key, at least
-    for s, (_, _, own, places) in enumerate(members):
-        before[s] = np.concatenate(([0], places))[np.searchsorted(own, last, side="right")]
+    # all keys by member, as member * width + rank, so that one search finds the last key up to v in every member
+    ranks = np.unique(np.concatenate([keys, last]))
+    width = len(ranks) + 1
+    by_member = owner * width + np.searchsorted(ranks, keys)
+    places = np.concatenate([[0], *(x[3] for x in members)])
+    first_of = np.concatenate(([0], np.cumsum([len(x[2]) for x in members])))[:-1]
+    last_rank = np.searchsorted(ranks, last)
+
+    def up_to(s: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """How many of s's set come up to q's last key, at least."""
+        at = np.searchsorted(by_member, s * width + last_rank[q], side="right")
+        return np.where(at > first_of[s], places[at], 0)
+
+    everyone = np.arange(m)
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
     out = np.zeros(m, np.bool_)
@@ -256,8 +267,8 @@ def promising(members: list[tuple[int, int, np.ndarray, np.ndarray]], percent: i
         common = np.bincount(posted, minlength=m)
         common[q] = 0
         mine_first = last[q] <= last
-        after_q = size - np.where(mine_first, prefix[q], before[q])
-        after_s = n - np.where(mine_first, before[:, q], prefix)
+        after_q = size - np.where(mine_first, prefix[q], up_to(np.full(m, q), everyone))
+        after_s = n - np.where(mine_first, up_to(everyone, np.full(m, q)), prefix)
         need = -(-percent * (size + n) // (100 + percent))
         fits = (n * 100 >= size * percent) & (n * percent <= size * 100)
         out[q] = bool(((common > 0) & (common + np.minimum(after_q, after_s) >= need) & fits).any())
@@ -337,7 +348,7 @@ def _search_cells(docs: DataFrame, work: DataFrame, size: int, percent: int, ask
     return together.mapInArrow(search, "src long, dst long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell_cap: int = 512, pivots: int = 16, sample_docs: int = 8000) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell_cap: int = 512, pivots: int = 16, judge_cap: int = 8192, sample_docs: int = 8000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of each document."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     heavy = _frequent(source, size, sample_docs, 8, 200_000)
@@ -348,16 +359,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     leaders = rows.groupBy("h").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).filter("lead < last").select("h", "lead")
     shared = materialize(rows.join(leaders, "h"))
     cells = shared.select("lead", "cls").distinct()
-    sizes = materialize(cells.groupBy("lead").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / cell_cap).cast("int")))
+    sizes = materialize(cells.groupBy("lead").agg(F.count("*").alias("m")))
     per_class = shared.groupBy("cls").agg(F.collect_list(F.struct("h", (F.col("place") + 1).alias("place"))).alias("keys"), F.collect_set("lead").alias("leads"))  # bounded by a prefix
     described = firsts.select("cls", "n", F.element_at("prefix", -1).alias("last")).join(per_class, "cls")
-    small = described.select("cls", "n", "last", "keys", F.explode("leads").alias("lead")).join(sizes.filter("blocks = 1").select("lead"), "lead")
-    kept = materialize(_promising_cells(small, percent))
-    dealt = materialize(cells.join(sizes.filter("blocks > 1"), "lead"))
+    small = described.select("cls", "n", "last", "keys", F.explode("leads").alias("lead")).join(sizes.filter(F.col("m") <= judge_cap).select("lead"), "lead")
+    # cells too large to be judged in one task keep all their members
+    kept = materialize(_promising_cells(small, percent).unionByName(cells.join(sizes.filter(F.col("m") > judge_cap).select("lead"), "lead").select("lead", "cls")))
+    left = materialize(kept.groupBy("lead").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / cell_cap).cast("int")))
+    dealt = materialize(kept.join(left.filter("blocks > 1"), "lead"))
     place = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     is_pivot = F.pmod(F.xxhash64(F.lit(7), F.col("cls")), F.col("m")) < pivots
     blocks = F.when(is_pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(place))
-    work = dealt.select("cls", "lead", F.explode(blocks).alias("block")).unionByName(kept.select("cls", "lead", F.lit(0).alias("block")))
+    work = dealt.select("cls", "lead", F.explode(blocks).alias("block")).unionByName(kept.join(left.filter("blocks = 1").select("lead"), "lead").select("cls", "lead", F.lit(0).alias("block")))
     work = work.withColumns({"portion": F.lit(0), "asked": F.lit(False)})
     links = materialize(_search_cells(source, work, size, percent, False).distinct())
     parts = connected_components(links)

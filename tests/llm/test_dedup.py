@@ -52,11 +52,11 @@ def _components(rows):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("cap", [512, 4])
-def test_jaccard_components(spark, cap):
+@pytest.mark.parametrize(("cap", "judged"), [(512, 8192), (4, 8192), (4, 4)])
+def test_jaccard_components(spark, cap, judged):
     rows = _corpus(cap)
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs, cell_cap=cap, pivots=1).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs, cell_cap=cap, pivots=1, judge_cap=judged).collect()}
     assert got == _components(rows)
 
 
