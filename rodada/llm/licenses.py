@@ -1,24 +1,32 @@
 """Operator 2 [native]: licence scans by sentence rules.
 
-Two steps, as sentence-based licence recognisers work. (1) Texts that hold a licence word are cut into sentences; each
+Two steps, as sentence-based licence recognisers work. (1) Texts that hold a word of a known sentence are cut into sentences; each
 is normalised (lower case, letters and digits only, single blanks) and mapped to the identifier of the first known
 licence sentence whose key phrase it holds. (2) The identifiers, in text order, are matched against ordered licence
 rules: a rule is a sequence of identifiers; the first rule that matches takes its identifiers out of the sequence, so
 a later, more general rule sees only what is left. What no rule takes is reported as unmatched sentences.
 
 Only DataFrame functions, row by row: no shuffle, no Python on the executors. The rules are constants, so the plan's
-size is fixed. `license_sql` writes the same in DuckDB's SQL from the same tables.
+size is fixed. `license_sql` writes the same in DuckDB's SQL from the same tables, but looks only at texts and sentences
+with a word of TRIGGER, so it lacks some Creative Commons and MPL sentences that license_scan finds.
 
-Defined results: null or empty text, or one without licence words, has no sentences and no licences; a licence is named
+Defined results: null or empty text, or one without such words, has no sentences and no licences; a licence is named
 once per document, in rule order; repeated rows give a row each; empty tables no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
+try:
+    from re import _parser as sre
+except ImportError:
+    import sre_parse as sre
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A text without any of these words is not cut into sentences.
+#: The words by which the SQL chooses texts and sentences; fewer than license_scan's (see words).
 TRIGGER = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|rights reserved|public domain|spdx"
 
 #: Known licence sentences: identifier, key phrase in a normalised sentence (a regular expression). The first wins.
@@ -128,11 +136,39 @@ def identifier(sentence: Column) -> Column:
     return out
 
 
+def spellings(phrase: str) -> set[str]:
+    """What a key phrase matches, each alternative spelled out; a line end stands for what isn't literal."""
+
+    def each(items) -> set[str]:
+        return {"".join(x) for x in product(*(one(*i) for i in items))}
+
+    def one(op, arg) -> set[str]:
+        if op is sre.LITERAL:
+            return {chr(arg)}
+        if op is sre.AT:
+            return {""}
+        if op is sre.SUBPATTERN:
+            return each(arg[-1])
+        if op is sre.BRANCH:
+            return set().union(*map(each, arg[1]))
+        if op is sre.MAX_REPEAT and arg[:2] == (0, 1):
+            return {""} | each(arg[2])
+        return {"\n"}
+
+    return each(sre.parse(phrase))
+
+
+def words() -> str:
+    """A regular expression that any lower-case text or sentence with a key phrase matches: the longest word of each spelling."""
+    longest = {max(s.split(), key=len) for _, phrase in SENTENCES for s in spellings(phrase)}
+    return "|".join(sorted(rf"(?<![a-z0-9]){w}(?![a-z0-9])" if len(w) < 4 else w for w in longest if not any(o != w and len(o) > 3 and o in w for o in longest)))
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences (recognised), sentence_ids, licenses, unmatched: the last three joined by commas."""
-    text = F.col(text_col)
-    worth = F.transform(F.filter(sentences(text), lambda s: s.rlike(TRIGGER.replace("(?i)", "") + r"|cc by|cc0|creative commons|general public|endorse")), identifier)
-    found = F.when(text.rlike(TRIGGER), F.filter(worth, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    text, known = F.col(text_col), words()
+    worth = F.transform(F.filter(sentences(text), lambda s: s.rlike(known)), identifier)
+    found = F.when(F.lower(F.translate(text, "\r", "")).rlike(known), F.filter(worth, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(found, F.array().cast("array<string>")).alias("ids"))
     out = out.select("doc_id", "ids", F.concat(F.lit(""), F.array_join(F.transform("ids", lambda x: F.concat(F.lit("["), x, F.lit("]"))), "")).alias("rest"))
     # one column a rule: whether it matches what the rules before it left; then what it leaves

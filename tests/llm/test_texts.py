@@ -13,7 +13,7 @@ from rodada.llm.decontaminate import WuManber, contamination, patterns_of, sha_o
 from rodada.llm.fingerprints import combine, document_fingerprints
 from rodada.llm.html_text import main_text, page_texts
 from rodada.llm.language_id import grams, language_id, ranked
-from rodada.llm.licenses import license_scan, license_sql
+from rodada.llm.licenses import SENTENCES, license_scan, license_sql, spellings, words
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software. The above copyright notice and this permission notice shall be included in all copies.
@@ -39,6 +39,16 @@ def test_license_scan(spark):
     assert sorted(tuple(r) for r in license_scan(docs).collect()) == want
 
 
+def test_every_known_sentence_is_found_alone(spark):
+    alone = [(name, x) for name, phrase in SENTENCES for s in sorted(spellings(phrase)) for x in [s.replace("\n", "2024").strip()] if re.search(phrase, x)]
+    assert {n for n, _ in alone} == {n for n, _ in SENTENCES} and all(re.search(words(), s) for _, s in alone)
+    first = [next(n for n, phrase in SENTENCES if re.search(phrase, s)) for _, s in alone]
+    rows = [(i, f"Nothing here. {s.capitalize()}. Nothing more.") for i, (_, s) in enumerate(alone)]
+    rows += [(i + len(rows), s) for i, s in enumerate(["Text available under CC BY-SA 4.0.", "Dedicated under CC0.", "Creative Commons Attribution 4.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://x."])]
+    got = {r["doc_id"]: r["sentence_ids"] for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in sorted(got)] == [*first, "cc_by_sa4", "cc0", "cc_by4", "mpl2_copy"]
+
+
 def test_license_scan_is_native(spark):
     plan = license_scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
