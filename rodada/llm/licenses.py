@@ -8,7 +8,7 @@ a later, more general rule sees only what is left. What no rule takes is reporte
 
 Only DataFrame functions, row by row: no shuffle, no Python on the executors. The rules are constants, so the plan's
 size is fixed. `license_sql` writes the same in DuckDB's SQL from the same tables, but looks only at texts and sentences
-with a word of TRIGGER, so it lacks some Creative Commons and MPL sentences that license_scan finds.
+with a word of TRIGGER, and cuts by _STEPS, so it lacks some Creative Commons, MPL and GPL sentences that license_scan finds.
 
 Defined results: null or empty text, or one without such words, has no sentences and no licences; a licence is named
 once per document, in rule order; repeated rows give a row each; empty tables no rows; other columns are ignored.
@@ -120,10 +120,20 @@ _STEPS = (
 )
 _NORMAL = (r"[^a-z0-9]+", " ")
 
+# The scan's own cuts, which leave known sentences whole. A line that begins with a word from inside one is wrapping,
+# "v. 2.0" is no end, and the GPL's terms go on after "Foundation;". _STEPS, without these, is the SQL's.
+_INNER = r"(?:Licen[cs]e|Version|Public|General|Affero|Lesser|Library|Apache|Mozilla|Foundation|Free Software|Software|You can|Creative Commons|Commons|Attribution|Zero|Identifier|Clause|Modified|New|Style|Domain|Authors?|Holders?|Contributors?|Owner)\b|Share|Non|No ?Deriv|Copyright (?:[Hh]olders?|[Oo]wner)\b"
+_CUTS = (
+    _STEPS[0],
+    (_STEPS[1][0].replace("([A-Z]", f"(?!{_INNER})([A-Z]"), _STEPS[1][1]),
+    _STEPS[2],
+    (r"((?<!\b[vV])\.|[!?]|;(?![\s#/*;-]*(?:either )?version))[\"')]*\s+", _STEPS[3][1]),
+)
+
 
 def sentences(text: Column) -> Column:
     """The text's normalised sentences."""
-    for pattern, to in _STEPS:
+    for pattern, to in _CUTS:
         text = F.regexp_replace(text, pattern, to)
     return F.transform(F.split(text, "\u0001"), lambda s: F.trim(F.regexp_replace(F.lower(s), *_NORMAL)))
 

@@ -13,7 +13,7 @@ from rodada.llm.decontaminate import WuManber, contamination, patterns_of, sha_o
 from rodada.llm.fingerprints import combine, document_fingerprints
 from rodada.llm.html_text import main_text, page_texts
 from rodada.llm.language_id import grams, language_id, ranked
-from rodada.llm.licenses import SENTENCES, license_scan, license_sql, spellings, words
+from rodada.llm.licenses import RULES, SENTENCES, license_scan, license_sql, spellings, words
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software. The above copyright notice and this permission notice shall be included in all copies.
@@ -49,6 +49,84 @@ def test_every_known_sentence_is_found_alone(spark):
     assert [got[i] for i in sorted(got)] == [*first, "cc_by_sa4", "cc0", "cc_by4", "mpl2_copy"]
 
 
+HOPE = """This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, see <https://www.gnu.org/licenses/>."""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version {} of the License, or
+(at your option) any later version.
+
+""" + HOPE
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DAMAGES."""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+NOTICES = [
+    ("GPL-2.0-or-later", GPL.format(2)), ("GPL-3.0-or-later", GPL.format(3)), ("GPL-2.0-or-later", GPL.format(2).replace("Foundation; either", "Foundation;\neither").replace("by\nthe Free", "by the\nFree")),
+    ("AGPL", GPL.format(3).replace("GNU General", "GNU Affero General")), ("LGPL", GPL.format(3).replace("GNU General", "GNU Lesser General")),
+    ("GPL-3.0-only", "Licensed under the GNU\nGeneral Public License version 3."), ("GPL-2.0-only", "Licensed under the GNU General\nPublic License v2."), ("GPL", "See COPYING, the GNU General Public\nLicense."),
+    ("MPL-2.0", MPL), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If a copy of the MPL was not distributed with this file,\nYou can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."""),
+    ("BSD-2-Clause", BSD.format("")), ("BSD-3-Clause", BSD.format(ENDORSE)), ("BSD", "Released under the\nModified BSD License."),
+    *((f"CC-{x.upper().replace(' ', '-')}-4.0", f"This work is licensed under a Creative Commons\n{y} 4.0 International License.") for x, y in [("by", "Attribution"), ("by sa", "Attribution-ShareAlike"), ("by nc", "Attribution-NonCommercial"), ("by nd", "Attribution-NoDerivatives"), ("by nc sa", "Attribution-NonCommercial-ShareAlike"), ("by nc nd", "Attribution-NonCommercial-NoDerivatives")]),
+    ("CC0-1.0", "Dedicated under Creative Commons\nZero."), ("Unlicense", "This is free and unencumbered software released into the public domain."), ("Public-Domain", "These files are in the public domain."), ("Proprietary", "Copyright (c) 2024 Acme Inc. All rights reserved."),
+    ("MIT,CC-BY-4.0", "Code is released under the MIT License\nText is available under CC BY 4.0"),
+]
+
+
+def test_standard_notices(spark):
+    """Each rule fires on its whole notice, plain and in comments, and leaves no other licence."""
+    rows = [(i, w + w.join(t.splitlines(True))) for k, w in enumerate(("", "# ", " * ", "// ")) for i, (_, t) in enumerate(NOTICES, 100 * k)]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: NOTICES[i % 100][0] for i, _ in rows} and {n for n, _ in NOTICES} - {"MIT,CC-BY-4.0"} == {n for n, _ in RULES}
+
+
 def test_license_scan_is_native(spark):
     plan = license_scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
