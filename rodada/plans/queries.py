@@ -297,12 +297,14 @@ def cluster_stats(spark, sf_dir):
 
 @query()
 def expansion_plan(spark, sf_dir):
-    """Up to two phases over the part of the lattice that its ways leave under-served."""
+    """Up to six phases over the whole lattice, whose cycling infrastructure counts in its southern quarter only."""
     from rodada.operators.expansion import plan_expansion
 
     nodes, edges = fixture(spark, sf_dir, "node"), road_edges(spark, sf_dir)
-    keep = (F.col("is_cycling_infra") & (F.col("u") < 100)) | ~F.col("is_cycling_infra")
-    plan = plan_expansion("lattice", nodes, edges.filter(keep), fixture(spark, sf_dir, "poi"), COS_LAT, 2)
+    quarter = nodes.agg((F.min("lat") * 3 + F.max("lat")).alias("lat4"))
+    served = nodes.crossJoin(F.broadcast(quarter)).filter(F.col("lat") * 4 <= F.col("lat4")).select(F.col("id").alias("u"), F.lit(True).alias("served"))
+    edges = edges.join(served, "u", "left").withColumn("is_cycling_infra", F.col("is_cycling_infra") & F.col("served").isNotNull()).drop("served")
+    plan = plan_expansion("lattice", nodes, edges, fixture(spark, sf_dir, "poi"), COS_LAT)
     names = ("phase", "phase_id", "sector", "alt_type", "expansion_type", "urban_context", "length_m", "length_km", "new_nodes", "new_pois", "total_score", "cum_km", "cum_nodes", "cum_pois")
     return plan.select(*names) if plan is not None else spark.createDataFrame([], "phase int, phase_id string, sector string, alt_type string, expansion_type string, urban_context string, length_m double, length_km double, new_nodes long, new_pois long, total_score double, cum_km double, cum_nodes long, cum_pois long")
 

@@ -31,6 +31,21 @@ def test_sql_gives_the_same_rows(spark, name):
     assert show(map(tuple, df.select(*cols).collect())) == show(want)
 
 
+def test_plan_has_six_phases_and_all_edges(spark, monkeypatch):
+    import inspect
+
+    from rodada.operators import expansion
+    from rodada.plans.queries import road_edges
+
+    asked, real = [], inspect.signature(expansion.plan_expansion)
+    monkeypatch.setattr(expansion, "plan_expansion", lambda *a, **b: asked.append(real.bind(*a, **b)))
+    entry.queries()["expansion_plan"](spark, DATA)
+    asked[0].apply_defaults()
+    edges, all_ = asked[0].arguments["edges"], road_edges(spark, DATA)
+    assert asked[0].arguments["max_phases"] == 6 and edges.select("u", "v").exceptAll(all_.select("u", "v")).isEmpty() and edges.count() == all_.count()
+    assert edges.filter("is_cycling_infra").count() > 0
+
+
 def test_library_stands_without_the_optional_subpackage(tmp_path):
     for name in ("rodada", "__spark_entry__.py"):
         os.symlink(ROOT / name, tmp_path / name) if name.endswith(".py") else (tmp_path / name).mkdir()
