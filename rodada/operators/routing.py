@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice, tee
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from rodada.functions.scores import ratio
 from rodada.functions.text import route_key, without_repeats
@@ -96,12 +98,23 @@ def route_batch(requests: DataFrame, nodes: DataFrame, edges: DataFrame, cos_lat
     return asked.join(compared, ["src", "dst"], "left").select("id", "src", "dst", "src_snap_m", "dst_snap_m", "cycling", "shortest", "comparison", error.alias("error"))
 
 
-def cache_outcome(requests: DataFrame, seq: str = "seq") -> DataFrame:
+def cache_outcome(requests: DataFrame, seq: str = "seq", capacity: int = 1000) -> DataFrame:
     """requests (seq, coordinates, profile) with the cache key and `cached`: a balanced request whose key was stored.
 
-    Every request stores its key; only balanced ones read. Without eviction, for batches under the capacity.
+    Every request stores its key; only balanced ones read. Under the capacity nothing is evicted, and the first request
+    of a key tells. Otherwise each hit depends on all requests before it: one task replays them in order.
     """
     keyed = requests.withColumn("key", route_key(*(F.col(c) for c in ("o_lon", "o_lat", "d_lon", "d_lat"))))
+    if keyed.select("key").distinct().count() >= capacity:
+
+        def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ahead, frames = tee(frames)
+            hits = cache_replay(({"key": k, "profile": p} for f in ahead for k, p in zip(f["key"], f["profile"], strict=True)), capacity)
+            for f in frames:
+                yield f.assign(cached=list(islice(hits, len(f))))
+
+        in_order = keyed.repartition(1).sortWithinPartitions(seq)
+        return in_order.mapInPandas(replay, StructType([*in_order.schema, StructField("cached", BooleanType())]))
     first = keyed.groupBy("key").agg(F.min(seq).alias("_first"))
     return keyed.join(first, "key").withColumn("cached", (F.col("profile") == "balanced") & (F.col(seq) > F.col("_first"))).drop("_first")
 

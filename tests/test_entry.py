@@ -46,6 +46,22 @@ def test_plan_has_six_phases_and_all_edges(spark, monkeypatch):
     assert edges.filter("is_cycling_infra").count() > 0
 
 
+def test_cache_hits_evict_over_the_capacity(spark):
+    from rodada.functions.text import route_key
+    from rodada.operators.routing import cache_replay
+    from rodada.plans.fixtures import fixture
+
+    data = "/root/testdata/sf0.01"
+    rows = fixture(spark, data, "request").withColumn("key", route_key(*("o_lon o_lat d_lon d_lat".split()))).orderBy("seq").collect()
+    assert len({r["key"] for r in rows}) > 1000
+    want = dict(zip((r["seq"] for r in rows), cache_replay({"key": r["key"], "profile": r["profile"]} for r in rows), strict=True))
+    got = {r["seq"]: r["cached"] for r in entry.queries()["cache_hits"](spark, data).collect()}
+    first = {}
+    no_eviction = {r["seq"]: first.setdefault(r["key"], r["seq"]) < r["seq"] and r["profile"] == "balanced" for r in rows}
+    assert got == want and want != no_eviction
+    print("cached", sum(want.values()), "without eviction", sum(no_eviction.values()))
+
+
 def test_library_stands_without_the_optional_subpackage(tmp_path):
     for name in ("rodada", "__spark_entry__.py"):
         os.symlink(ROOT / name, tmp_path / name) if name.endswith(".py") else (tmp_path / name).mkdir()
