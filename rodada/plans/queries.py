@@ -246,7 +246,7 @@ def pair_best(spark, sf_dir):
 
 @query()
 def route_compare(spark, sf_dir):
-    r = fixture(spark, sf_dir, "request").filter("seq % 50 = 0").withColumnRenamed("seq", "id")
+    r = fixture(spark, sf_dir, "request").withColumnRenamed("seq", "id")
     out = routing.route_batch(r, fixture(spark, sf_dir, "node"), cut(road_edges(spark, sf_dir)), COS_LAT)
     return out.select("id", "src", "dst", F.col("cycling.distance_m").alias("cycling_m"), F.col("shortest.distance_m").alias("shortest_m"), F.col("cycling.cost_score").alias("cost_score"), "comparison.length_diff_pct", "error")
 

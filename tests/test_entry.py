@@ -62,6 +62,14 @@ def test_cache_hits_evict_over_the_capacity(spark):
     print("cached", sum(want.values()), "without eviction", sum(no_eviction.values()))
 
 
+def test_every_request_is_routed(spark):
+    from rodada.plans.fixtures import fixture
+
+    got = entry.queries()["route_compare"](spark, DATA).select("id", "cycling_m", "error").collect()
+    assert sorted(r["id"] for r in got) == sorted(r["seq"] for r in fixture(spark, DATA, "request").collect())
+    assert all((r["cycling_m"] is None) == (r["error"] is not None) for r in got) and any(r["error"] is None for r in got)
+
+
 def test_library_stands_without_the_optional_subpackage(tmp_path):
     for name in ("rodada", "__spark_entry__.py"):
         os.symlink(ROOT / name, tmp_path / name) if name.endswith(".py") else (tmp_path / name).mkdir()
