@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,16 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@lru_cache(maxsize=4)
+def kept(make: Callable, *settings):
+    """make(*settings), kept by the worker process: Spark gives a process many tasks, which then find caches warm.
+
+    Nothing that a task computes depends on what an earlier one left; only `make`'s bounded caches stay. The bound of 4
+    is on kinds of objects, each of which bounds itself.
+    """
+    return make(*settings)
+
+
 def texts(batch: pa.RecordBatch, column: str, slice_rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list]]:
     """The batch in small slices with one column as Python objects, so that few copies of long texts live at once."""
     for at in range(0, batch.num_rows, slice_rows):

@@ -1,16 +1,20 @@
 """Operator 7: token counts by a map-side two-tier lookup.
 
 Tier 1 is a compact table of the corpus's frequent pieces (a word with its punctuation, see chunks.pieces) and their
-token counts, learnt from a bounded sample of documents and broadcast; its size is bounded by `table_size` entries of
-`max_chars` characters and checked. Tier 2 is a bounded cache in each worker that keeps what the library said about
-pieces that tier 1 lacks. No piece is ever shuffled, and the counts don't depend on either tier.
+token counts; its size is bounded by `table_size` entries of `max_chars` characters and checked before it is broadcast.
+Tier 2 is a bounded cache in each worker that keeps what the library said about pieces that tier 1 lacks.
 
-Defined results: null text counts as empty (0 tokens, 0 bytes); empty tables give no rows; repeated rows are counted
-each; other input columns are ignored.
+The frequent pieces are those of all documents: each task sums up its own in one row of bounded size (a Counter that is
+cut back to its most frequent entries when it grows too long), and the rows are merged in two levels of tasks. Pieces
+themselves are never shuffled, and the counts don't depend on either tier.
+
+Defined results: null text counts as empty (0 tokens, 0 bytes); empty tables give no rows; repeated rows and rows
+without doc_id are counted each; other input columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rodada.llm.chunks import PieceCache, WordTokens, can_cut, load_tokenizer, pieces, special_strings
-from rodada.llm.common import n_rows_at_most, texts
+from rodada.llm.common import kept, texts
 
 MAX_TABLE_BYTES = 8 << 20
 
@@ -48,58 +52,106 @@ class LibraryCounter:
             self.count = count
 
 
-def frequent_pieces(docs: DataFrame, text_col: str, tokenizer_path: str, sample_docs: int = 2000, table_size: int = 1 << 16, max_chars: int = 24) -> tuple[bytes, bytes]:
-    """The compact table: pieces joined by spaces, and a count byte for each; from about sample_docs documents at most."""
+class Summary:
+    """The most frequent pieces of what it was given, in bounded memory."""
+
+    def __init__(self, size: int, max_chars: int):
+        self.size, self.max_chars, self.seen = size, max_chars, Counter()
+
+    def _bounded(self) -> None:
+        if len(self.seen) > 8 * self.size:
+            self.seen = Counter(dict(self.seen.most_common(4 * self.size)))
+
+    def add(self, text: str) -> None:
+        self.seen.update(pieces(text)[1:])
+        self._bounded()
+
+    def merge(self, joined: str, counts: bytes) -> None:
+        self.seen.update(dict(zip(joined.split(" "), np.frombuffer(counts, "<i8").tolist(), strict=False)))
+        self._bounded()
+
+    def top(self) -> list[tuple[str, int]]:
+        """The pieces of 1 to max_chars characters, none of them blank, the most frequent first, ties by piece."""
+        fits = [(-n, p) for p, n in self.seen.items() if 0 < len(p) <= self.max_chars and not any(map(str.isspace, p))]
+        return [(p, -n) for n, p in sorted(fits)[: self.size]]
+
+    def row(self) -> pa.RecordBatch:
+        top = self.top()
+        return pa.RecordBatch.from_arrays([pa.array([" ".join(p for p, _ in top)]), pa.array([np.array([n for _, n in top], "<i8").tobytes()])], names=["pieces", "counts"])
+
+
+def frequent_pieces(docs: DataFrame, text_col: str, tokenizer_path: str, table_size: int = 1 << 16, max_chars: int = 24) -> tuple[bytes, bytes]:
+    """The compact table: the frequent pieces of all documents joined by spaces, and a count byte for each."""
+    if not kept(LibraryCounter, tokenizer_path).cut:
+        return b"", b""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        mine = Summary(table_size // 4, max_chars)
         for batch in batches:
             for _, strings in texts(batch, "text"):
                 for s in strings:
-                    seen.update(p for p in pieces(s)[1:] if 0 < len(p) <= max_chars and not any(c.isspace() for c in p))
-        if seen:  # no more rows than the whole table may have
-            top = seen.most_common(table_size)
-            yield pa.RecordBatch.from_pydict({"piece": [p for p, _ in top], "n": [n for _, n in top]}, schema=pa.schema([("piece", pa.string()), ("n", pa.int64())]))
-
-    sample = n_rows_at_most(docs.withColumn("_key", F.xxhash64(text_col)), sample_docs, key="_key").select(F.col(text_col).alias("text")).filter("text is not null")
-    total: Counter = Counter()
-    for r in sample.mapInArrow(count, "piece string, n long").toLocalIterator():
-        total[r["piece"]] += r["n"]
-        if len(total) > 4 * table_size:
-            total = Counter(dict(total.most_common(2 * table_size)))
-    counter = LibraryCounter(tokenizer_path)
-    top = [(p, n) for p, _ in total.most_common(table_size) if (n := counter.count(" " + p)) < 256] if counter.cut else []
+                    mine.add(s)
+        if mine.seen:
+            yield mine.row()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = Summary(table_size, max_chars)
+        for batch in batches:
+            for row in batch.to_pylist():
+                both.merge(row["pieces"], row["counts"])
+        if both.seen:
+            yield both.row()
+
+    schema, parts = "pieces string, counts binary", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(text_col).alias("text")).filter("text is not null").mapInArrow(count, schema)
+    for n in dict.fromkeys((parts, math.isqrt(parts), 1)):
+        rows = rows.repartition(n).mapInArrow(merge, schema)
+    found = rows.collect()  # one row of table_size pieces at most
+    library = kept(LibraryCounter, tokenizer_path)
+    top = [(p, n) for r in found for p in r["pieces"].split(" ") if p and (n := library.count(" " + p)) < 256]
     return " ".join(p for p, _ in top).encode(), bytes(n for _, n in top)
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, table_size: int = 1 << 16, cache_size: int = 300_000) -> DataFrame:
+class CachedCounter:
+    """The library's counts with the worker's caches of pieces in front."""
+
+    def __init__(self, path: str, cache_size: int):
+        self.library = LibraryCounter(path)
+        self.head, self.tail = PieceCache(self.library.count, cache_size // 8, ""), PieceCache(self.library.count, cache_size)
+
+    def tokens(self, text: str, first: dict) -> int:
+        """Tokens of a whole text; first is the broadcast table, which turns to the caches for what it lacks."""
+        if not self.library.cut or any(s in text for s in self.library.special):
+            return self.library.count(text)
+        start, *rest = pieces(text)
+        return self.head[start] + sum(map(first.__getitem__, rest))
+
+
+class FirstTier(dict):
+    """The broadcast table in front of a cache; what it lacks isn't added."""
+
+    def __init__(self, table: tuple[bytes, bytes], second: PieceCache):
+        joined, counts = table
+        super().__init__(zip(joined.decode().split(" "), counts, strict=False))
+        self.second = second
+
+    def __missing__(self, piece: str) -> int:
+        return self.second[piece]
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", table_size: int = 1 << 16, cache_size: int = 300_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each document."""
-    table = frequent_pieces(docs, text_col, tokenizer_path, sample_docs, table_size)
+    table = frequent_pieces(docs, text_col, tokenizer_path, table_size)
     if (size := sum(map(len, table))) > MAX_TABLE_BYTES:
         raise ValueError(f"the frequent-piece table has {size} bytes; its bound is {MAX_TABLE_BYTES}")
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = LibraryCounter(tokenizer_path)
-        joined, counts = shared.value
-        second = PieceCache(counter.count, cache_size)
-
-        class FirstTier(dict):
-            def __missing__(self, piece):
-                return second[piece]
-
-        first = FirstTier(zip(joined.decode().split(" "), counts, strict=False))
-        head = PieceCache(counter.count, cache_size // 8, "")
-
-        def tokens(text: str) -> int:
-            if not counter.cut or any(s in text for s in counter.special):
-                return counter.count(text)
-            start, *rest = pieces(text)
-            return head[start] + sum(map(first.__getitem__, rest))
-
+        counter = kept(CachedCounter, tokenizer_path, cache_size)
+        first = FirstTier(shared.value, counter.tail)
         for batch in batches:
             for rows, strings in texts(batch, "text"):
-                n = np.array([tokens(s or "") for s in strings], np.int64)
+                n = np.array([counter.tokens(s or "", first) for s in strings], np.int64)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
