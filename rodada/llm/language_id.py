@@ -4,9 +4,10 @@ A profile lists a language's most frequent letter n-grams (orders 1 to n_max, in
 document's own list is compared to each profile by out-of-place distance: for each of its n-grams the difference of
 ranks, or the profile's length if it isn't there. The nearest language wins; ties go to the smaller name.
 
-Profiles are learnt from at most about `train_docs` labelled documents of each language (a documented bound, chosen by
-hash; all of them where there are fewer), so what the driver gathers doesn't grow with the corpus. Prediction reads
-the whole text and nothing else, one document at a time, without a shuffle.
+Profiles are learnt from at most `train_docs` labelled documents of each language (a documented bound, chosen by
+hash; all of them where there are fewer), so what the driver gathers doesn't grow with the corpus: `top` n-grams of
+each language, for MAX_LANGUAGES languages at most. Prediction reads the whole text and nothing else, one document at a
+time, without a shuffle.
 
 Defined results: null text, or text without a letter, gives `und` with score 0; with no labelled documents every
 document gets `und`; a null lang isn't learnt from; repeated rows give a row each; other columns are ignored.
@@ -20,12 +21,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rodada.llm.common import texts
 
-MAX_LANGUAGES = 1000
+#: More than there are languages with a code; what is broadcast is bounded by top * 24 bytes for each.
+MAX_LANGUAGES = 10_000
 
 
 @cache
@@ -70,37 +72,45 @@ def ranked(codes: np.ndarray, top: int) -> np.ndarray:
 
 
 class Profiles:
-    """All languages' ranks in one table: a row for each n-gram, a column for each language."""
+    """All languages' ranks in one table: for each n-gram the languages that have it, and its ranks there."""
 
     def __init__(self, by_language: dict[str, np.ndarray], top: int):
         self.names, self.top = sorted(by_language), top
-        self.codes = np.unique(np.concatenate([by_language[x] for x in self.names] or [np.zeros(0, np.int64)]))
-        self.rank = np.full((len(self.codes) + 1, len(self.names)), -1, np.int64)  # the last row: in no profile
-        for k, x in enumerate(self.names):
-            self.rank[np.searchsorted(self.codes, by_language[x]), k] = np.arange(len(by_language[x]))
+        parts = [by_language[x] for x in self.names]
+        codes = np.concatenate(parts or [np.zeros(0, np.int64)])
+        order = np.argsort(codes, kind="stable")
+        self.language = np.repeat(np.arange(len(parts)), [len(x) for x in parts])[order]
+        self.rank = np.concatenate([np.arange(len(x)) for x in parts] or [np.zeros(0, np.int64)])[order]
+        self.codes, self.first = np.unique(codes[order], return_index=True)
+        self.many = np.diff(np.append(self.first, len(codes)))
 
     def predict(self, codes: np.ndarray) -> tuple[str, float]:
         mine = ranked(codes, self.top)
         if not len(mine) or not self.names:
             return "und", 0.0
         at = np.searchsorted(self.codes, mine)
-        at[self.codes[np.minimum(at, len(self.codes) - 1)] != mine] = len(self.codes)
-        rank = self.rank[at]
-        apart = np.where(rank < 0, self.top, np.abs(rank - np.arange(len(mine))[:, None])).sum(axis=0)
+        place = np.flatnonzero(self.codes[np.minimum(at, len(self.codes) - 1)] == mine) if len(self.codes) else at[:0]
+        many = self.many[at[place]]
+        ends = np.cumsum(many)
+        hit = np.repeat(self.first[at[place]] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)
+        nearer = np.abs(self.rank[hit] - np.repeat(place, many)) - self.top
+        apart = self.top * len(mine) + np.bincount(self.language[hit], weights=nearer, minlength=len(self.names))
         best = int(np.argmin(apart))
         return self.names[best], float(1 - apart[best] / (self.top * len(mine)))
 
 
 def learn(docs: DataFrame, top: int = 300, n_max: int = 3, train_docs: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles from docs, all of which may be learnt from."""
-    labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
+    labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null")
     there = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(there) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     buckets = 1_000_000
     share = [(lang, int(buckets * min(1.0, train_docs / n)) + 1) for lang, n in there.items()]
     bounds = F.create_map(*[F.lit(x) for pair in share for x in pair]) if share else F.create_map()
-    sample = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) < bounds[F.col("lang")]) if share else labelled.limit(0)
+    some = labelled.filter("text is not null").filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) < bounds[F.col("lang")]) if share else labelled.limit(0)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", "text")))
+    sample = some.withColumn("place", place).filter(F.col("place") <= train_docs)  # rows that share an id come together
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,11 +123,12 @@ def learn(docs: DataFrame, top: int = 300, n_max: int = 3, train_docs: int = 300
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    out = {}
-    for lang in sorted(there):  # each is a top-k without a sort of the whole
-        rows = counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(top).select("code").collect()
-        out[lang] = np.array([r["code"] for r in rows], np.int64)
-    return Profiles(out, top)
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    rows = counted.withColumn("place", best).filter(F.col("place") <= top).select("lang", "code", "place").collect()
+    out: dict[str, list] = {lang: [] for lang in there}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        out[r["lang"]].append(r["code"])
+    return Profiles({lang: np.array(codes, np.int64) for lang, codes in out.items()}, top)
 
 
 def identify(docs: DataFrame, profiles: Profiles, n_max: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
