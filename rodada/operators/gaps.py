@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rodada.functions.geo import haversine_m
@@ -11,6 +11,7 @@ from rodada.functions.text import numbered, without_repeats
 from rodada.operators.graph import ranked
 from rodada.operators.iterative import bounded_paths, first_fit
 from rodada.operators.spatial import radius_pairs
+from rodada.operators.work import cut
 
 
 def component_endpoints(components: DataFrame, nodes: DataFrame, least_km: float = 0.20) -> DataFrame:
@@ -63,11 +64,21 @@ def best_of_pairs(candidates: DataFrame) -> DataFrame:
 
 
 def overlap_conflicts(rows: DataFrame, share: float = 0.60) -> DataFrame:
-    """(later, earlier) of rows(id, path_nodes) that share more than that share of the smaller path's nodes."""
-    at = rows.select("id", F.size(F.array_distinct("path_nodes")).alias("n"), F.explode(F.array_distinct("path_nodes")).alias("node"))
-    l, r = at.select(F.col("id").alias("later"), F.col("n").alias("n1"), "node"), at.select(F.col("id").alias("earlier"), F.col("n").alias("n2"), "node")
-    both = l.join(r, "node").filter("later > earlier").groupBy("later", "earlier", "n1", "n2").agg(F.count("*").alias("common"))
-    return both.filter(F.col("common") > F.least("n1", "n2") * share).select("later", "earlier")
+    """(later, earlier) of rows(id, path_nodes) that share more than that share of the smaller path's nodes.
+
+    The smaller path only asks for its rarest nodes, as many as can't all be missing from a partner, so nodes that many
+    paths pass through are seldom joined on. What meets there is compared exactly.
+    """
+    sets = rows.select("id", F.array_distinct("path_nodes").alias("nodes")).withColumn("n", F.size("nodes"))
+    at = cut(sets.select("id", "n", F.explode("nodes").alias("node")))
+    often = at.groupBy("node").agg(F.count("*").alias("times"))
+    rare = F.row_number().over(Window.partitionBy("id").orderBy("times", "node"))
+    asked = at.join(often, "node").withColumn("k", rare).filter(F.col("k") <= F.col("n") - F.floor(F.col("n") * share))
+    small, large = asked.select(F.col("id").alias("s"), F.col("n").alias("s_n"), "node"), at.select(F.col("id").alias("l"), F.col("n").alias("l_n"), "node")
+    pairs = small.join(large, "node").filter("s <> l and s_n <= l_n").select("s", "l").distinct()
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("nodes").alias(f"{x}_nodes"))
+    both = pairs.join(side("s"), "s").join(side("l"), "l").filter(F.size(F.array_intersect("s_nodes", "l_nodes")) > F.size("s_nodes") * share)
+    return both.select(F.greatest("s", "l").alias("later"), F.least("s", "l").alias("earlier")).distinct()
 
 
 def rank_gaps(candidates: DataFrame, most: int = 12) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rodada.functions.geo import haversine_m, line_length_m
 from rodada.functions.tags import NO_STREET, cycling_cost, directions, is_infra, or_default
 from rodada.operators.iterative import connected_components
+from rodada.operators.work import cut
 
 EDGE_COLUMNS = ("u", "v", "length_m", "cost", "penalty_factor", "way_id", "name", "highway", "category", "infra_label", "is_cycling_infra", "surface", "maxspeed")
 
@@ -89,9 +90,16 @@ def component_nodes(folded: DataFrame, lone: DataFrame | None = None) -> DataFra
     return connected_components(pairs)
 
 
-def ranked(rows: DataFrame, order: list, name: str, buckets: int = 0) -> DataFrame:
-    """rows with their place 1..n in `order`. For results (components, gaps, phases), which are few."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place 1, 2, ... in `order`: a distributed sort, then each partition's first place; order is total."""
+    placed = cut(rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}  # a row a partition
+    before, first = 0, []
+    for part in sorted(counts):
+        first += [F.lit(part), F.lit(before).cast("long")]
+        before += counts[part]
+    start = F.create_map(*first)[F.col("_part")] if first else F.lit(0).cast("long")
+    return placed.withColumn(name, start + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_row")
 
 
 def largest_component(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

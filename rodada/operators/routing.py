@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from itertools import islice, tee
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -14,7 +15,9 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from rodada.functions.scores import ratio
 from rodada.functions.text import route_key, without_repeats
 from rodada.operators.gaps import path_hops
+from rodada.operators.iterative import SMALL, adjacency, broadcast_graph
 from rodada.operators.spatial import nearest
+from rodada.operators.work import cut
 
 
 def snap(points: DataFrame, nodes: DataFrame, cos_lat: Column | float, most_m: float | Column = 500.0) -> DataFrame:
@@ -24,45 +27,68 @@ def snap(points: DataFrame, nodes: DataFrame, cos_lat: Column | float, most_m: f
     return found.withColumn("out_of_bounds", F.col("snap_m").isNull() | (F.col("snap_m") > limit))
 
 
-def shortest_routes(pairs: DataFrame, edges: DataFrame, weight: str, portion: int = 256) -> DataFrame:
-    """(src, dst, total, path) of distinct pairs (src, dst); pairs without a route are missing.
-
-    A city's graph is small and bounded (the largest known one has some 65,000 edges), requests are not: requests are
-    cut into portions, each of which meets the graph in one task and runs Dijkstra with early exit. Grouped by source,
-    so one search serves all destinations of a source in its portion.
+def best_routes(out: dict[int, list[tuple[int, float]]], src: int, dsts: set[int]) -> dict[int, tuple[float, list[int]]]:
+    """dst -> (total, path) of those that src reaches: Dijkstra until all are found, ties to the smaller predecessor."""
+    dist, came, heap, done, found = {src: 0.0}, {}, [(0.0, src)], set(), {}
+    while heap and len(found) < len(dsts):
+        d, u = heapq.heappop(heap)
+        if u in done:
+            continue
+        done.add(u)
+        if u in dsts:
+            path = [u]
+            while path[-1] != src:
+                path.append(came[path[-1]])
+            found[u] = (d, path[::-1])
+        for v, w in out.get(u, ()):
+            nd, had = d + w, dist.get(v, float("inf"))
+            if nd < had or (nd == had and u < came.get(v, u)):
+                dist[v], came[v] = nd, u
+                heapq.heappush(heap, (nd, v))
+    return found
+
+
+def shortest_routes(pairs: DataFrame, edges: DataFrame, weights: tuple[str, ...], small: int = SMALL, portion: int = 4096) -> DataFrame:
+    """(src, dst, weight, total, path) of distinct pairs (src, dst) under each weight; pairs without a route are missing.
+
+    A graph of up to `small` edges (the largest known city has some 65,000) is broadcast, and each task searches from
+    the sources that it has, once for all destinations of a source. A larger graph meets portions of the sources in
+    one task each.
     """
-    distinct = pairs.select("src", "dst").distinct()
-    n = distinct.count()
-    parts = max(1, -(-n // portion))
-    work = distinct.withColumn("part", F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int"))
-    graph = edges.select(F.col("u"), F.col("v"), F.col(weight).alias("w")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def search(key: tuple, asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        out: dict[int, list] = {}
-        for u, v, w in zip(graph["u"].tolist(), graph["v"].tolist(), graph["w"].tolist(), strict=True):
-            out.setdefault(u, []).append((v, w))
+    asked = pairs.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct().groupBy("src").agg(F.collect_list("dst").alias("dsts"))
+    schema = "src long, dst long, weight string, total double, path array<long>"
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.int64()))
+
+    def rows_of(out: dict, name: str, src: int, dsts: list[int]) -> list[tuple]:
+        return [(src, dst, name, d, path) for dst, (d, path) in best_routes(out, src, set(dsts)).items()]
+
+    graph = broadcast_graph(edges, "u", "v", weights, small)
+    if graph is not None:
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            outs = None
+            for batch in batches:
+                outs = [adjacency(graph.value, k) for k in range(len(weights))] if outs is None else outs
+                for src, dsts in zip(batch.column("src").to_pylist(), batch.column("dsts").to_pylist(), strict=True):
+                    rows = [x for name, out in zip(weights, outs, strict=True) for x in rows_of(out, name, src, dsts)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["src", "dst", "weight", "total", "path"])
+
+        return asked.repartition("src").mapInArrow(search, schema)
+    parts = max(1, -(-asked.count() // portion))
+    work = asked.withColumn("part", F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int"))
+    copies = edges.select("u", "v", *weights).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def meet(key: tuple, asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for src, dsts in asked.groupby("src")["dst"]:
-            left = set(dsts.tolist())
-            dist, came, heap, done = {src: 0.0}, {}, [(0.0, src)], set()
-            while heap and left:
-                d, u = heapq.heappop(heap)
-                if u in done:
-                    continue
-                done.add(u)
-                if u in left:
-                    left.discard(u)
-                    path = [u]
-                    while path[-1] != src:
-                        path.append(came[path[-1]])
-                    rows.append((src, u, d, path[::-1]))
-                for v, w in out.get(u, ()):
-                    if (nd := d + w) < dist.get(v, float("inf")) or (nd == dist.get(v) and u < came.get(v, u)):
-                        dist[v], came[v] = nd, u
-                        heapq.heappush(heap, (nd, v))
-        return pd.DataFrame(rows, columns=["src", "dst", "total", "path"])
-
-    return work.groupBy("part").cogroup(graph.groupBy("part")).applyInPandas(search, "src long, dst long, total double, path array<long>")
+        for name in weights:
+            out: dict[int, list] = {}
+            for u, v, w in zip(graph["u"].tolist(), graph["v"].tolist(), graph[name].tolist(), strict=True):
+                out.setdefault(u, []).append((v, w))
+            rows += [x for src, dsts in zip(asked["src"].tolist(), asked["dsts"], strict=True) for x in rows_of(out, name, src, list(dsts))]
+        return pd.DataFrame(rows, columns=["src", "dst", "weight", "total", "path"])
+
+    return work.groupBy("part").cogroup(copies.groupBy("part")).applyInPandas(meet, schema)
 
 
 def path_metrics(routes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -85,9 +111,9 @@ def route_batch(requests: DataFrame, nodes: DataFrame, edges: DataFrame, cos_lat
     side = lambda x, to: snapped.filter(F.col("end") == x).select(F.col("req").alias("id"), F.col("node_id").alias(to), F.col("snap_m").alias(f"{to}_snap_m"), F.col("out_of_bounds").alias(f"{to}_out"))
     asked = requests.join(side("o", "src"), "id").join(side("d", "dst"), "id")
     good = asked.filter("not src_out and not dst_out").select("src", "dst")
-    both = None
+    routes, both = cut(shortest_routes(good, edges, ("cost", "length_m"))), None
     for name, weight in (("cycling", "cost"), ("shortest", "length_m")):
-        r = shortest_routes(good, edges, weight).select(F.struct("src", "dst").alias("od"), "path")
+        r = routes.filter(F.col("weight") == weight).select(F.struct("src", "dst").alias("od"), "path")
         m = path_metrics(r, edges, "od").select("od", F.struct("path", "distance_m", "distance_km", "cycling_infra_km", "cycling_infra_pct", "cost_score", "streets").alias(name))
         both = m if both is None else both.join(m, "od")
     c, s = F.col("cycling"), F.col("shortest")

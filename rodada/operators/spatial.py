@@ -3,8 +3,7 @@
 A distance predicate alone gives Spark a nested-loop join. Here points get cells whose side is the radius, in metres on
 both axes, one side is repeated into its 3 x 3 neighbour cells, and an equi-join on the cell is followed by the exact
 distance. Work and shuffle grow with the points and their true neighbours; a crowded cell is a skewed join key, which
-adaptive execution splits. The nearest-neighbour join widens its ring only for points that found nothing, so the last
-resort (a broadcast nested loop) sees few rows.
+adaptive execution splits. The nearest-neighbour join widens its ring only for points that found nothing.
 
 Points are DataFrames with id, lon, lat. Rows with a null coordinate match nothing.
 """
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rodada.functions.geo import around, haversine_m, metre_cells, planar_m
+from rodada.operators.work import cut, drop
 
 
 def _celled(points: DataFrame, size_m: float, cos_lat: Column | float, spread: int = 0) -> DataFrame:
@@ -51,20 +51,27 @@ def radius_count(left: DataFrame, right: DataFrame, radius_m: float, cos_lat: Co
 def nearest(left: DataFrame, right: DataFrame, cos_lat: Column | float, cell_m: float = 1000.0, metric: str = "planar") -> DataFrame:
     """left with near_id and near_m: the closest right point, the smaller id on ties; null if right is empty.
 
-    A match in the 3 x 3 cells is exact if it is within the cell's side; what isn't settled is compared with the points
-    of a ring eight times as wide, and then with all of them.
+    A match in the 3 x 3 cells is exact if it is within the cell's side; what isn't settled meets cells eight times as
+    wide, until all are settled or the cells are wider than the earth.
     """
     dist = planar_m if metric == "planar" else (lambda a, b, c, d, _: haversine_m(a, b, c, d))
-    pts = left.select("id", "lon", "lat").filter("lon is not null and lat is not null")
-    out = None
-    for size in (cell_m, cell_m * 8):
-        l, r = _celled(pts, size, cos_lat).alias("l"), _celled(right.select("id", "lon", "lat"), size, cos_lat, 1).alias("r")
+    place = "lon is not null and lat is not null"
+    pts, there = cut(left.select("id", "lon", "lat").filter(place)), cut(right.select("id", "lon", "lat").filter(place))
+    size, out = cell_m, []
+    while True:
+        l, r = _celled(pts, size, cos_lat).alias("l"), _celled(there, size, cos_lat, 1).alias("r")
         d = dist(F.col("l.lon"), F.col("l.lat"), F.col("r.lon"), F.col("r.lat"), cos_lat)
         best = l.join(r, (F.col("l._cx") == F.col("r._cx")) & (F.col("l._cy") == F.col("r._cy"))).select(F.col("l.id").alias("id"), d.alias("d"), F.col("r.id").alias("r")).groupBy("id").agg(F.min(F.struct("d", "r")).alias("b"))
-        settled = best.filter(F.col("b.d") <= size * 0.99).select("id", F.col("b.r").alias("near_id"), F.col("b.d").alias("near_m"))
-        out = settled if out is None else out.unionByName(settled)
-        pts = pts.join(settled.select("id"), "id", "left_anti")
-    d = dist(F.col("l.lon"), F.col("l.lat"), F.col("r.lon"), F.col("r.lat"), cos_lat)
-    rest = pts.alias("l").join(right.filter("lon is not null and lat is not null").select("id", "lon", "lat").alias("r")).select(F.col("l.id").alias("id"), F.struct(d.alias("d"), F.col("r.id").alias("r")).alias("b")).groupBy("id").agg(F.min("b").alias("b"))
-    out = out.unionByName(rest.select("id", F.col("b.r").alias("near_id"), F.col("b.d").alias("near_m")))
-    return left.join(out, "id", "left")
+        last = size > 50_000_000
+        out.append(cut(best.filter(F.lit(last) | (F.col("b.d") <= size * 0.99)).select("id", F.col("b.r").alias("near_id"), F.col("b.d").alias("near_m"))))
+        if last:
+            break
+        rest = cut(pts.join(out[-1].select("id"), "id", "left_anti"))
+        drop(pts)
+        pts, size = rest, size * 8
+        if pts.isEmpty():
+            break
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return left.join(found, "id", "left")

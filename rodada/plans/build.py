@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rodada.functions.tags import classify_cycleway, cycleway_display
 from rodada.operators import gaps, graph
 from rodada.operators.expansion import plan_expansion
-from rodada.operators.iterative import cut
+from rodada.operators.work import cut
 from rodada.operators.pois import deduplicate_pois, parse_pois
 from rodada.sources.osm import cycleway_scan, place_scan, read_elements, road_scan, split_elements
 from rodada.sources.sinks import write_features, write_graph

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rodada.functions import geo, scores, tags, text
 from rodada.operators import cluster, gaps, graph, pois, routing, spatial
-from rodada.operators.iterative import bounded_paths, cut, first_fit
+from rodada.operators.iterative import bounded_paths, first_fit
+from rodada.operators.work import cut
 from rodada.plans.fixtures import COS_LAT, ctes, fixture, way_tags
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -21,7 +21,8 @@ def _cloud(n, seed, span=0.02):
     return [(i, -71.24 + r.random() * span, -34.98 + r.random() * span) for i in range(n)]
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("small", [0, iterative.SMALL])
+def test_connected_components(spark, small):
     r = random.Random(3)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)] + [(500, 500)]
     root = {}
@@ -35,26 +36,33 @@ def test_connected_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {x["node"]: x["component"] for x in iterative.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {x["node"]: x["component"] for x in iterative.connected_components(spark.createDataFrame(edges, "src long, dst long"), small=small).collect()}
     assert got == {x: find(x) for x in list(root)}
 
 
-def test_first_fit_equals_sequential_pass(spark):
+@pytest.mark.parametrize("small", [0, 30, iterative.SMALL])
+def test_first_fit_equals_sequential_pass(spark, small):
     r = random.Random(5)
     pairs = sorted({(max(a, b), min(a, b)) for a, b in ((r.randrange(40), r.randrange(40)) for _ in range(70)) if a != b})
     kept = []
     for i in range(40):
         if not any((i, k) in pairs for k in kept):
             kept.append(i)
-    got = iterative.first_fit(spark.range(40), spark.createDataFrame(pairs, "later long, earlier long"))
+    got = iterative.first_fit(spark.range(40), spark.createDataFrame(pairs, "later long, earlier long"), small)
     assert sorted(x["id"] for x in got.collect()) == kept
 
 
-def test_bounded_paths(spark):
+def test_first_fit_of_a_long_chain(spark):
+    chain = spark.range(1, 3000).selectExpr("id as later", "id - 1 as earlier")
+    assert sorted(x["id"] for x in iterative.first_fit(spark.range(3000), chain).collect()) == list(range(0, 3000, 2))
+
+
+@pytest.mark.parametrize("small", [0, iterative.SMALL])
+def test_bounded_paths(spark, small):
     r = random.Random(7)
     edges = {(a, b): float(r.randrange(1, 50)) for a, b in ((r.randrange(20), r.randrange(20)) for _ in range(70)) if a != b}
     df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "u long, v long, w double")
-    got = {(x["query"], x["node"]): x for x in iterative.bounded_paths(df, spark.createDataFrame([(0, 0), (3, 3)], "query long, node long"), 80.0).collect()}
+    got = {(x["query"], x["node"]): x for x in iterative.bounded_paths(df, spark.createDataFrame([(0, 0), (3, 3)], "query long, node long"), 80.0, small=small).collect()}
     want = {}
     for s in (0, 3):
         heap, done = [(0.0, s)], {}
