@@ -1,10 +1,7 @@
-"""Shared plumbing of the training-data operators: tables, the shared work folder, materialising, row access."""
+"""Shared plumbing of the training-data operators: tables, objects that workers keep, row access, samples."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,34 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder name in the folder that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            base = jdir.get()
-        else:  # single-machine sessions such as tests
-            base = "file://" + tempfile.mkdtemp(prefix="rodada-checkpoint-")
-            spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/rodada-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df as Parquet to the shared folder and read it back. Survives lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark)
-    df.write.parquet(path)
-    free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs: they go once the driver's plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @lru_cache(maxsize=4)
 def kept(make: Callable, *settings):
     """make(*settings), kept by the worker process: Spark gives a process many tasks, which then find caches warm.
