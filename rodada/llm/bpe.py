@@ -21,14 +21,16 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rodada.llm.chunks import PieceCache, byte_letters, pieces
-from rodada.llm.common import texts
+from rodada.llm.chunks import PieceCache, byte_letters, lines, pieces
+from rodada.llm.common import kept, texts
 
 
 class MergeList:
@@ -52,26 +54,52 @@ class MergeList:
             self.halves.append(pair)
             self.bytes.append(a + b)
         self.ids = [vocab["".join(letters[x] for x in t)] for t in self.bytes]
-        self.longest = max(map(len, self.bytes))
-        # a trie of the tokens: node * 256 + byte -> 256 * child node; token_at: the node's token or -1
-        self.child: dict[int, int] = {}
-        self.token_at = [-1]
+        # an automaton over the tokens: node * 256 + byte -> 256 * next node, for the trie's edges; other steps are found by step()
+        self.edge: dict[int, int] = {}
+        ends, parent = [-1], [(0, 0)]  # of each node: the token that it spells, or -1; (256 * parent, byte)
         for token, t in enumerate(self.bytes):
             node = 0
             for b in t:
-                nxt = self.child.get(node + b)
+                nxt = self.edge.get(node + b)
                 if nxt is None:
-                    nxt = self.child[node + b] = len(self.token_at) << 8
-                    self.token_at.append(-1)
+                    nxt = self.edge[node + b] = len(ends) << 8
+                    ends.append(-1)
+                    parent.append((node, b))
                 node = nxt
-            self.token_at[node >> 8] = token
+            ends[node >> 8] = token
+        self.found: dict[int, int] = {}
+        self.fail = [0] * len(ends)  # 256 * the node of the longest proper suffix
+        self.longest = [-1] * len(ends)  # the longest token that is a suffix of what the node spells
+        depth = [0] * len(ends)
+        for k in range(1, len(ends)):
+            depth[k] = depth[parent[k][0] >> 8] + 1
+        for k in sorted(range(1, len(ends)), key=depth.__getitem__):
+            up, b = parent[k]
+            if up:
+                self.fail[k] = self.step(self.fail[up >> 8], b)
+            self.longest[k] = ends[k] if ends[k] >= 0 else self.longest[self.fail[k] >> 8]
+        self.size = [len(t) for t in self.bytes]
+        self.shorter = [-1] * len(self.bytes)  # the longest token that is a proper suffix of the token
+        for k in range(1, len(ends)):
+            if ends[k] >= 0:
+                self.shorter[ends[k]] = self.longest[self.fail[k] >> 8]
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of_id = {i: t for i, t in zip(self.ids, self.bytes, strict=True)} | {i: s.encode() for s, i in self.added.items()}
 
-    @property
+    def step(self, node: int, byte: int) -> int:
+        """The node after a byte that leaves the trie's edges; steps that were found are kept, 1,000,000 at most."""
+        at = node
+        while (nxt := self.edge.get(at + byte)) is None and at:
+            at = self.fail[at >> 8]
+        if len(self.found) >= 1_000_000:
+            self.found.clear()
+        self.found[node + byte] = nxt = nxt or 0
+        return nxt
+
+    @cached_property
     def lookahead(self) -> int:
         """Bytes that must follow a place before no later byte can change the boundaries before it: see above."""
-        return self.longest
+        return max(self.size)
 
 
 class StreamEncoder:
@@ -84,7 +112,7 @@ class StreamEncoder:
 
     def reset(self) -> None:
         self.last: list[int] = []  # of each prefix after the last emitted token, its last token
-        self.open: list[tuple[int, int]] = []  # (start, node) of the strings that may still grow to a token
+        self.node = 0  # the automaton's, after all bytes so far
         self.before = -1  # the token emitted last
 
     def _stable(self, a: int, b: int) -> bool:
@@ -114,24 +142,26 @@ class StreamEncoder:
         return ok
 
     def push(self, data: bytes) -> None:
-        last, before, open_ = self.last, self.before, self.open
-        child, token_at, known, check = self.m.child.get, self.m.token_at, self.stable.get, self._stable
+        last, before, node, n = self.last, self.before, self.node, len(self.last)
+        m, known, check, add = self.m, self.stable.get, self._stable, self.last.append
+        edge, found, longest, shorter, size = m.edge.get, m.found.get, m.longest, m.shorter, m.size
         for byte in data:
-            open_.append((len(last), 0))
-            grown, found = [], -1
-            for start, node in open_:  # ascending starts: the longest token first
-                node = child(node + byte)
-                if node is None:
-                    continue
-                grown.append((start, node))
-                if found < 0 and (token := token_at[node >> 8]) >= 0:
+            nxt = edge(node + byte)
+            if nxt is None and (nxt := found(node + byte)) is None:
+                nxt = m.step(node, byte)
+            node, n = nxt, n + 1
+            token = longest[node >> 8]
+            while True:  # the longest token first
+                start = n - size[token]
+                if start >= 0:
                     left = last[start - 1] if start else before
-                    ok = left < 0 or known(left << 32 | token)
-                    if ok or (ok is None and check(left, token)):
-                        found = token
-            last.append(found)
-            open_ = grown
-        self.open = open_
+                    if left < 0 or (ok := known(left << 32 | token)) or (ok is None and check(left, token)):
+                        break
+                token = shorter[token]
+                if token < 0:
+                    raise ValueError("no token of the merge list ends here")
+            add(token)
+        self.node = node
 
     def _cut(self, end: int) -> list[int]:
         """The tokens of the prefix of that length."""
@@ -153,7 +183,6 @@ class StreamEncoder:
         out = self._cut(end)
         if out:
             self.last, self.before = self.last[end:], out[-1]
-            self.open = [(start - end, node) for start, node in self.open if start >= end]
         return out
 
     def finish(self) -> list[int]:
@@ -168,6 +197,13 @@ class StreamEncoder:
                 yield from self.settled()
         yield from self.finish()
 
+    def word(self, stream: bytes, step: int = 1024) -> list[int]:
+        """All tokens of a pre-token."""
+        if len(stream) > step:
+            return list(self.encode(stream, step))
+        self.push(stream)
+        return self.finish()
+
 
 class Bpe:
     """Whole-text encoding and decoding with the transducer; pre-tokens are found by the byte-level pattern."""
@@ -175,39 +211,42 @@ class Bpe:
     #: Fixed value: the byte-level pre-token pattern of the tokenizers library.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 600_000):
         import regex
 
         self.m = MergeList(path)
+        self.code = "H" if max(self.m.bytes_of_id) < 1 << 16 else "I"
         self.stream, self.find = StreamEncoder(self.m), regex.compile(self.PATTERN).finditer
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.m.added, key=len, reverse=True)))) if self.m.added else None
-        self.token = PieceCache(self._pretoken, cache // 2, "", glue=False)
-        self.head = PieceCache(self._piece, cache // 8, "")
+        self.token = PieceCache(self._pretoken, cache // 8, "", glue=False)
+        self.head = PieceCache(self._piece, cache // 4, "")
         self.tail = PieceCache(self._piece, cache)
+        self.line_end = self._pretoken("\n")
 
-    def _pretoken(self, s: str) -> tuple[int, ...]:
-        return tuple(map(self.m.ids.__getitem__, self.stream.encode(s.encode())))
+    def _pretoken(self, s: str) -> bytes:
+        return array(self.code, map(self.m.ids.__getitem__, self.stream.word(s.encode()))).tobytes()
 
-    def _piece(self, s: str) -> tuple[int, ...]:
+    def _piece(self, s: str) -> bytes:
         if s.isalpha() or (s[:1] == " " and s[1:].isalpha()):
             return self._pretoken(s)
-        return tuple(i for p in self.find(s) for i in self.token[p[0]])
+        return b"".join([self.token[p[0]] for p in self.find(s)])
+
+    def _plain(self, text: str) -> bytes:
+        return self.line_end.join([self._line(x) for x in lines(text)])
 
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        first, *rest = pieces(text)
-        yield self.head[first]
-        yield from map(self.tail.__getitem__, rest)
+    def _line(self, line: str) -> bytes:
+        first, *rest = pieces(line)
+        return self.head[first] + b"".join(map(self.tail.__getitem__, rest))
 
-    def encode(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Runs of ids, in order."""
-        at = 0
+    def encode(self, text: str) -> array:
+        """The ids of a whole text."""
+        runs, at = [], 0
         for hit in self.special.finditer(text) if self.special else ():
-            yield from self._plain(text[at : hit.start()])
-            yield (self.m.added[hit[0]],)
+            runs += [self._plain(text[at : hit.start()]), array(self.code, [self.m.added[hit[0]]]).tobytes()]
             at = hit.end()
-        yield from self._plain(text[at:] if at else text)
+        return array(self.code, b"".join([*runs, self._plain(text[at:] if at else text)]))
 
-    def decode(self, ids: list[int], block: int = 1 << 16) -> Iterator[str]:
+    def decode(self, ids: Sequence[int], block: int = 1 << 16) -> Iterator[str]:
         """Text of the ids, a block at a time; ids without a token are left out."""
         state, of = codecs.getincrementaldecoder("utf-8")("replace"), self.m.bytes_of_id
         for at in range(0, len(ids), block):
@@ -220,13 +259,13 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else "")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(tokenizer_path)
+        bpe = kept(Bpe, tokenizer_path)
         decimal = [b"%d" % i for i in range(1 + max(bpe.m.bytes_of_id))]
         for batch in batches:
             for rows, strings in texts(batch, "text", 64):
                 out: list[tuple] = []
                 for s in strings:
-                    ids = [i for run in bpe.encode(s or "") for i in run]
+                    ids = bpe.encode(s or "").tolist()
                     text, whole = hashlib.sha256(), []
                     for part in bpe.decode(ids):
                         text.update(part.encode())
