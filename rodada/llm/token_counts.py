@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rodada.llm.chunks import PieceCache, WordTokens, can_cut, load_tokenizer, pieces, special_strings
+from rodada.llm.chunks import PieceCache, WordTokens, can_cut, lines, load_tokenizer, pieces, special_strings
 from rodada.llm.common import kept, texts
 
 MAX_TABLE_BYTES = 8 << 20
@@ -63,7 +63,8 @@ class Summary:
             self.seen = Counter(dict(self.seen.most_common(4 * self.size)))
 
     def add(self, text: str) -> None:
-        self.seen.update(pieces(text)[1:])
+        for line in lines(text):
+            self.seen.update(pieces(line)[1:])
         self._bounded()
 
     def merge(self, joined: str, counts: bytes) -> None:
@@ -117,14 +118,18 @@ class CachedCounter:
 
     def __init__(self, path: str, cache_size: int):
         self.library = LibraryCounter(path)
-        self.head, self.tail = PieceCache(self.library.count, cache_size // 8, ""), PieceCache(self.library.count, cache_size)
+        self.head, self.tail = PieceCache(self.library.count, cache_size // 4, ""), PieceCache(self.library.count, cache_size)
+        self.line_end = self.library.count("\n") if self.library.cut else 0
 
     def tokens(self, text: str, first: dict) -> int:
         """Tokens of a whole text; first is the broadcast table, which turns to the caches for what it lacks."""
         if not self.library.cut or any(s in text for s in self.library.special):
             return self.library.count(text)
-        start, *rest = pieces(text)
-        return self.head[start] + sum(map(first.__getitem__, rest))
+        n = -self.line_end
+        for line in lines(text):
+            start, *rest = pieces(line)
+            n += self.line_end + self.head[start] + sum(map(first.__getitem__, rest))
+        return n
 
 
 class FirstTier(dict):
