@@ -8,10 +8,12 @@ are judged on the input. Steps:
 2. Anchors. Each window of `length` bytes names the smallest (by hash, leftmost) of its `gram`-byte grams. Equal windows
    name equal grams at equal offsets, so only windows of anchors that occur twice can repeat. One in seventy positions
    or so is an anchor; counting them needs no bytes of text.
-3. Cells. The smallest document that has an anchor leads its cell; every document sends its stretches of text around
-   the anchors of a cell there. Hot cells are dealt to blocks by document, with the leader in each block.
-4. A block's stretches are joined, each with an end mark of its own; their suffix array gives the Burrows-Wheeler
-   transform. Starting with the empty string's interval, each round extends every open interval backwards by each byte
+3. Cells. The smallest text that has an anchor leads it; the anchors that stand first in one stretch of STRETCH bytes of
+   their leader are a cell. Every text sends its bytes around the anchors of a cell there. Hot cells are dealt to blocks
+   by text and slice; each block also gets the leader's stretch, which is bounded. So work is linear in what is sent,
+   also for a text that repeats itself.
+4. A block's stretches are joined, each with an end mark of its own; their suffix array, sorted by the first `length`
+   bytes or more, gives the Burrows-Wheeler transform. Starting with the empty string's interval, each round extends every open interval backwards by each byte
    that precedes it (LF mapping) and so derives the common-prefix lengths of neighbouring suffixes by increasing value:
    an interval's right border gets the round's length if it had none, and only then stays open. After `length` rounds
    the borders without a value are those whose neighbours share `length` bytes or more: repeated windows.
@@ -34,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rodada.llm.common import free_shuffles, materialize, texts
+from rodada.llm.common import texts
+from rodada.operators.work import cut, drop
 
 LENGTH, GRAM = 200, 64
-SLICE = 1 << 18
+SLICE, STRETCH = 1 << 18, 1 << 16
 PIECE = 2048
 BLOCK_BYTES = 1 << 20
 
@@ -94,8 +97,11 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return at, h[at]
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; the symbols are small and end marks in them are distinct."""
+def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes sorted by their first `depth` symbols or more, then by place, by prefix doubling.
+
+    The symbols are small; end marks in them are distinct.
+    """
     n = len(symbols)
     bits = max(int(n - 1).bit_length(), int(symbols.max() + 1).bit_length(), 1)
     rank, step, place = symbols.astype(np.uint64), 1, np.arange(n, dtype=np.uint64)
@@ -111,12 +117,14 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         else:
             order = np.argsort(key, kind="stable")
             key = key[order]
+        step *= 2
+        if step >= min(depth, n):
+            return order
         fresh = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        if fresh[-1] == n - 1:
+            return order
         rank = np.empty(n, np.uint64)
         rank[order] = fresh
-        if fresh[-1] == n - 1 or step >= n:
-            return order
-        step *= 2
 
 
 def repeated_windows(pieces: list[np.ndarray], length: int, groups: bool = False):
@@ -134,12 +142,12 @@ def repeated_windows(pieces: list[np.ndarray], length: int, groups: bool = False
     inside = np.ones(n, np.bool_)
     inside[ends] = False
     text[inside] = np.concatenate(pieces).astype(np.int32) + m
-    sa = suffix_array(text)
-    before = text[sa - 1]  # the Burrows-Wheeler transform
-    lf = np.empty(n, np.int32)
-    lf[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
+    sa = suffix_array(text, length + 1)
+    at_row = np.empty(n, np.int32)
+    at_row[sa] = np.arange(n, dtype=np.int32)
+    lf = at_row[sa - 1]  # the row of the suffix that is longer by the byte before
     first = text[sa]
-    before = before >= m  # only whether it is a byte is asked for from here on
+    before = text[sa - 1] >= m  # of the Burrows-Wheeler transform, only whether it is a byte is asked for from here on
     known = np.zeros(n + 1, np.bool_)  # borders that have their common-prefix length
     known[: m + 1] = known[n] = True
     owner = np.zeros(n, np.int32)
@@ -168,12 +176,12 @@ def repeated_windows(pieces: list[np.ndarray], length: int, groups: bool = False
     twice = np.zeros(n, np.bool_)
     twice[sa[1:][same]] = True
     twice[sa[:-1][same]] = True
-    cut = lambda x: [x[a : a + max(0, s - length + 1)] for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    of_pieces = lambda x: [x[a : a + max(0, s - length + 1)] for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)]
     if not groups:
-        return cut(twice)
+        return of_pieces(twice)
     number = np.empty(n, np.int32)
     number[sa] = np.concatenate(([0], np.cumsum(~same)))
-    return cut(twice), cut(number)
+    return of_pieces(twice), of_pieces(number)
 
 
 def runs(flags: np.ndarray, offset: int = 0) -> list[tuple[int, int]]:
@@ -230,8 +238,8 @@ def _search(source: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
     reach, long_gram = length - gram, max(1, length - length // 10)
     n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lead", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("hot", pa.bool_()), ("bytes", pa.binary())])
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("cell", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("hot", pa.bool_()), ("pivot", pa.bool_()), ("bytes", pa.binary())])
         for batch in batches:
             for rows, strings in texts(batch, "text", 64):
                 out = []
@@ -242,24 +250,24 @@ def _search(source: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                         for a, b in union([(max(j["part"] * SLICE, x - reach), min(end, x + length)) for x in j["at"]]):
                             for p in range(a, max(a + 1, b - length + 1), PIECE):
                                 piece = data[p : min(b, p + PIECE + length - 1)]
-                                out += [(j["lead"], k, doc_id, th, p, j["hot"], piece) for k in j["blocks"]]
+                                out += [(j["cell"], k, doc_id, th, p, j["hot"], j["pivot"], piece) for k in j["blocks"]]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("lead", pa.int64()), ("starts", span), ("open", pa.list_(pa.struct([("w", pa.binary()), ("at", pa.int32()), ("g", pa.int64())])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("cell", pa.int64()), ("starts", span), ("open", pa.list_(pa.struct([("w", pa.binary()), ("at", pa.int32()), ("g", pa.int64())])))])
         held: list[tuple] = []
         size, key = 0, None
 
         def done() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            # cells that share a call may overlap in a document: each of its bytes must be there once
+            # cells that share a call, and a leader's stretch and other slices, may overlap: each byte must be there once
             by_doc: dict[tuple, list] = {}
             for x in held:
                 by_doc.setdefault((x["doc_id"], x["th"]), []).append((x["start"], x["bytes"]))
-            hot, lead = held[-1]["hot"], held[-1]["lead"]
+            hot, cell = held[-1]["hot"], held[-1]["cell"]
             pieces = [(d, at, piece) for d, parts in by_doc.items() for at, piece in joined(parts, length)]
             arrays = [np.frombuffer(x, np.uint8) for _, _, x in pieces]
             flags, numbers = repeated_windows(arrays, length, True) if hot else (repeated_windows(arrays, length), None)
@@ -267,85 +275,117 @@ def _search(source: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
             for (d, start, _), f in zip(pieces, flags, strict=True):
                 starts.setdefault(d, []).extend({"a": a, "b": b} for a, b in runs(f, start))
             open_: dict[tuple, list] = {}
-            if hot:  # the leader is in every block: what equals it is settled; of other equal windows one is told of
-                settled = np.unique(np.concatenate([g for (d, _, _), g in zip(pieces, numbers, strict=True) if d[0] == lead] or [np.zeros(0, np.int32)]))
-                for (d, start, x), f, g in zip(pieces, flags, numbers, strict=True):
-                    if d[0] != lead:
-                        new = np.flatnonzero(~f)
-                        told, where = np.unique(g[f], return_index=True)
-                        old = np.flatnonzero(f)[where[~np.isin(told, settled)]]
-                        settled = np.union1d(settled, told)
-                        at, h = named_grams(np.frombuffer(x, np.uint8), length, long_gram)
-                        g = h.view(np.int64)[at] if len(at) else at
-                        tell = lambda k, place: {"w": hashlib.blake2b(x[k : k + length], digest_size=16).digest(), "at": place, "g": int(g[k])}  # noqa: B023, E731
-                        open_.setdefault(d, []).extend(tell(k, start + k) for k in new.tolist())
-                        open_[d].extend(tell(k, -1) for k in old.tolist())
-            rows = [(*d, lead, s, open_.get(d, [])) for d, s in starts.items() if s or open_.get(d)]
+            if hot:  # the leader's stretch is in every block: what equals it is settled; of other equal windows one is told of
+                pivots = union([(x["start"], x["start"] + len(x["bytes"]) - length + 1) for x in held if x["pivot"]])
+                leader = next(((x["doc_id"], x["th"]) for x in held if x["pivot"]), None)
+                everywhere = []
+                for (d, start, _), f in zip(pieces, flags, strict=True):
+                    there = np.zeros(len(f), np.bool_)
+                    for a, b in pivots if d == leader else ():
+                        there[max(0, a - start) : max(0, b - start)] = True
+                    everywhere.append(there)
+                settled = np.unique(np.concatenate([g[e] for g, e in zip(numbers, everywhere, strict=True)]))
+                for (d, start, x), f, g, e in zip(pieces, flags, numbers, everywhere, strict=True):
+                    new = np.flatnonzero(~f & ~e)
+                    told, where = np.unique(g[f], return_index=True)
+                    old = np.flatnonzero(f)[where[~np.isin(told, settled)]]
+                    settled = np.union1d(settled, told)
+                    at, h = named_grams(np.frombuffer(x, np.uint8), length, long_gram)
+                    g = h.view(np.int64)[at] if len(at) else at
+                    tell = lambda k, place: {"w": hashlib.blake2b(x[k : k + length], digest_size=16).digest(), "at": place, "g": int(g[k])}  # noqa: B023, E731
+                    open_.setdefault(d, []).extend(tell(k, start + k) for k in new.tolist())
+                    open_[d].extend(tell(k, -1) for k in old.tolist())
+            rows = [(*d, cell, s, open_.get(d, [])) for d, s in starts.items() if s or open_.get(d)]
             held.clear()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
             for x in batch.to_pylist():
-                if key != (x["lead"], x["block"]) and size > 0 and (size > (1 << 19) or x["hot"] or held[-1]["hot"]):
+                if key != (x["cell"], x["block"]) and size > 0 and (size > (1 << 19) or x["hot"] or held[-1]["hot"]):
                     yield from done()
                     size = 0
-                key = (x["lead"], x["block"])
+                key = (x["cell"], x["block"])
                 held.append(x)
                 size += len(x["bytes"]) + 1
         yield from done()
 
-    cuts = source.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]).mapInArrow(cut, f"lead long, block int, {_KEY}, start int, hot boolean, bytes binary")
-    together = cuts.repartition(n, "lead", "block").sortWithinPartitions("lead", "block")
-    return together.mapInArrow(search, f"{_KEY}, lead long, starts array<struct<a:int,b:int>>, open array<struct<w:binary,at:int,g:bigint>>")
+    pieces = source.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]).mapInArrow(stretches, f"cell long, block int, {_KEY}, start int, hot boolean, pivot boolean, bytes binary")
+    together = pieces.repartition(n, "cell", "block").sortWithinPartitions("cell", "block")
+    return together.mapInArrow(search, f"{_KEY}, cell long, starts array<struct<a:int,b:int>>, open array<struct<w:binary,at:int,g:bigint>>")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """(doc_id, th, part, cell, pivot, at array) from anchors (h, doc_id, th, part, at) that occur twice or more.
+
+    Anchors that make more than a fraction of all rows are joined by broadcast, which bounds them to a multiple of the
+    number of partitions; the join of the others has no hot key.
+    """
+    first = F.min(F.struct("doc_id", "th", "at")).alias("f")
+    leaders = cut(rows.groupBy("h").agg(first, F.count("*").alias("times")).filter("times > 1").select("h", "times", F.col("f.doc_id").alias("l_doc"), F.col("f.th").alias("l_th"), F.floor(F.col("f.at") / STRETCH).cast("int").alias("l_k")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = leaders.agg(F.sum("times")).first()[0] or 0
+    often = F.col("times") > max(100, total // (16 * parts))  # 16 * parts of them at most
+    plain = leaders.drop("times")
+    many, few = F.broadcast(leaders.filter(often).drop("times")), leaders.filter(~often).drop("times")
+    cold = rows.join(F.broadcast(leaders.filter(often).select("h")), "h", "left_anti").join(few, "h").select("doc_id", "th", "part", "at", *plain.columns[1:])
+    hot = rows.join(many, "h").select(*cold.columns)
+    pivot = (F.col("doc_id") == F.col("l_doc")) & (F.col("th") == F.col("l_th")) & (F.floor(F.col("at") / STRETCH) == F.col("l_k"))
+    found = cold.unionByName(hot).select("doc_id", "th", "part", "at", F.xxhash64("l_doc", "l_th", "l_k").alias("cell"), pivot.alias("pivot"))
+    out = cut(found.groupBy("doc_id", "th", "part", "cell", "pivot").agg(F.collect_list("at").alias("at")))
+    drop(leaders)
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(source with doc_id, th, text; info with doc_id, th, copies, starts): starts are runs of repeated windows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).filter("doc_id is not null")
-    keys = materialize(source.select("doc_id", "th", F.sha2("text", 256).alias("sha")))
-    classes = materialize(keys.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.first("th").alias("th"), F.count("*").alias("copies")))
+    keys = cut(source.select("doc_id", "th", F.sha2("text", 256).alias("sha")))
+    classes = cut(keys.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.first("th").alias("th"), F.count("*").alias("copies")))
     reps = classes.select(F.col("rep").alias("doc_id"), "th")
-    found = materialize(_anchor_rows(source, length, gram))
-    rows = found.join(reps.hint("shuffle_hash"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th", "part"]).select("doc_id", "th", "part", F.explode(F.arrays_zip("h", "at")).alias("x")).select("doc_id", "th", "part", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
-    leaders = rows.groupBy("h").agg(F.min("doc_id").alias("lead"), F.count("*").alias("times")).filter("times > 1").select("h", "lead")
-    cells = materialize(rows.join(leaders, "h").groupBy("doc_id", "th", "part", "lead").agg(F.collect_list("at").alias("at")))
-    sizes = cells.groupBy("lead").agg(F.sum(F.size("at") * 90 + 2 * length).alias("bytes"))
-    dealt = cells.join(sizes, "lead").withColumn("n", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
-    pivot = F.col("doc_id") == F.col("lead")
-    blocks = F.when(pivot, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "th", "part"), F.col("n")).cast("int")))
-    wanted = dealt.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lead", "part", (F.col("n") > 1).alias("hot"), blocks.alias("blocks"), "at")).alias("jobs"))
-    made = materialize(_search(source, wanted, length, gram))
+    found = cut(_anchor_rows(source, length, gram))
+    mine = cut(found.join(reps.hint("shuffle_hash"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th", "part"]))
+    drop(found)
+    rows = mine.select("doc_id", "th", "part", F.explode(F.arrays_zip("h", "at")).alias("x")).select("doc_id", "th", "part", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
+    cells = _cells(rows)
+    drop(mine)
+    sizes = cells.groupBy("cell").agg(F.sum(F.size("at") * 90 + 2 * length).alias("bytes"))
+    dealt = cells.join(sizes, "cell").withColumn("n", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
+    blocks = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "th", "part"), F.col("n")).cast("int")))
+    wanted = dealt.groupBy("doc_id", "th").agg(F.collect_list(F.struct("cell", "part", (F.col("n") > 1).alias("hot"), "pivot", blocks.alias("blocks"), "at")).alias("jobs"))
+    made = cut(_search(source, wanted, length, gram))
+    drop(cells)
     starts = made.select("doc_id", "th", F.explode("starts").alias("s"))
     # equal windows name equal long grams: a window of which that gram is nowhere else in the cell is alone
-    grams = made.select("doc_id", "th", "lead", F.explode(F.array_distinct(F.transform("open", lambda x: x["g"]))).alias("g"))
-    shared = grams.join(grams.groupBy("lead", "g").agg(F.count("*").alias("c")).filter("c > 1").select("lead", "g"), ["lead", "g"]).groupBy("doc_id", "th", "lead").agg(F.collect_set("g").alias("gs"))
-    left = made.filter(F.size("open") > 0).join(shared, ["doc_id", "th", "lead"]).select("doc_id", "th", "lead", F.filter("open", lambda x: F.array_contains("gs", x["g"])).alias("open"))
-    open_ = materialize(left.select("doc_id", "th", "lead", F.explode("open").alias("o")).select("doc_id", "th", "lead", F.col("o.w").alias("w"), F.col("o.at").alias("at")))
-    often = open_.groupBy("lead", "w").agg(F.count("*").alias("c")).filter("c > 1").select("lead", "w")
-    late = open_.filter("at >= 0").join(often, ["lead", "w"]).select("doc_id", "th", F.struct("at", (F.col("at") + 1).alias("b")).alias("s"))
+    grams = made.select("doc_id", "th", "cell", F.explode(F.array_distinct(F.transform("open", lambda x: x["g"]))).alias("g"))
+    shared = grams.join(grams.groupBy("cell", "g").agg(F.count("*").alias("c")).filter("c > 1").select("cell", "g"), ["cell", "g"]).groupBy("doc_id", "th", "cell").agg(F.collect_set("g").alias("gs"))
+    left = made.filter(F.size("open") > 0).join(shared, ["doc_id", "th", "cell"]).select("doc_id", "th", "cell", F.filter("open", lambda x: F.array_contains("gs", x["g"])).alias("open"))
+    open_ = cut(left.select("doc_id", "th", "cell", F.explode("open").alias("o")).select("doc_id", "th", "cell", F.col("o.w").alias("w"), F.col("o.at").alias("at")))
+    often = open_.groupBy("cell", "w").agg(F.count("*").alias("c")).filter("c > 1").select("cell", "w")
+    late = open_.filter("at >= 0").join(often, ["cell", "w"]).select("doc_id", "th", F.struct("at", (F.col("at") + 1).alias("b")).alias("s"))
     marks = starts.select("doc_id", "th", "s.a", "s.b").unionByName(late.select("doc_id", "th", F.col("s.at").alias("a"), "s.b")).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
     each = keys.dropDuplicates(["doc_id", "th"]).join(classes.select("sha", "copies"), "sha").select("doc_id", "th", "copies")
-    info = materialize(each.join(marks, ["doc_id", "th"], "left"))
-    free_shuffles(docs.sparkSession)
+    info = cut(each.join(marks, ["doc_id", "th"], "left"))
+    drop(made, open_, keys, classes)
     return source, info
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document.
 
-    with_text adds kept: the remaining bytes as text, without the remains of characters that a cut went through.
+    with_text adds kept: the remaining bytes as text, without the remains of characters that a cut went through; and th,
+    the hash of the whole text, which with doc_id names a row.
     """
     source, info = repeated_spans(docs, length, gram, id_col, text_col)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5]
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.string()]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "th"][: 7 if with_text else 5]
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             for rows, strings in texts(batch, "text", 64):
                 out = []
-                for s, doc_id, copies, starts in zip(strings, *(rows.column(c).to_pylist() for c in ("doc_id", "copies", "starts")), strict=True):
+                for s, doc_id, th, copies, starts in zip(strings, *(rows.column(c).to_pylist() for c in ("doc_id", "th", "copies", "starts")), strict=True):
                     data = s.encode()
                     if copies > 1:
                         spans = [(0, len(data))] if len(data) >= length else []
@@ -354,8 +394,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                     gone = sum(b - a for a, b in spans)
                     edges = [0, *(e for x in spans for e in x), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else data
-                    out.append((doc_id, len(data), gone, len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))[: len(names)])
+                    out.append((doc_id, len(data), gone, len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), th)[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)], names=names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, th long" if with_text else "")
     return source.join(info.hint("shuffle_hash"), ["doc_id", "th"]).mapInArrow(drop, schema)
