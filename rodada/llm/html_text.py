@@ -1,16 +1,20 @@
 """Operator 8: main text of web pages by composite text density.
 
 A page becomes a small DOM. For every node: characters per tag, adjusted by the share of characters and tags in links
-(composite text density), and the sum of its children's densities. The node with the largest sum holds the article; if
-an article or main element encloses it below body, that element is the subtree. The smallest density on the path from
-body to the node is the threshold: a link-heavy block below it is a menu left inside the article and goes.
-Elements whose tag, role, class or id says that they are menus, adverts, notices, forms or comments aren't counted.
+(composite text density), and the sum of its block children's densities; inline elements belong to the block that holds
+them. The node with the largest sum holds the article. The smallest density on the path from body to that node is the
+threshold: a link-heavy block below it is a menu, and blocks that stand farther off than beside the node need it.
+
+Menus, footers, sidebars, forms, scripts and hidden elements are known by their tags and aren't counted. Class and role
+names that speak of adverts, notices, sidebars or comments only count against a block that holds the smaller part of
+the page's text (or is a single block, and not nearly all of it) and isn't a heading; ids only against a block that
+density doubts (link-heavy, or below half the threshold). A header stays if it has a heading and stands in the article. No name decides about what holds the node.
 
 Linear in the page's length, one page at a time, no shuffle. Broken markup is repaired like browsers do for paragraphs
 and list items; unclosed elements end with their parents.
 
-Defined results: null, empty or text-free html gives '' and 0; repeated rows give a row each; empty tables no rows;
-other columns are ignored.
+Defined results: null, empty or text-free html gives '' and 0; of equal sums the first node in page order wins; repeated
+rows and rows without page_id give a row each; empty tables no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +33,23 @@ from rodada.llm.common import texts
 _ATTRS = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
 _MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:({_ATTRS})>|([^>]*+)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_NOISY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsbygoogle|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?"
-    r"|newsletter|subscribe|signup|sidebars?|aside|nav|navbar|navigation|menus?|breadcrumbs?|footers?|headers?|masthead|comments?|disqus|respond|replies|shar(?:e|ing)|social|related"
-    r"|recommend(?:ed|ations)?|widgets?|toolbar|paginat(?:ion|or)|pager|login|search|dialog|complementary|contentinfo|skip-link)(?=$|[\s_-])",
-    re.I,
+#: Names of layout blocks: those of reader comments, of headers, and the others.
+_COMMENTS = "comments?|disqus|respond|replies"
+_HEADERS = "headers?|masthead"
+_OTHERS = (
+    "ads?|adverts?|advertisement|adsbygoogle|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?"
+    "|newsletter|subscribe|signup|sidebars?|aside|nav|navbar|navigation|menus?|breadcrumbs?|footers?|shar(?:e|ing)|social|related"
+    "|recommend(?:ed|ations)?|widgets?|toolbar|paginat(?:ion|or)|pager|login|search|dialog|complementary|contentinfo|skip-link"
 )
+_NAMED = re.compile(rf"(?:^|[\s_-])(?:({_COMMENTS})|({_HEADERS})|({_OTHERS}))(?=$|[\s_-])", re.I)
+#: What a name makes of a block; a node's kind is the largest.
+_PLAIN, _BY_ID, _HEADER, _ASIDE, _COMMENT = range(5)
+#: The share of the page's characters from which on a name doesn't count, for blocks that hold blocks and for others.
+_MOST = {_HEADER: (0.5, 0.9), _ASIDE: (0.5, 0.9), _COMMENT: (0.9, 0.9)}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _RAW = frozenset("script style noscript template iframe svg textarea title select object math canvas audio video noembed noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NOISE_TAGS = frozenset("nav footer aside form button header menu dialog fieldset head".split())
+_NOISE_TAGS = frozenset("nav footer aside form button menu dialog fieldset head".split())
 _KEEP_TAGS = frozenset("html body article main".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -51,14 +63,14 @@ class Page:
     """Nodes in page order as parallel lists; node 0 is the root."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.noise = ["#root"], [-1], [False]
+        self.tag, self.parent, self.noise, self.kind = ["#root"], [-1], [False], [_PLAIN]
         self.runs: list[tuple[int, int, str]] = []  # (node, block, text): inline text in page order
         self.block_node: list[int] = [0]
         self._parse(source)
 
     def _parse(self, source: str) -> None:
         stack, at, block = [0], 0, 0
-        tags, parents, noise, runs = self.tag, self.parent, self.noise, self.runs
+        tags, parents, noise, kinds, runs = self.tag, self.parent, self.noise, self.kind, self.runs
 
         def new_block() -> int:
             self.block_node.append(stack[-1])
@@ -101,7 +113,9 @@ class Page:
             up = stack[-1]
             tags.append(name)
             parents.append(up)
-            noise.append(noise[up] or self._noisy(name, attrs, stack))
+            hidden, kind = self._named(name, attrs)
+            noise.append(noise[up] or hidden or name in _NOISE_TAGS)
+            kinds.append(kind)
             if name in _VOID:
                 if name in ("br", "hr", "wbr") and not noise[up]:
                     runs.append((up, block, "" if name == "wbr" else " "))
@@ -112,77 +126,108 @@ class Page:
             if name in _BLOCK:
                 block = new_block()
 
-    def _noisy(self, name: str, attrs: str, stack: list[int]) -> bool:
-        if name in _KEEP_TAGS:
-            return False
-        if name in _NOISE_TAGS and not (name == "header" and any(self.tag[k] in ("article", "main") for k in stack)):
-            return True
-        if not attrs:
-            return False
+    @staticmethod
+    def _named(name: str, attrs: str) -> tuple[bool, int]:
+        """(hidden, kind) by an element's tag and attributes."""
+        kind = _HEADER if name == "header" else _PLAIN
+        if not attrs or name in _KEEP_TAGS:
+            return False, kind
         for key, *values in _ATTR.findall(attrs):
             value, key = "".join(values), key.lower()
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-                return True
-            if key in ("class", "id", "role") and _NOISY.search(value):
-                return True
-        return False
-
-    def densities(self) -> tuple[list[float], list[float], list[int], list[int]]:
-        """Composite density and sum of the children's densities of each node, characters, and characters in links."""
+                return True, kind
+            if key in ("class", "id", "role") and name not in _HEADINGS:
+                for comment, header, _ in _NAMED.findall(value):
+                    kind = max(kind, _BY_ID if key == "id" else _COMMENT if comment else _HEADER if header else _ASIDE)
+        return False, kind
+
+    def _set_aside(self) -> list[bool]:
+        """Nodes that names take out of the count: their own text and all below."""
+        chars, single = [0] * len(self.tag), [True] * len(self.tag)
+        for node, _, text in self.runs:
+            chars[node] += len("".join(text.split()))
+        for k in range(len(self.tag) - 1, 0, -1):
+            chars[self.parent[k]] += chars[k]
+            single[self.parent[k]] &= single[k] and self.tag[k] not in _BLOCK
+        out = list(self.noise)
+        for k in range(1, len(out)):
+            kind = self.kind[k]
+            out[k] = out[k] or out[self.parent[k]] or (kind in _MOST and chars[k] < _MOST[kind][single[k]] * chars[0])
+        return out
+
+    def densities(self, out: list[bool]) -> tuple[list[float], list[float], list[int], list[int]]:
+        """Composite density and sum of the block children's densities of each node, characters, and characters in links."""
         n, e = len(self.tag), math.e
         chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         in_link = [False] * n
         for k in range(1, n):
             in_link[k] = in_link[self.parent[k]] or self.tag[k] == "a"
         for node, _, text in self.runs:
-            size = len("".join(text.split()))
-            chars[node] += size
-            if in_link[node]:
-                links[node] += size
+            if not out[node]:
+                size = len("".join(text.split()))
+                chars[node] += size
+                if in_link[node]:
+                    links[node] += size
         for k in range(n - 1, 0, -1):
             up = self.parent[k]
             chars[up] += chars[k]
             links[up] += links[k]
-            if not self.noise[k]:
+            if not out[k]:
                 tags[up] += tags[k] + 1
                 link_tags[up] += link_tags[k] + in_link[k]
         share = links[0] / max(chars[0], 1)
         density, total = [0.0] * n, [0.0] * n
         for k in range(n - 1, 0, -1):
             c = chars[k]
-            if c and not self.noise[k]:
+            if c and not out[k]:
                 lc, t, lt = max(links[k], 1), max(tags[k], 1), max(link_tags[k], 1)
                 base = math.log(c / max(c - links[k], 1) * lc + share * c + e)  # at least ln(1 + e)
                 density[k] = c / t * max(math.log(c / lc * t / lt), 0.0) / math.log(base)
-                total[self.parent[k]] += density[k]
+                if self.tag[k] in _BLOCK:
+                    total[self.parent[k]] += density[k]
         return density, total, chars, links
 
     def main_text(self) -> str:
         """The article's blocks, joined by an empty line."""
-        density, total, chars, links = self.densities()
+        out, n, up = self._set_aside(), len(self.tag), self.parent
+        density, total, chars, links = self.densities(out)
         if not chars[0]:
             return ""
-        best = max(range(len(total)), key=lambda k: (total[k], -k))
+        best = max(range(n), key=lambda k: (total[k], -k))
         path, k = [], best
         while k >= 0:
             path.append(k)
-            k = self.parent[k]
-        below = [k for k in path if self.tag[k] not in ("#root", "html", "body")]
+            k = up[k]
+        outer = ("#root", "html", "body")
         threshold = min((density[k] for k in path if self.tag[k] not in ("#root", "html")), default=0.0)
-        subtree = next((k for k in reversed(below) if self.tag[k] in ("article", "main")), best)
-        inside = [False] * len(self.tag)
-        for k in range(len(self.tag)):
-            up = self.parent[k]
-            menu = k != subtree and k not in path and 2 * links[k] > chars[k] and density[k] < threshold and self.tag[k] in _BLOCK
-            inside[k] = k == subtree or (up >= 0 and inside[up] and not menu)
-        out, last = [], -1
+        top = next((k for k in reversed(path) if self.tag[k] not in outer), best)
+        on_path, near = set(path), {best, up[best]}
+        titled = [False] * n
+        for k in range(n - 1, 0, -1):
+            titled[k] = titled[k] or (self.tag[k] in _HEADINGS and not self.noise[k])
+            titled[up[k]] = titled[up[k]] or titled[k]
+        inside = [False] * n
+        for k in range(n):
+            if k == top or k in on_path:
+                inside[k] = top in on_path and (k == top or (k > 0 and inside[up[k]]))
+                continue
+            low = density[k] < threshold
+            stays = inside[up[k]] and not self.noise[k]
+            if stays and out[k] and not out[up[k]]:  # named: only a header of the article itself stays
+                stays = self.kind[k] == _HEADER and titled[k] and up[k] in near and self.tag[up[k]] not in outer
+            if stays and self.tag[k] in _BLOCK and not out[k]:
+                doubted = low and 2 * links[k] > chars[k] or (self.kind[k] == _BY_ID and 2 * density[k] < threshold)
+                afar = up[k] in on_path and up[k] not in near and low and not titled[k]
+                stays = not doubted and not afar
+            inside[k] = stays
+        parts, last = [], -1
         for node, block, text in self.runs:
             if inside[node]:
                 if block != last:
-                    out.append([])
+                    parts.append([])
                     last = block
-                out[-1].append(text)
-        blocks = (" ".join(html.unescape("".join(b)).split()) for b in out)
+                parts[-1].append(text)
+        blocks = (" ".join(html.unescape("".join(b)).split()) for b in parts)
         return "\n\n".join(b for b in blocks if b)
 
 
