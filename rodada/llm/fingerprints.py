@@ -5,17 +5,17 @@ document's vector is the sum over its paragraphs; lane 128 counts them. Lanes ar
 2^32). Sums don't depend on order, and a paragraph is inserted or deleted by adding or subtracting its vector
 (`combine`). Equal multisets have equal fingerprints; different ones collide about as often as random 128-lane sums.
 
-Likeness: 2 * lane - count is a sum of random signs, so the lanes' dot product estimates how many paragraphs two
-documents share; it is divided by both norms (cosine) and held in 0..1. Equal fingerprints have 1; empty against
-non-empty has 0.
+Likeness is a function of two fingerprints: 2 * lane - count, taken modulo 2^16 and read with its sign, is a sum of
+random signs, so the lanes' dot product estimates how many paragraphs two documents share; it is divided by both norms
+(cosine) and held in 0..1. Equal fingerprints have 1; empty against non-empty has 0.
 
 Everything is DataFrame functions. Two lanes are summed in each 64-bit aggregate. The next document in ascending order
 is found on range-partitioned keys, without a global window; texts are shuffled once, and of the next text only the
 code points that are needed.
 
 Defined results: null text is empty; one document is its own next one; rows that repeat (doc_id and text) give a row
-each, and count once as a next document; documents of one doc_id are ordered by the hash of their text; empty tables
-give no rows; other columns are ignored.
+each, and count once as a next document; documents of one doc_id are ordered by the hash of their text; rows without
+doc_id have no place in the order and are left out; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rodada.llm.common import materialize
+from rodada.operators.work import cut
 
 LANES = 128
 _SEEDS = (11, 12)
@@ -44,8 +44,8 @@ def paragraph_sums(unit: Column) -> list[Column]:
 
 
 def lanes_of(packed: Column) -> Column:
-    """The array of lanes from the array of two-lane sums."""
-    return F.flatten(F.transform(packed, lambda s: F.array(s.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(s, 32))))
+    """The array of lanes, modulo 2^16, from the array of two-lane sums."""
+    return F.flatten(F.transform(packed, lambda s: F.array(s.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(s, 32).bitwiseAND(F.lit(0xFFFF)))))
 
 
 def fingerprint_text(lanes: Column, count: Column) -> Column:
@@ -66,10 +66,13 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def likeness(a: Column, n: Column, b: Column, m: Column) -> Column:
-    """0..1 from two documents' lanes and counts."""
+    """0..1 from the lanes (modulo 2^16) and counts of two fingerprints."""
+
+    def signed(lane: Column, count: Column) -> Column:
+        return F.pmod(lane * 2 - count + 0x8000, F.lit(0x10000)) - 0x8000
 
     def dot(x: Column, nx: Column, y: Column, ny: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: (p * 2 - nx) * (q * 2 - ny)), F.lit(0).cast("double"), lambda s, v: s + v)
+        return F.aggregate(F.zip_with(x, y, lambda p, q: signed(p, nx) * signed(q, ny)), F.lit(0).cast("double"), lambda s, v: s + v)
 
     size = F.sqrt(dot(a, n, a, n) * dot(b, m, b, m))
     return F.when((a == b) & (n == m), F.lit(1.0)).when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, n, b, m) / size))).otherwise(F.lit(0.0))
@@ -80,7 +83,7 @@ def _neighbours(keys: DataFrame) -> DataFrame:
     spark = keys.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = keys.groupBy("doc_id", "th", "n_chars").agg(F.count("*").alias("copies"))
-    dealt = materialize(once.repartitionByRange(n, "doc_id", "th").withColumn("pid", F.spark_partition_id()))
+    dealt = cut(once.repartitionByRange(n, "doc_id", "th").withColumn("pid", F.spark_partition_id()))
     me = F.struct("doc_id", "th")
     heads = sorted((r["pid"], r["head"]) for r in dealt.groupBy("pid").agg(F.min(me).alias("head")).collect())  # a row a partition
     after = [(p, heads[(k + 1) % len(heads)][1]) for k, (p, _) in enumerate(heads)]
@@ -95,7 +98,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).filter("doc_id is not null")
     size = F.char_length("text").cast("long").alias("n_chars")
-    order = materialize(_neighbours(whole.select("doc_id", "th", size)))
+    order = cut(_neighbours(whole.select("doc_id", "th", size)))
     need = F.col("n_chars").cast("long") - F.ceil(F.col("n_chars") / 2)  # floor(n / 2)
     wanted = order.select(F.col("next_doc").alias("doc_id"), F.col("next_th").alias("th"), F.col("doc_id").alias("to_doc"), F.col("th").alias("to_th"), need.alias("need"), "copies", F.col("next_doc").alias("to_next"), F.col("next_th").alias("to_next_th"))
     half = whole.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]).select(F.col("to_doc").alias("doc_id"), F.col("to_th").alias("th"), F.expr("substring(text, 1, cast(need as int))").alias("tail"), "copies", F.col("to_next").alias("next_doc"), F.col("to_next_th").alias("next_th"))
@@ -111,10 +114,10 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # rows that repeat were summed together `times` times
     once = made.select(*names, "form", F.array(*(F.expr(f"s{k} div times") for k in range(len(sums) - 1))).alias("packed"), F.expr(f"s{len(sums) - 1} div times").alias("n"))
     form = lambda k: F.first(F.when(F.col("form") == k, F.struct("packed", "n")), ignorenulls=True)
-    pair = materialize(once.groupBy(*names).agg(form(0).alias("own"), form(1).alias("changed")))
+    pair = cut(once.groupBy(*names).agg(form(0).alias("own"), form(1).alias("changed")))
     following = pair.select(F.col("doc_id").alias("next_doc"), F.col("th").alias("next_th"), F.col("own").alias("following"))
     joined = pair.join(following, ["next_doc", "next_th"])
-    lanes = joined.select("doc_id", "n_chars", "edited_sha256", "copies", *(x for c in ("own", "changed", "following") for x in (lanes_of(F.col(f"{c}.packed")).alias(c), F.col(f"{c}.n").alias(f"n_{c}"))))
+    lanes = joined.select("doc_id", "n_chars", "edited_sha256", "copies", *(x for c in ("own", "changed", "following") for x in (lanes_of(F.col(f"{c}.packed")).alias(c), F.col(f"{c}.n").bitwiseAND(F.lit(_LOW)).alias(f"n_{c}"))))
     out = lanes.select(
         "doc_id", "n_chars", "edited_sha256", "copies",
         fingerprint_text(F.col("own"), F.col("n_own")).alias("fingerprint"),
