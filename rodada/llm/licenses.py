@@ -31,12 +31,19 @@ TRIGGER = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|rights reserv
 
 #: Known licence sentences: identifier, key phrase in a normalised sentence (a regular expression). The first wins.
 SENTENCES: tuple[tuple[str, str], ...] = (
+    ("denied", r"\b(?:not|never|no longer|nor) (?:been |be )?(?:licensed|relicensed|released|distributed|available|published|covered) under\b"),
     ("spdx_apache2", r"\bspdx license identifier apache 2 0"),
     ("spdx_mit", r"\bspdx license identifier mit\b"),
     ("spdx_bsd3", r"\bspdx license identifier bsd 3 clause"),
     ("spdx_bsd2", r"\bspdx license identifier bsd 2 clause"),
+    ("spdx_isc", r"\bspdx license identifier isc\b"),
+    ("spdx_gpl3_later", r"\bspdx license identifier gpl 3 0 or later"),
+    ("spdx_gpl2_later", r"\bspdx license identifier gpl 2 0 or later"),
     ("spdx_gpl3", r"\bspdx license identifier gpl 3 0"),
     ("spdx_gpl2", r"\bspdx license identifier gpl 2 0"),
+    ("spdx_agpl", r"\bspdx license identifier agpl\b"),
+    ("spdx_lgpl", r"\bspdx license identifier lgpl\b"),
+    ("spdx_unlicense", r"\bspdx license identifier unlicense\b"),
     ("spdx_mpl2", r"\bspdx license identifier mpl 2 0"),
     ("cc_by_nc_sa4", r"\b(?:cc by nc sa 4 0|creative commons attribution non ?commercial share ?alike 4 0)"),
     ("cc_by_nc_nd4", r"\b(?:cc by nc nd 4 0|creative commons attribution non ?commercial no ?deriv(?:ative)?s 4 0)"),
@@ -50,6 +57,8 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("apache2_copy", r"\byou may obtain a copy of the license at\b"),
     ("apache2_as_is", r"\bdistributed under the license is distributed on an as is basis"),
     ("apache2_see", r"\bsee the license for the specific language governing permissions"),
+    ("apache2_title", r"^(?:the )?apache license(?: version 2 0(?: january 2004)?(?: http www apache org licenses)?)?$"),
+    ("mit_title", r"^(?:the )?mit license(?: mit)?$"),
     ("mit_ref", r"\b(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit license"),
     ("mit_grant", r"\bpermission is hereby granted free of charge to any person obtaining a copy"),
     ("mit_notice", r"\babove copyright notice and this permission notice shall be included in all copies"),
@@ -66,8 +75,10 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("bsd_endorse", r"\bneither the name of .* may be used to endorse or promote products"),
     ("agpl3_ref", r"\bgnu affero general public license (?:as published .*|v|version )?3?\b"),
     ("lgpl_ref", r"\bgnu (?:lesser|library) general public license"),
-    ("gpl3_ref", r"\blicensed under (?:the )?(?:terms of the )?gnu general public license (?:v|version )3"),
-    ("gpl2_ref", r"\blicensed under (?:the )?(?:terms of the )?gnu general public license (?:v|version )2"),
+    ("gpl3_later", r"\bgnu general public license (?:v|version )3(?: 0)? or (?:at your option )?(?:any )?later"),
+    ("gpl2_later", r"\bgnu general public license (?:v|version )2(?: 0)? or (?:at your option )?(?:any )?later"),
+    ("gpl3_ref", r"\blicensed under (?:the )?(?:terms of the )?gnu general public license (?:v|version )3|\bgnu general public license (?:v|version )3\b"),
+    ("gpl2_ref", r"\blicensed under (?:the )?(?:terms of the )?gnu general public license (?:v|version )2|\bgnu general public license (?:v|version )2\b"),
     ("gpl3_terms", r"\bredistribute it and or modify it under the terms of the gnu general public license .*version 3"),
     ("gpl2_terms", r"\bredistribute it and or modify it under the terms of the gnu general public license .*version 2"),
     ("gpl_hope", r"\bdistributed in the hope that it will be useful but without any warranty"),
@@ -84,16 +95,16 @@ SENTENCES: tuple[tuple[str, str], ...] = (
 
 #: Ordered rules: licence, sequence of identifiers (in brackets) as a regular expression over the identifier string.
 RULES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", r"\[apache2_grant\](?:\[apache2_comply\]\[apache2_copy\](?:\[apache2_as_is\])?(?:\[apache2_see\])?)?|\[spdx_apache2\]"),
-    ("MIT", r"\[mit_grant\]\[mit_notice\](?:\[as_is_software\])?(?:\[mit_liability\])?|\[mit_ref\]|\[spdx_mit\]"),
-    ("ISC", r"\[isc_grant\](?:\[as_is_author\])?"),
+    ("Apache-2.0", r"\[apache2_grant\](?:\[apache2_comply\]\[apache2_copy\](?:\[apache2_as_is\])?(?:\[apache2_see\])?)?|\[spdx_apache2\]|\[apache2_title\]"),
+    ("MIT", r"\[mit_grant\]\[mit_notice\](?:\[as_is_software\])?(?:\[mit_liability\])?|\[mit_ref\]|\[spdx_mit\]|\[mit_title\]"),
+    ("ISC", r"\[isc_grant\](?:\[as_is_author\])?|\[spdx_isc\]"),
     ("BSD-3-Clause", r"\[bsd_grant\]\[bsd_source\]\[bsd_binary\]\[bsd_endorse\](?:\[as_is_holders\])?(?:\[bsd_liability\])?|\[spdx_bsd3\]"),
     ("BSD-2-Clause", r"\[bsd_grant\]\[bsd_source\]\[bsd_binary\](?:\[as_is_holders\])?(?:\[bsd_liability\])?|\[spdx_bsd2\]"),
     ("BSD", r"\[bsd_ref\]"),
-    ("AGPL", r"(?:\[agpl3_ref\])+"),
-    ("LGPL", r"(?:\[lgpl_ref\])+"),
-    ("GPL-3.0-or-later", r"\[gpl3_terms\](?:\[gpl_hope\])?(?:\[gpl_details\])?(?:\[gpl_copy\])?"),
-    ("GPL-2.0-or-later", r"\[gpl2_terms\](?:\[gpl_hope\])?(?:\[gpl_details\])?(?:\[gpl_copy\])?"),
+    ("AGPL", r"(?:\[agpl3_ref\])+|\[spdx_agpl\]"),
+    ("LGPL", r"(?:\[lgpl_ref\])+|\[spdx_lgpl\]"),
+    ("GPL-3.0-or-later", r"\[gpl3_terms\](?:\[gpl_hope\])?(?:\[gpl_details\])?(?:\[gpl_copy\])?|\[gpl3_later\]|\[spdx_gpl3_later\]"),
+    ("GPL-2.0-or-later", r"\[gpl2_terms\](?:\[gpl_hope\])?(?:\[gpl_details\])?(?:\[gpl_copy\])?|\[gpl2_later\]|\[spdx_gpl2_later\]"),
     ("GPL-3.0-only", r"\[gpl3_ref\]|\[spdx_gpl3\]"),
     ("GPL-2.0-only", r"\[gpl2_ref\]|\[spdx_gpl2\]"),
     ("GPL", r"\[gpl_ref\]|\[gpl_copy\]"),
@@ -105,7 +116,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("CC-BY-ND-4.0", r"\[cc_by_nd4\]"),
     ("CC-BY-4.0", r"\[cc_by4\]"),
     ("CC0-1.0", r"\[cc0\]"),
-    ("Unlicense", r"\[unlicense\]"),
+    ("Unlicense", r"\[unlicense\]|\[spdx_unlicense\]"),
     ("Public-Domain", r"\[public_domain\]"),
     ("Proprietary", r"(?:\[copyright_line\])?\[all_rights\]"),
 )
@@ -125,6 +136,8 @@ _NORMAL = (r"[^a-z0-9]+", " ")
 _INNER = r"(?:Licen[cs]e|Version|Public|General|Affero|Lesser|Library|Apache|Mozilla|Foundation|Free Software|Software|You can|Creative Commons|Commons|Attribution|Zero|Identifier|Clause|Modified|New|Style|Domain|Authors?|Holders?|Contributors?|Owner)\b|Share|Non|No ?Deriv|Copyright (?:[Hh]olders?|[Oo]wner)\b"
 _CUTS = (
     _STEPS[0],
+    # each licence of an SPDX expression is a sentence of its own
+    (r"(?i)(?<=SPDX-License-Identifier:[^\n]{0,200})[ \t]+\(?(?:or|and)[ \t]+(?=[(A-Z0-9])", "\u0001SPDX-License-Identifier: "),
     (_STEPS[1][0].replace("([A-Z]", f"(?!{_INNER})([A-Z]"), _STEPS[1][1]),
     _STEPS[2],
     (r"((?<!\b[vV])\.|[!?]|;(?![\s#/*;-]*(?:either )?version))[\"')]*\s+", _STEPS[3][1]),
