@@ -9,7 +9,8 @@ The patterns go to the workers in blocks of at most `max_windows` windows, a che
 pass through the blocks one after the other, gathering hits, without a shuffle. Matches are exact.
 
 Defined results: null or word-free texts have no words and no hits; items without words are ignored; items that share
-a window all count; repeated item_ids count once; empty tables give no rows or no hits; other columns are ignored.
+a window all count; repeated item_ids count once; an item without item_id makes hits, but has no name to be counted by;
+repeated rows and rows without doc_id give a row each; empty tables give no rows or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rodada.llm.common import materialize, texts
+from rodada.llm.common import texts
+from rodada.operators.work import cut
 
 #: Separator bytes of the contract become spaces; bytes.lower() changes A-Z alone.
 _WORDS = bytes(32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
@@ -97,7 +99,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, max
         if block and held + n > max_windows:
             yield block
             block, held = [], 0
-        block.append((str(r["i"]), r["t"]))
+        block.append((None if r["i"] is None else str(r["i"]), r["t"]))
         held += n
     if block:
         yield block
@@ -110,7 +112,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_
     blocks = _blocks(benchmark, item_col, item_text_col, window, max_windows)
     found = _search(found, docs.sparkSession.sparkContext.broadcast(next(blocks, [])), window)
     for block in blocks:
-        found = _search(materialize(found), docs.sparkSession.sparkContext.broadcast(block), window)
+        found = _search(cut(found), docs.sparkSession.sparkContext.broadcast(block), window)
     return found.select(*dict.fromkeys(["doc_id", "n_words", "spans", "items", *keep]))
 
 
@@ -129,7 +131,7 @@ def _search(found: DataFrame, shared, window: int) -> DataFrame:
                     n.append(len(w))
                     if a:
                         spans[k] = spans[k] + [{"a": x, "b": y} for x, y in a]
-                        items[k] = sorted(b.union(items[k]))
+                        items[k] = sorted(b.union(items[k]) - {None})
                 new = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, span), "items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in rows.schema.names], names=rows.schema.names)
 
@@ -150,6 +152,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, **opt
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def contamination_sql(window: int = 10) -> str:
+    """DuckDB SQL for contamination's rows over documents and benchmark."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"coalesce(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+ p AS (SELECT DISTINCT item, m, array_to_string(w[i:i+m-1], ' ') AS t FROM (SELECT item, w, least(len(w), {window}) AS m, unnest(range(1, len(w) - least(len(w), {window}) + 2)) AS i FROM b WHERE len(w) > 0) x),
+ v AS (SELECT r, m, i, array_to_string(w[i:i+m-1], ' ') AS t FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM p) q WHERE len(w) >= m) x),
+ h AS (SELECT r, v.m, i, item FROM v JOIN p ON p.m = v.m AND p.t = v.t), k AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + m)) AS j FROM h) x GROUP BY r),
+ n AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) x GROUP BY r)
+ SELECT doc_id, len(w) AS n_words, coalesce(k.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(k.n, 0) > 0 AS contaminated FROM d LEFT JOIN k USING (r) LEFT JOIN n USING (r)"""
+
+
 def sha_of(items: list[str]) -> str:
     """What items_sha256 holds, for tests."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rodada.llm.bpe import round_trip
 from rodada.llm.common import table
-from rodada.llm.decontaminate import contamination
+from rodada.llm.decontaminate import contamination, contamination_sql
 from rodada.llm.fingerprints import document_fingerprints
 from rodada.llm.html_text import page_texts
 from rodada.llm.language_id import language_id
 from rodada.llm.licenses import license_scan, license_sql
-from rodada.llm.ngram_join import jaccard_components
+from rodada.llm.ngram_join import jaccard_components, jaccard_sql
 from rodada.llm.suffix_dedup import remove_repeats
 from rodada.llm.token_counts import token_counts
 from rodada.llm.token_store import token_store
@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_sql(), "op4_ngram_join": jaccard_sql(), "op10_decontaminate": contamination_sql()}

@@ -4,11 +4,12 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from rodada.llm import ngram_join, suffix_dedup
-from rodada.llm.ngram_join import CellIndex, Shingler, jaccard_components, link_cell, promising
+from rodada.llm import suffix_dedup
+from rodada.llm.ngram_join import CellIndex, Shingler, bitmap, jaccard_components, jaccard_sql, link_cell, merged, promising
 from rodada.llm.suffix_dedup import anchors, gram_hashes, joined, remove_repeats, repeated_windows, union
 
 SCHEMA = "doc_id long, text string, n long, lead string"
@@ -52,12 +53,16 @@ def _components(rows):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize(("cap", "judged"), [(512, 8192), (4, 8192), (4, 4)])
-def test_jaccard_components(spark, cap, judged):
+@pytest.mark.parametrize(("cap", "rounds"), [(512, 2), (4, 2), (4, 0), (2, 1)])
+def test_jaccard_components(spark, cap, rounds):
     rows = _corpus(cap)
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs, cell_cap=cap, pivots=1, judge_cap=judged).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs, cell_cap=cap, pivots=1, rounds=rounds, wide=1).collect()}
     assert got == _components(rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert {i: (n, c) for i, n, c in con.execute(jaccard_sql()).fetchall()} == _components(rows)
 
 
 def test_components_of_empty_and_repeated_rows(spark):
@@ -68,6 +73,32 @@ def test_components_of_empty_and_repeated_rows(spark):
     assert got == [(2, 2, 2), (5, 2, 2), (5, 2, 2), (9, 0, 9)]
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_unrelated_documents_that_share_a_passage(spark, rounds):
+    """A cell of classes without links: the sample is too small to show what they share."""
+    r = random.Random(44)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage = words(12)
+    rows = [(i, f"{words(25)} {passage}", 1, "") for i in range(60)]
+    rows += [(100 + k, rows[7 * k][1] + " end", 1, "") for k in range(5)]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_components(spark.createDataFrame(rows, SCHEMA), cell_cap=6, pivots=1, sample_docs=1, rounds=rounds, wide=1).collect()}
+    assert got == {i: 7 * (i - 100) if i >= 100 else i for i, *_ in rows}
+
+
+def test_very_long_texts_and_rows_without_id(spark):
+    r = random.Random(31)
+    long_ = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    near = [*long_]
+    for k in r.sample(range(60_000), 300):
+        near[k] = "other"
+    rows = [(1, " ".join(long_), 1, ""), (2, " ".join(near), 1, ""), (3, " ".join(long_[:30_000]), 1, ""), (None, " ".join(long_), 1, ""), (None, "alone here", 1, "")]
+    got = {(x["doc_id"], x["n_shingles"]): x["component_id"] for x in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [v for (i, _), v in sorted(got.items(), key=str) if i in (1, 2, 3)] == [1, 1, 3] and len(got) == 5
+    assert got[None, 1] is None and sorted(v for (i, n), v in got.items() if i is None and n > 1) == [1]
+    kept = {x["doc_id"]: x["n_removed"] for x in remove_repeats(spark.createDataFrame([*rows[2:4], (9, " ".join(long_[100:200]), 1, "")], SCHEMA)).collect()}
+    assert sorted(kept) == [3, 9] and kept[9] == len(" ".join(long_[100:200]))
+
+
 def test_cell_search_finds_all_links():
     r = np.random.default_rng(3)
     for t in range(60):
@@ -87,11 +118,36 @@ def test_cell_search_finds_all_links():
             old, new = root[b], root[a]
             root = [new if x == old else x for x in root]
         assert all(root[a] == root[b] for a, b in pairs)
-        ordered = [np.sort(s) for s in sets]  # prefixes must not rule out a linked member
-        prefixes = [s[: len(s) - ngram_join.needed(len(s), 80) + 1] for s in ordered]
-        members = [(len(s), int(p[-1]), p, np.arange(1, len(p) + 1)) for s, p in zip(ordered, prefixes, strict=True)]
-        keep = promising(members, 80)
+        keep = promising([len(s) for s in sets], [bitmap(s) for s in sets], 80)  # bitmaps must not rule out a linked member
         assert all(keep[a] and keep[b] for a, b in pairs)
+        asked = r.random(len(sets)) < 0.3
+        keep = promising([len(s) for s in sets], [bitmap(s) for s in sets], 80, asked.tolist())
+        assert all(keep[a] and keep[b] for a, b in pairs if asked[a] or asked[b])
+
+
+def test_bitmaps_of_different_widths():
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(r.integers(100, 140))  # widths change at 128
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: int(len(a) * r.uniform(0.85, 1))], r.integers(0, 2**63, int(r.integers(0, 20))).astype(np.uint64)]))
+        like = 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        keep = promising([len(a), len(b)], [bitmap(a), bitmap(b)], 80)
+        assert keep[0] == keep[1] and (keep[0] or not like)
+    far = [np.unique(r.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(30)]
+    assert not promising([len(x) for x in far], [bitmap(x) for x in far], 80).any()
+
+
+def test_heap_merge_counts():
+    r = random.Random(8)
+    for _ in range(50):
+        lists = [sorted(r.sample(range(12), r.randint(1, 8))) for _ in range(r.randint(1, 6))]
+        weights, least = [r.randint(1, 3) for _ in lists], r.randint(1, 5)
+        total = Counter()
+        for x, w in zip(lists, weights, strict=True):
+            total.update(dict.fromkeys(x, w))
+        found, counts = merged(lists, weights, least)
+        assert list(zip(found, counts, strict=True)) == sorted((k, v) for k, v in total.items() if v >= least)
 
 
 def test_shingles():
@@ -115,9 +171,20 @@ def _removal(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("block", "size"), [(1 << 20, 1 << 18), (600, 1 << 18), (1 << 20, 500)])
-def test_removal(spark, monkeypatch, block, size):
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+@pytest.fixture()
+def limits(monkeypatch):
+    """Sets the module's limits for the driver and, through the closures that it sends, for the workers."""
+
+    def put(**values):
+        for name, value in values.items():
+            monkeypatch.setattr(suffix_dedup, name, value)
+
+    return put
+
+
+@pytest.mark.parametrize(("block", "size", "stretch"), [(1 << 20, 1 << 18, 1 << 16), (600, 1 << 18, 1 << 16), (1 << 20, 500, 1 << 16), (600, 500, 300)])
+def test_removal(spark, limits, block, size, stretch):
+    limits(BLOCK_BYTES=block, SLICE=size, STRETCH=stretch)
     rows = _corpus(block + size, 40)
     got = sorted(tuple(r) for r in remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == _removal(rows, 200)

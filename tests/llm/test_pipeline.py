@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from rodada.llm.common import materialize
+from rodada.operators.work import cut
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
 
@@ -20,7 +20,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
-        docs = materialize(stage(spark, docs, str(tmp_path)))
+        docs = cut(stage(spark, docs, str(tmp_path)))
         kept.append({x["doc_id"]: x for x in docs.collect()})
         assert docs.columns == list(corpus_pipeline.COLUMNS) or name == corpus_pipeline.STAGES[-1][0]
     clean = set(range(60))
@@ -37,3 +37,22 @@ def test_pipeline_of_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_a_doc_id_keep_their_texts(spark, tmp_path):
+    r = random.Random(3)
+    word = lambda: r.choice(["the", "and", "water", "house", "thing", "other", "there", "where", "wood"]) + r.choice(["", "s", "ing", "er", "land"])
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(80)
+    rows = [(i, text(120), "en", "s", 1, "x") for i in range(20)]
+    rows += [(50, f"{text(70)} {passage}", "en", "s", 1, "x"), (50, f"{passage} {text(90)}", "en", "t", 1, "x"), (50, rows[3][1], "en", "s", 1, "x"), (51, rows[4][1], "en", "s", 1, "x"), (51, rows[4][1], "en", "s", 1, "x")]
+    rows += [(60, text(40_000), "en", "s", 1, "x"), (None, text(50), "en", "s", 1, "x")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "no such words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # 50 shares a text with 3, so its three texts are in the component of 3 and go; 51 copies 4; the row without id goes
+    assert got == [*range(20), 60]
+    rows = [x for x in rows if x[:2] != (50, rows[3][1])]
+    spark.createDataFrame(rows, SCHEMA).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == [*range(20), 50, 50, 60]

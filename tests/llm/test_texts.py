@@ -1,18 +1,21 @@
 """Licence scan, language id, fingerprints, page text and decontamination."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rodada.llm import fingerprints
-from rodada.llm.decontaminate import WuManber, contamination, patterns_of, sha_of, words_of
+from rodada.llm.decontaminate import WuManber, contamination, contamination_sql, patterns_of, sha_of, words_of
 from rodada.llm.fingerprints import combine, document_fingerprints
-from rodada.llm.html_text import main_text, page_texts
-from rodada.llm.language_id import grams, language_id, ranked
+from rodada.llm.html_text import Page, main_text, page_texts
+from rodada.llm.language_id import grams, language_id, learn, ranked
 from rodada.llm.licenses import RULES, SENTENCES, license_scan, license_sql, spellings, words
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -127,6 +130,21 @@ def test_standard_notices(spark):
     assert got == {i: NOTICES[i % 100][0] for i, _ in rows} and {n for n, _ in NOTICES} - {"MIT,CC-BY-4.0"} == {n for n, _ in RULES}
 
 
+ALONE = [
+    ("This picture is CC BY 4.0.", "CC-BY-4.0"), ("Creative Commons Attribution-ShareAlike 4.0 International", "CC-BY-SA-4.0"), ("CC0 1.0 Universal", "CC0-1.0"), ("MIT License", "MIT"), ("The MIT License (MIT)\n\nCopyright (c) 2024 X", "MIT"),
+    ("Licensed under the\nApache License, Version 2.0", "Apache-2.0"), ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache-2.0"), ("Under the GNU\nGeneral Public License, version 2", "GPL-2.0-only"), ("GNU General Public License version 3 or (at your option) any later version", "GPL-3.0-or-later"),
+    ("// SPDX-License-Identifier: ISC", "ISC"), ("SPDX-License-Identifier: Apache-2.0 OR MIT", "Apache-2.0,MIT"), ("# SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-or-later", "MIT,BSD-3-Clause,GPL-2.0-or-later"),
+    ("This is not licensed under the MIT License.", ""), ("It was never released under the MIT license", ""), ("No longer distributed under the BSD license.", ""), ("We like Apache or MIT.", ""), ("x" * 300_000 + ". Released under the MIT License. " + "y " * 100_000, "MIT"),
+]
+
+
+def test_licenses_named_alone(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(ALONE)]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [want for _, want in ALONE]
+    assert license_scan(spark.createDataFrame([(0, ALONE[-5][0])], "doc_id long, text string")).first()["unmatched"] == "denied"
+
+
 def test_license_scan_is_native(spark):
     plan = license_scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
@@ -150,6 +168,46 @@ def test_language_id(spark):
     assert language_id(docs.limit(0)).count() == 0
 
 
+def _profile(texts, top):
+    counts = Counter(g for t in texts for g in _grams(t))
+    return sorted(counts, key=lambda g: (-counts[g], [0] * (3 - len(g)) + [ord(c) for c in g]))[:top]
+
+
+def _grams(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    return [f" {w} "[k : k + n] for w in words for n in (1, 2, 3) for k in range(len(w) + 3 - n) if n > 1 or f" {w} "[k] != " "]
+
+
+def test_predictions_equal_plain_out_of_place_distances(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(WORDS[lang].split()) for _ in range(r.randint(1, 12))), lang) for i, lang in enumerate(r.choices(sorted(WORDS), k=90))]
+    rows += [(200, "the der les", None), (201, "zzz", "de"), (202, "the water " * 30_000, None), (203, None, None), (None, "und nicht", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    top = 60
+    learnt = [x for x in rows if x[2] and zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    profiles = {lang: _profile([t for _, t, g in learnt if g == lang], top) for lang in WORDS}
+    want = {}
+    for i, t, _ in rows:
+        mine = _profile([t or ""], top)
+        far = {lang: sum(abs(p.index(g) - k) if g in p else top for k, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.__getitem__)
+        want[i] = (best, pytest.approx(1 - far[best] / (top * len(mine)))) if mine else ("und", 0.0)
+    assert {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id(docs, top=top).collect()} == want
+
+
+def test_equally_near_languages_take_the_smaller_name(spark):
+    rows = [(i, "same words here", lang) for i, lang in enumerate(["xx", "aa", "mm"] * 8)]
+    assert {x["lang_pred"] for x in language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {"aa"}
+
+
+def test_learning_is_bounded_by_rows(spark):
+    rows = [(1, f"word{chr(97 + k)}", "aa") for k in range(20)]  # one id, many rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = learn(docs, train_docs=1)
+    assert len(profiles.codes) <= len(set(_grams("worda")))
+    assert learn(docs, train_docs=20).names == ["aa"] and learn(docs.limit(0)).names == []
+
+
 def test_grams():
     text, want = "Ab a, cá", []
     for w in ("ab", "a", "cá"):
@@ -185,6 +243,39 @@ def test_fingerprints(spark):
     assert sum(x["near_edited"] for x in long_) / len(long_) > 0.5
 
 
+def _lanes(spark, units):
+    """Lane sums of paragraphs, from the same two hashes of each one but summed in Python; the count last."""
+    if not units:
+        return [0] * 129
+    h = spark.createDataFrame([(u,) for u in units], "u string").select(F.xxhash64(F.lit(11), "u"), F.xxhash64(F.lit(12), "u")).collect()
+    bits = [[(x[s] >> (j + half)) & 1 for s in (0, 1) for j in range(32) for half in (0, 32)] for x in h]
+    return [sum(b) for b in zip(*bits, strict=True)] + [len(units)]
+
+
+def _near(a, b):
+    if [x % 65536 for x in a[:128]] + a[128:] == [x % 65536 for x in b[:128]] + b[128:]:
+        return 1.0
+    u, v = ([(2 * x - s[128] + 32768) % 65536 - 32768 for x in s[:128]] for s in (a, b))
+    size = math.sqrt(sum(x * x for x in u) * sum(x * x for x in v))
+    return max(0.0, min(1.0, sum(x * y for x, y in zip(u, v, strict=True)) / size)) if size else 0.0
+
+
+def test_fingerprint_values_and_likeness(spark):
+    r = random.Random(15)
+    texts = [" ".join(r.choice(["one. ", "two!\n", "three", "\n\n", "four? "]) for _ in range(r.randint(0, 14))) for _ in range(12)] + ["a\n" * 70_000, "a\n" * 70_001]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "left out")], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in document_fingerprints(docs).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    units = lambda t: [p for p in re.split(fingerprints.PARAGRAPH_END, t) if p.strip(" ")]
+    for k, t in enumerate(texts):
+        own, edited, following = (_lanes(spark, units(x)) if len(x) < 1000 else [n * x.count("a") for n in _lanes(spark, ["a"])[:128]] + [x.count("a")] for x in (t, _edit(texts, k), texts[(k + 1) % len(texts)]))
+        if len(t) > 1000 or k == 11:
+            edited = None  # mixed paragraphs
+        assert got[k]["fingerprint"] == "".join(f"{x % 65536:04X}" for x in own[:128]) + f"{own[128]:08X}"
+        assert got[k]["near_next"] == pytest.approx(_near(own, following), abs=1e-6)
+        assert edited is None or (got[k]["near_edited"] == pytest.approx(_near(own, edited), abs=1e-6) and got[k]["edited_fingerprint"][-8:] == f"{edited[128]:08X}")
+
+
 def test_fingerprints_of_repeated_rows(spark):
     rows = [(1, "a. b."), (1, "a. b."), (2, "c."), (3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -222,6 +313,65 @@ def test_main_text():
     assert "é" * 10 in main_text("<div>" * 3000 + "<p>" + "é" * 100_000)
 
 
+LONG = "".join(f"<p>{f'words of paragraph {k} that go on for some while, '*4}</p>" for k in range(3))
+LAYOUTS = [
+    f'<body><div class="layout sidebar-right content-sidebar"><div class="c"><h1>T</h1>{LONG}</div><div class="sidebar"><p>side</p></div></div></body>',
+    f'<body><div class="with-sidebar sidebar"><h1>T</h1>{LONG}</div><div class="ad">Buy it.</div></body>',
+    f'<body><article><div class="entry-header"><h1>T</h1></div>{LONG}</article></body>',
+    f'<body><div id="page"><div class="site-header"><h1>Site</h1></div><div class="post"><header><h1>T</h1></header><div class="entry">{LONG}</div></div></div></body>',
+    f'<body><article><h1 class="page-header">T</h1>{LONG}<section class="comments"><p>{"a reader says this " * 20}</p></section></article></body>',
+    f'<body><nav><a href="/">menu</a></nav><div><h1 id="search">T</h1>{LONG}</div><div class="comment-list">{LONG}{LONG}</div></body>',
+    f'<body><div><h1>T</h1><div class="promo"><a href="/a">one</a> <a href="/b">two</a></div>{LONG}<ul><li><a href="/c">three</a></li><li><a href="/d">four</a></li></ul></div></body>',
+]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_names_dont_veto_the_article(page):
+    blocks = main_text(page).split("\n\n")
+    assert blocks[0] == "T" and len(blocks) == 4 and all(b.startswith(f"words of paragraph {k}") for k, b in enumerate(blocks[1:]))
+
+
+def test_ids_inside_an_article_stay():
+    page = f'<body><article><h1>T</h1>{LONG}<h2 id="related">R</h2>{LONG}<section id="search"><h2>S</h2>{LONG}</section></article></body>'
+    assert main_text(page).count("words of paragraph 0") > 3 * 3 and [b for b in main_text(page).split("\n\n") if len(b) == 1] == ["T", "R", "S"]
+    assert main_text(page.replace("article", "div")) == main_text(page)
+
+
+def test_short_advert_beside_a_shorter_article():
+    assert main_text('<body><div class="ad">An advert that is longer than it.</div><div><h1>Title.</h1><p>Short text.</p></div></body>') == "Title.\n\nShort text."
+
+
+def test_densities_equal_a_plain_count():
+    """Composite density from its formula, with characters and tags counted by walking each node's subtree."""
+    r = random.Random(12)
+    for _ in range(30):
+        parts = []
+        for _ in range(r.randint(1, 6)):
+            tag = r.choice(["p", "div", "section"])
+            parts.append(f"<{tag}>{'x ' * r.randint(0, 40)}<a href='#'>{'y' * r.randint(1, 9)}</a><b>{'z' * r.randint(0, 5)}</b></{tag}>")
+        page = Page(f"<body><div>{''.join(parts)}</div>{''.join(parts[:2])}</body>")
+        n = len(page.tag)
+        density, total, chars, links = page.densities([False] * n)
+        under = lambda k, top: k == top or (k > 0 and under(page.parent[k], top))
+        linked = lambda k: k > 0 and (page.tag[k] == "a" or linked(page.parent[k]))
+        size = lambda top, only: sum(len("".join(t.split())) for k, _, t in page.runs if under(k, top) and (not only or linked(k)))
+        want = [0.0] * n
+        for k in range(1, n):
+            c, lc = size(k, False), size(k, True)
+            t, lt = (max(1, sum(under(j, k) and j != k and (not only or linked(j)) for j in range(1, n))) for only in (False, True))
+            if c:
+                base = math.log(c / max(c - lc, 1) * max(lc, 1) + size(0, True) / size(0, False) * c + math.e)
+                want[k] = c / t * max(0.0, math.log(c / max(lc, 1) * t / lt)) / math.log(base)
+            assert (chars[k], links[k]) == (c, lc)
+        assert density == pytest.approx(want)
+        assert total == pytest.approx([sum(want[k] for k in range(1, n) if page.parent[k] == up and page.tag[k] in ("p", "div", "section", "body")) for up in range(n)])
+
+
+def test_equal_densities_take_the_first():
+    half = f"<div><h1>T</h1>{LONG}</div>"
+    assert main_text(f"<body><div>{half}</div><div>{half}</div></body>").count("words of paragraph 0") == main_text(half).count("words of paragraph 0")
+
+
 def test_page_texts(spark):
     rows = [(1, "u", "<article><p>é</p></article>", "x"), (2, "u", None, "x"), (2, "u", None, "x")]
     got = sorted(tuple(r) for r in page_texts(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
@@ -255,6 +405,14 @@ def test_contamination(spark, most):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert sorted(tuple(x) for x in contamination(docs, bench, max_windows=most).collect()) == _hits(rows, items)
     assert {x["contaminated"] for x in contamination(docs, bench.limit(0)).collect()} == {False}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark(item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    assert sorted(con.execute(contamination_sql()).fetchall()) == _hits(rows, items)
+    nameless = spark.createDataFrame([(None, items[6][1]), (None, None)], "item_id long, text string")
+    want = [(*x[:3], 0, sha_of([]), x[5]) for x in _hits(rows, [items[6]])]
+    assert sorted(tuple(x) for x in contamination(docs, nameless, max_windows=most).collect()) == want and any(x[5] for x in want)
     assert contamination(docs.limit(0), bench).count() == 0
 
 
