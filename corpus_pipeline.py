@@ -3,30 +3,37 @@
 Each stage takes what its predecessor kept, read back from Parquet, and its decisions take effect: documents or bytes
 that it rejects are gone for the stages after it. All but the last return the columns of documents.
 
-Defined results: null texts have no language and go in the first stage; rows without doc_id go in the second; of rows
-that share a doc_id one stays; extra columns are left out; empty tables give an empty result.
+Defined results: null texts have no language and go in the first stage; rows without doc_id go in the second; rows that
+share a doc_id are one document to the second stage, and each of their different texts stays or goes with it; rows that
+repeat doc_id and text are one row after it; extra columns are left out; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rodada.llm.bpe import round_trip
-from rodada.llm.common import materialize, table
-from rodada.llm.decontaminate import contamination
+from rodada.llm.common import table
+from rodada.llm.decontaminate import benchmark_hits
 from rodada.llm.language_id import held_out, identify, learn
 from rodada.llm.ngram_join import jaccard_components
 from rodada.llm.queries import tokenizer_path
 from rodada.llm.suffix_dedup import remove_repeats
+from rodada.operators.work import cut, drop
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text this far from every language's profile (1 is on a profile, 0 shares no frequent n-gram) is no text.
 LEAST_SCORE = 0.2
 
 
+def text_hash() -> Column:
+    """With doc_id, what names a row; operator 3 calls it th."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents without a recognisable language go."""
     docs = docs.select(*COLUMNS)
@@ -38,23 +45,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Operator 4: of each group of documents that links connect, the one with the smallest doc_id stays."""
     docs = docs.select(*COLUMNS)
     kept = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars")))
+    once = F.row_number().over(Window.partitionBy("doc_id", text_hash()).orderBy(F.xxhash64("lang", "source", "n_chars")))
     return docs.join(kept.hint("shuffle_hash"), "doc_id").withColumn("_place", once).filter("_place = 1").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: bytes of long repeated passages go (and what they leave of cut characters); so do emptied documents."""
-    docs = docs.select(*COLUMNS)
-    changed = remove_repeats(docs, with_text=True).filter("n_removed > 0").select("doc_id", F.col("kept").alias("_kept"))
-    joined = docs.join(changed, "doc_id", "left").withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.col("_kept")))
+    docs = docs.select(*COLUMNS).withColumn("_th", text_hash())
+    changed = remove_repeats(docs, with_text=True).filter("n_removed > 0").select("doc_id", F.col("th").alias("_th"), F.col("kept").alias("_kept")).dropDuplicates(["doc_id", "_th"])
+    joined = docs.join(changed, ["doc_id", "_th"], "left").withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.col("_kept")))
     return joined.filter(F.trim("text") != "").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold a passage of a benchmark item go."""
-    docs = docs.select(*COLUMNS)
-    leaked = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return docs.join(leaked, "doc_id", "left_anti")
+    found = benchmark_hits(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), keep=COLUMNS)
+    return found.filter(F.size("spans") == 0).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,6 +83,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each stage keeps is written and read back."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        if k:
+            drop(before)
     return docs
