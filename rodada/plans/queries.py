@@ -41,6 +41,23 @@ def _planar(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return f"(sqrt(power(({lon2}-{lon1})*{COS_LAT}e0,2)+power({lat2}-{lat1},2))*111320.0)"
 
 
+def _rounded(x: str, n: int) -> str:
+    """Half up on the value's shortest decimal form, like Spark: DuckDB's own rounding of doubles scales them first."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)),{n}) AS DOUBLE)"
+
+
+def _gap_score(a: str, b: str, gap: str, pen: str) -> str:
+    network = f"least(50.0, sqrt(least({a},{b}))*19.5e0+log10(1.0e0+{a}+{b})*12.0e0)"
+    return _rounded(f"greatest(0.0, least(100.0, {network} + greatest(0.0,(1.0-{gap}/1200.0)*35.0) + least(15.0, greatest(0.3e0,1.8e0-{pen}*0.5e0)/1.3e0*15.0e0)))", 1)
+
+
+def _kept(items: str, conflicts: str) -> str:
+    """The ids that a pass over items(id) in id order keeps, as g_kept(id): conflicts(later, earlier) with a kept one drop an item."""
+    return f"""g_seq AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS n, id, coalesce(prev, []) AS prev FROM {items} LEFT JOIN (SELECT later, list(earlier) AS prev FROM {conflicts} GROUP BY later) c ON later = id),
+ g_pass(n, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT p.n + 1, CASE WHEN list_has_any(kept, prev) THEN kept ELSE list_append(kept, id) END FROM g_pass p JOIN g_seq s ON s.n = p.n + 1),
+ g_kept AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM g_pass ORDER BY n DESC LIMIT 1) l)"""
+
+
 _LANES = "('track','lane','opposite_track','opposite_lane','share_busway','yes')"
 _BASE = "CASE highway " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in tags.HIGHWAY_PENALTY.items()) + f" ELSE {tags.OTHER_PENALTY}e0 END"
 _RULE = f"""g_rule AS (SELECT *, CASE WHEN highway IN ('motorway') THEN 'blocked' WHEN access IN ('no','private') AND coalesce(bicycle,'') NOT IN ('yes','designated','permissive') THEN 'blocked'
@@ -56,7 +73,7 @@ _EDGE = f"""{ctes("node", "position", "way")}, {_RULE}, g_seg AS (SELECT * FROM
  g_long AS (SELECT s.way_id, s.pos, s.u, s.v, r.category, {_PEN} AS penalty, coalesce(nullif(r.name,''),'Calle sin nombre') AS name, r.highway, fwd, bwd, {_hav("a.lon", "a.lat", "b.lon", "b.lat")} AS d
  FROM g_seg s JOIN g_rule r ON s.way_id=r.way_id AND r.category<>'blocked' JOIN g_node a ON a.id=s.u JOIN g_node b ON b.id=s.v),
  g_dir AS (SELECT u, v, 0 AS dir, way_id, pos, category, penalty, name, highway, d FROM g_long WHERE fwd AND d>=0.1 UNION ALL SELECT v, u, 1, way_id, pos, category, penalty, name, highway, d FROM g_long WHERE bwd AND d>=0.1),
- g_edge AS (SELECT u, v, round(d,2) AS length_m, round(d*penalty,2) AS cost, penalty AS penalty_factor, way_id, name, highway, category, category IN ('dedicated_cycleway','cycle_lane') AS is_cycling_infra
+ g_edge AS MATERIALIZED (SELECT u, v, round(d,2) AS length_m, round(d*penalty,2) AS cost, penalty AS penalty_factor, way_id, name, highway, category, category IN ('dedicated_cycleway','cycle_lane') AS is_cycling_infra
  FROM (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY way_id DESC, pos DESC, dir DESC) AS n FROM g_dir) x WHERE n=1)"""
 _FOLD = f"""{_EDGE}, g_fold AS (SELECT a, b, max(length_m) AS length_m, min_by(name, row(u,v)) AS name, min_by(category, row(u,v)) AS category FROM (SELECT *, least(u,v) AS a, greatest(u,v) AS b FROM g_edge WHERE is_cycling_infra) x GROUP BY a, b)"""
 _CC = f"""{_FOLD}, g_both AS (SELECT a AS x, b AS y FROM g_fold UNION SELECT b, a FROM g_fold), g_reach(node, seen) AS (SELECT x, x FROM g_both UNION SELECT r.node, e.y FROM g_reach r JOIN g_both e ON r.seen=e.x),
@@ -64,7 +81,7 @@ _CC = f"""{_FOLD}, g_both AS (SELECT a AS x, b AS y FROM g_fold UNION SELECT b,
 _COMP = f"""{_CC}, g_len AS (SELECT component, round(sum(length_m),1) AS length_m, round(sum(length_m)/1000,2) AS length_km FROM g_fold JOIN g_label ON node=a GROUP BY component),
  g_comp AS (SELECT row_number() OVER (ORDER BY count(*) DESC, l.component) AS id, l.component, count(*) AS node_count, any_value(g.length_m) AS length_m, any_value(g.length_km) AS length_km,
  min(lon) AS min_lon, min(lat) AS min_lat, max(lon) AS max_lon, max(lat) AS max_lat, count(*) FILTER (degree=1) AS ends, min(l.node) AS least FROM g_label l JOIN g_deg d USING (node) JOIN g_node n ON n.id=l.node JOIN g_len g ON g.component=l.component GROUP BY l.component),
- g_end AS (SELECT c.id AS comp, c.length_km, l.node AS id FROM g_comp c JOIN g_label l USING (component) JOIN g_deg d USING (node) WHERE d.degree=1 UNION ALL SELECT id, length_km, least FROM g_comp WHERE ends=0)"""
+ g_end AS MATERIALIZED (SELECT c.id AS comp, c.length_km, l.node AS id FROM g_comp c JOIN g_label l USING (component) JOIN g_deg d USING (node) WHERE d.degree=1 UNION ALL SELECT id, length_km, least FROM g_comp WHERE ends=0)"""
 _INFRA_NODES = "g_cyc AS (SELECT DISTINCT n.id, n.lon, n.lat FROM (SELECT u AS id FROM g_edge WHERE is_cycling_infra UNION SELECT v FROM g_edge WHERE is_cycling_infra) x JOIN g_node n USING (id))"
 
 
@@ -158,15 +175,21 @@ def connectivity_stats(spark, sf_dir):
 # --- spatial joins -------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {ctes("node", "request")}, d AS (SELECT r.seq, n.id, {_hav("r.o_lon", "r.o_lat", "n.lon", "n.lat")} AS d FROM (SELECT DISTINCT ON (o_lon, o_lat) * FROM g_request ORDER BY o_lon, o_lat, seq) r CROSS JOIN g_node n)
- SELECT seq AS id, min_by(id, d) AS node_id, round(min(d),3) AS snap_m, min(d) > 15.0 AS out_of_bounds FROM d GROUP BY seq""")
+_ENDS = "g_ends AS (SELECT seq, 'o' AS which, o_lon AS lon, o_lat AS lat FROM g_request UNION ALL SELECT seq, 'd', d_lon, d_lat FROM g_request)"
+_SNAP = f"{_ENDS}, g_snap AS (SELECT p.lon, p.lat, min({{'d': {_hav('p.lon', 'p.lat', 'n.lon', 'n.lat')}, 'id': n.id}}) AS s FROM (SELECT DISTINCT lon, lat FROM g_ends) p CROSS JOIN g_node n GROUP BY p.lon, p.lat)"
+
+
+@query(f"WITH {ctes('node', 'request')}, {_SNAP} SELECT seq, which, s.id AS node_id, round(s.d,3) AS snap_m, s.d > 15.0 AS out_of_bounds FROM g_ends JOIN g_snap USING (lon, lat)")
 def snap_nearest(spark, sf_dir):
-    r = fixture(spark, sf_dir, "request").groupBy("o_lon", "o_lat").agg(F.min("seq").alias("id"))
-    s = routing.snap(r.select("id", F.col("o_lon").alias("lon"), F.col("o_lat").alias("lat")), fixture(spark, sf_dir, "node"), COS_LAT, 15.0)
-    return s.select("id", "node_id", F.round("snap_m", 3).alias("snap_m"), "out_of_bounds")
+    """Both ends of every request."""
+    end = lambda x: F.struct(F.lit(x).alias("which"), F.col(f"{x}_lon").alias("lon"), F.col(f"{x}_lat").alias("lat"))
+    ends = fixture(spark, sf_dir, "request").select("seq", F.explode(F.array(end("o"), end("d"))).alias("e")).select(F.struct("seq", "e.which").alias("id"), "e.lon", "e.lat")
+    s = routing.snap(ends, fixture(spark, sf_dir, "node"), COS_LAT, 15.0)
+    return s.select("id.seq", "id.which", "node_id", F.round("snap_m", 3).alias("snap_m"), "out_of_bounds")
 
 
 _NEAR_CYC = f"EXISTS (SELECT 1 FROM g_cyc c WHERE {_planar('p.lon', 'p.lat', 'c.lon', 'c.lat')} <= 250.0)"
+_VERY_NEAR_CYC = _NEAR_CYC.replace("250.0", "60.0")
 
 
 @query(f"WITH {_EDGE}, {_INFRA_NODES}, {ctes('poi')} SELECT p.id, p.category FROM g_poi p WHERE {_NEAR_CYC}")
@@ -174,9 +197,9 @@ def radius_semi(spark, sf_dir):
     return spatial.radius_semi(fixture(spark, sf_dir, "poi"), _cycling_points(spark, sf_dir), 250.0, COS_LAT).select("id", "category")
 
 
-@query(f"WITH {_EDGE}, {_INFRA_NODES}, {ctes('poi')} SELECT p.id, p.category FROM g_poi p WHERE NOT {_NEAR_CYC}")
+@query(f"WITH {_EDGE}, {_INFRA_NODES}, {ctes('poi')} SELECT p.id, p.category FROM g_poi p WHERE NOT {_VERY_NEAR_CYC}")
 def radius_anti(spark, sf_dir):
-    return spatial.radius_semi(fixture(spark, sf_dir, "poi"), _cycling_points(spark, sf_dir), 250.0, COS_LAT, anti=True).select("id", "category")
+    return spatial.radius_semi(fixture(spark, sf_dir, "poi"), _cycling_points(spark, sf_dir), 60.0, COS_LAT, anti=True).select("id", "category")
 
 
 @query(f"WITH {ctes('poi', 'node')} SELECT n.id, count(p.id) AS pois FROM g_node n LEFT JOIN g_poi p ON {_planar('n.lon', 'n.lat', 'p.lon', 'p.lat')} <= 349.0 GROUP BY n.id")
@@ -206,28 +229,56 @@ def endpoint_pairs(spark, sf_dir):
 # --- paths, gaps ---------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {_EDGE}, s(query, node, dist) AS (SELECT id, id, 0.0::DOUBLE FROM g_node WHERE id % 50 = 7 UNION SELECT s.query, e.v, round(s.dist+e.length_m,6) FROM s JOIN g_edge e ON e.u=s.node WHERE s.dist+e.length_m <= 450)
- SELECT query, node, min(dist) AS dist FROM s GROUP BY query, node""")
+@query(f"""WITH RECURSIVE {_EDGE}, s(query, node, dist) USING KEY (query, node) AS (SELECT id, id, 0.0::DOUBLE FROM g_node UNION SELECT x.query, x.node, x.dist FROM
+ (SELECT s.query, e.v AS node, min(round(s.dist+e.length_m,6)) AS dist FROM s JOIN g_edge e ON e.u=s.node WHERE round(s.dist+e.length_m,6) <= 1200 GROUP BY s.query, e.v) x
+ LEFT JOIN recurring.s o ON o.query=x.query AND o.node=x.node WHERE o.query IS NULL OR x.dist < o.dist) SELECT query, node, dist FROM s""")
 def sssp_bounded(spark, sf_dir):
+    """From every node, as far as the search for gaps looks."""
     e = road_edges(spark, sf_dir).select("u", "v", F.col("length_m").alias("w"))
-    src = fixture(spark, sf_dir, "node").filter("id % 50 = 7").select(F.col("id").alias("query"), F.col("id").alias("node"))
-    return bounded_paths(cut(e), src, 450.0).select("query", "node", "dist")
+    src = fixture(spark, sf_dir, "node").select(F.col("id").alias("query"), F.col("id").alias("node"))
+    return bounded_paths(cut(e), src, 1200.0).select("query", "node", "dist")
+
+
+_GAPS = f"""{_COMP}, e AS (SELECT g_end.id, comp, length_km, lon, lat FROM g_end JOIN g_node USING (id) WHERE length_km >= 0.2),
+ pr AS (SELECT * FROM (SELECT x.id AS a, y.id AS b, x.comp AS ca, y.comp AS cb, x.length_km AS akm, y.length_km AS bkm, {_hav("x.lon", "x.lat", "y.lon", "y.lat")} AS crow FROM e x JOIN e y ON x.comp < y.comp) p WHERE crow BETWEEN 35 AND 850),
+ sp(query, node, dist, path) USING KEY (query, node) AS (SELECT DISTINCT a, a, 0.0::DOUBLE, [a] FROM pr UNION SELECT x.query, x.node, x.m.dist, x.m.path FROM
+ (SELECT s.query, ed.v AS node, min({{'dist': round(s.dist+ed.length_m,6), 'path': list_append(s.path, ed.v)}}) AS m FROM sp s JOIN g_edge ed ON ed.u=s.node WHERE round(s.dist+ed.length_m,6) <= 1200 GROUP BY s.query, ed.v) x
+ LEFT JOIN recurring.sp o ON o.query=x.query AND o.node=x.node WHERE o.query IS NULL OR x.m < {{'dist': o.dist, 'path': o.path}}),
+ cand AS (SELECT pr.*, dist AS gap, path FROM pr JOIN sp ON query=a AND node=b WHERE dist <= crow*2.2),
+ hop AS (SELECT a, b, i, g.name, g.highway, coalesce(g.penalty_factor, 1.0) AS pen FROM (SELECT a, b, path, unnest(range(1, len(path))) AS i FROM cand) c LEFT JOIN g_edge g ON g.u=path[i] AND g.v=path[i+1]),
+ per AS (SELECT a, b, avg(pen) AS pen, list(name ORDER BY i) AS names, list(highway ORDER BY i) AS kinds FROM hop GROUP BY a, b),
+ scored AS (SELECT *, {_gap_score("akm", "bkm", "gap", "pen")} AS score FROM cand JOIN per USING (a, b)),
+ best AS (SELECT row_number() OVER (ORDER BY score DESC, ca, cb) AS id, * FROM (SELECT *, row_number() OVER (PARTITION BY ca, cb ORDER BY score DESC, a, b) AS n FROM scored) x WHERE n = 1),
+ conf AS (SELECT l.id AS later, r.id AS earlier FROM best l JOIN best r ON l.id > r.id WHERE len(list_intersect(list_distinct(l.path), list_distinct(r.path))) > least(len(list_distinct(l.path)), len(list_distinct(r.path))) * 0.6e0),
+ {_kept("best", "conf")}, gap AS (SELECT row_number() OVER (ORDER BY id) AS rank, *, list_filter(names, lambda x: x IS NOT NULL AND x <> '') AS nn FROM best JOIN g_kept USING (id)),
+ street AS (SELECT *, list_filter(nn, lambda x, i: i = 1 OR x <> nn[i-1]) AS streets FROM gap WHERE rank <= 10)"""
+
+
+@query(f"""WITH RECURSIVE {_GAPS} SELECT rank, ca AS comp_a_id, cb AS comp_b_id, akm AS comp_a_km, bkm AS comp_b_km, a AS node_origin, b AS node_dest, {_rounded("gap", 1)} AS gap_length_m, {_rounded("crow", 1)} AS crow_distance_m,
+ {_rounded("akm+bkm", 2)} AS connected_network_km, {_rounded("least(akm,bkm)", 2)} AS network_gain_km, {_rounded("least(akm,bkm)/(gap/1000.0)", 1)} AS gain_ratio, score AS priority_score, array_to_string(streets, '|') AS streets,
+ array_to_string(list_sort(list_distinct(list_filter(kinds, lambda x: x <> ''))), '|') AS highway_types, {_rounded("pen", 2)} AS avg_penalty, array_to_string(path, ',') AS path_nodes FROM street""")
+def gap_rank(spark, sf_dir):
+    g = _ranked_gaps(spark, sf_dir)
+    joined = {"streets": F.array_join("streets", "|"), "highway_types": F.array_join(F.array_sort("highway_types"), "|"), "path_nodes": F.array_join(F.col("path_nodes").cast("array<string>"), ",")}
+    return g.withColumns(joined).withColumns({c: F.col(c).cast("long") for c in ("rank", "comp_a_id", "comp_b_id")}).drop("coordinates")
 
 
-@query()
-def gap_rank(spark, sf_dir):
+def _ranked_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n = cut(road_edges(spark, sf_dir)), fixture(spark, sf_dir, "node")
     comps = cut(graph.components(graph.cycling_edges(e), n))
     return gaps.rank_gaps(cut(gaps.gap_candidates(e, n, comps, COS_LAT)), 10)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_GAPS} SELECT printf('gap-lattice-%02d', rank) AS id, concat('Oportunidad #', printf('%02d', rank), ': ', coalesce(streets[1], 'Conexión barrial')) AS name, rank, score AS priority_score, CAST(trunc({_rounded("gap", 1)}) AS INT) AS gap_length_m,
+ CASE WHEN len(streets) > 0 THEN array_to_string(streets[1:3], ', ') ELSE 'Vías urbanas' END AS streets_display, len(path) AS points FROM street""")
 def geojson_feature(spark, sf_dir):
-    return gaps.gap_features(gap_rank(spark, sf_dir), F.lit("lattice"))
+    """Features of the ranked gaps: what the layer shows, with the number of points of each line."""
+    f = gaps.gap_features(_ranked_gaps(spark, sf_dir), F.lit("lattice"))
+    return f.select("id", "name", F.col("rank").cast("long").alias("rank"), "priority_score", "gap_length_m", "streets_display", F.size("coordinates").cast("long").alias("points"))
 
 
 @query("""WITH p AS (SELECT o_orderkey AS id, (o_custkey % 90) / 4.0 + 0.2 AS a, (o_orderkey % 130) / 5.0 + 0.2 AS b, CAST(o_orderkey % 1300 AS DOUBLE) AS gap, 0.7 + (o_orderkey % 30) / 10.0 AS pen FROM orders)
- SELECT id, round(greatest(0.0, least(100.0, least(50.0, sqrt(least(a,b))*19.5e0+log10(1.0e0+a+b)*12.0e0) + greatest(0.0,(1.0-gap/1200.0)*35.0) + least(15.0, greatest(0.3e0,1.8e0-pen*0.5e0)/1.3e0*15.0e0))),1) AS score,
+ SELECT id, """ + _gap_score("a", "b", "gap", "pen") + """ AS score,
  round(a+b,2) AS connected_network_km, round(least(a,b),2) AS network_gain_km, CASE WHEN gap > 0 THEN round(least(a,b)/(gap/1000.0),1) ELSE 0.0 END AS gain_ratio FROM (SELECT id, a::DOUBLE AS a, b::DOUBLE AS b, gap, pen::DOUBLE AS pen FROM p) q""")
 def gap_score(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -245,6 +296,20 @@ def pair_best(spark, sf_dir):
     return gaps.best_of_pairs(p).drop("node_dest")
 
 
+@query(f"""WITH RECURSIVE {_EDGE}, {ctes("request")}, {_SNAP}, pair AS (SELECT DISTINCT o.s.id AS src, d.s.id AS dst FROM g_request r JOIN g_snap o ON o.lon=r.o_lon AND o.lat=r.o_lat JOIN g_snap d ON d.lon=r.d_lon AND d.lat=r.d_lat WHERE o.s.d <= 500 AND d.s.d <= 500),
+ w AS MATERIALIZED (SELECT u, v, 'cost' AS weight, cost AS w FROM g_edge UNION ALL SELECT u, v, 'length_m', length_m FROM g_edge),
+ sp(weight, query, node, dist) USING KEY (weight, query, node) AS (SELECT DISTINCT weight, src, src, 0.0::DOUBLE FROM pair, (SELECT DISTINCT weight FROM w) k UNION SELECT x.weight, x.query, x.node, x.dist FROM
+ (SELECT s.weight, s.query, w.v AS node, min(s.dist+w.w) AS dist FROM sp s JOIN w ON w.u=s.node AND w.weight=s.weight GROUP BY s.weight, s.query, w.v) x LEFT JOIN recurring.sp o ON o.weight=x.weight AND o.query=x.query AND o.node=x.node WHERE o.query IS NULL OR x.dist < o.dist)
+ SELECT src, dst, weight, round(dist,2) AS total FROM pair JOIN sp ON query=src AND node=dst""")
+def route_totals(spark, sf_dir):
+    """Least cost and least length of every request's pair of snapped nodes."""
+    r = fixture(spark, sf_dir, "request").withColumnRenamed("seq", "id")
+    nodes = fixture(spark, sf_dir, "node")
+    side = lambda x: routing.snap(r.select("id", F.col(f"{x}_lon").alias("lon"), F.col(f"{x}_lat").alias("lat")), nodes, COS_LAT).filter("not out_of_bounds").select("id", F.col("node_id").alias(x))
+    pairs = side("o").join(side("d"), "id").select(F.col("o").alias("src"), F.col("d").alias("dst"))
+    return routing.shortest_routes(pairs, cut(road_edges(spark, sf_dir)), ("cost", "length_m")).select("src", "dst", "weight", F.round("total", 2).alias("total"))
+
+
 @query()
 def route_compare(spark, sf_dir):
     r = fixture(spark, sf_dir, "request").withColumnRenamed("seq", "id")
@@ -272,27 +337,30 @@ def ordered_distinct(spark, sf_dir):
 
 # --- clustering, places --------------------------------------------------------------------------------------------
 
-_PTS = "pts AS (SELECT id, lon, lat FROM g_node WHERE (id * id * 31 + id * 17) % 11 < 6)"
-_NB = f"nb AS (SELECT a.id, b.id AS other FROM pts a JOIN pts b ON {_planar('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 149.0), core AS (SELECT id FROM nb GROUP BY id HAVING count(*) >= 5)"
+#: The lattice, drawn together towards the middle of each 12 x 12 square, so that density varies and clusters are apart.
+_PTS = """pts AS (SELECT id, round(lon - 0.0011e0 * (x % 12 - 5.5e0) * CASE WHEN x % 12 BETWEEN 2 AND 9 AND y % 12 BETWEEN 2 AND 9 THEN 0.6e0 ELSE -0.35e0 END, 6) AS lon,
+ round(lat - 0.0009e0 * (y % 12 - 5.5e0) * CASE WHEN x % 12 BETWEEN 2 AND 9 AND y % 12 BETWEEN 2 AND 9 THEN 0.6e0 ELSE -0.35e0 END, 6) AS lat
+ FROM (SELECT *, id % 50 AS x, CAST((id - id % 50) / 50 AS BIGINT) AS y FROM g_node) q)"""
+_NB = f"nb AS MATERIALIZED (SELECT a.id, b.id AS other FROM pts a JOIN pts b ON {_planar('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 300.0), core AS (SELECT id FROM nb GROUP BY id HAVING count(*) >= 20)"
 _DB = f"""{_PTS}, {_NB}, cc(id, other) AS (SELECT id, id FROM core UNION SELECT c.id, n.other FROM cc c JOIN nb n ON n.id=c.other JOIN core k ON k.id=n.other), lab AS (SELECT id, min(other) AS cluster FROM cc GROUP BY id),
  reach AS (SELECT l.cluster, l.id AS core, n.other FROM lab l JOIN nb n ON n.id=l.id WHERE n.other NOT IN (SELECT id FROM core)),
  mem AS (SELECT cluster, id, TRUE AS is_core FROM lab UNION ALL SELECT cluster, id, FALSE FROM (SELECT cluster, other AS id FROM reach WHERE core=cluster UNION SELECT min(cluster), other FROM reach WHERE other > cluster GROUP BY other) b)"""
 
 
 def _cluster_points(spark, sf_dir):
-    return fixture(spark, sf_dir, "node").filter("(id * id * 31 + id * 17) % 11 < 6")
+    return spark.sql(f"WITH {_PTS} SELECT * FROM pts".replace("FROM g_node", "FROM {g_node}"), g_node=fixture(spark, sf_dir, "node"))
 
 
 @query(f"WITH RECURSIVE {ctes('node')}, {_DB} SELECT cluster, id, is_core FROM mem")
 def dbscan(spark, sf_dir):
-    return cluster.dbscan(_cluster_points(spark, sf_dir), COS_LAT, 149.0, 5)
+    return cluster.dbscan(_cluster_points(spark, sf_dir), COS_LAT)
 
 
 @query(f"""WITH RECURSIVE {ctes("node")}, {_DB}, d AS (SELECT m.cluster, p.lon, p.lat, (m.id % 1000) + 0.5 AS dist FROM mem m JOIN pts p USING (id))
  SELECT cluster, row_number() OVER (ORDER BY count(*) DESC, cluster) AS rank, count(*) AS node_count, round(avg(lon),5) AS mean_lon, round(avg(lat),5) AS mean_lat, round(max(dist),1)::DOUBLE AS max_m, round(count(*)*(avg(dist)/500.0e0+1.0e0)+12.0e0*(cluster % 5),1) AS need FROM d GROUP BY cluster""")
 def cluster_stats(spark, sf_dir):
     pts = _cluster_points(spark, sf_dir).withColumn("dist", F.col("id") % 1000 + F.lit(0.5).cast("double"))
-    s = cluster.cluster_summary(cluster.dbscan(pts, COS_LAT, 149.0, 5), pts)
+    s = cluster.cluster_summary(cluster.dbscan(pts, COS_LAT), pts)
     return s.select("cluster", F.col("rank").cast("long").alias("rank"), "node_count", F.round("mean_lon", 5).alias("mean_lon"), F.round("mean_lat", 5).alias("mean_lat"), F.round("max_m", 1).alias("max_m"), scores.need_score(F.col("node_count"), F.col("mean_m"), F.col("cluster") % 5).alias("need"))
 
 
@@ -310,12 +378,16 @@ def expansion_plan(spark, sf_dir):
     return plan.select(*names) if plan is not None else spark.createDataFrame([], "phase int, phase_id string, sector string, alt_type string, expansion_type string, urban_context string, length_m double, length_km double, new_nodes long, new_pois long, total_score double, cum_km double, cum_nodes long, cum_pois long")
 
 
-@query()
+_NAMED = "l.norm NOT IN ('', 'sin nombre') AND l.category = r.category AND (contains(r.norm, l.norm) OR contains(l.norm, r.norm))"
+
+
+@query(f"""WITH RECURSIVE {ctes("poi")}, p AS (SELECT *, lower(name) AS norm FROM g_poi), conf AS (SELECT l.id AS later, r.id AS earlier FROM p l JOIN p r ON l.id > r.id AND {_planar("l.lon", "l.lat", "r.lon", "r.lat")} < 150 WHERE {_planar("l.lon", "l.lat", "r.lon", "r.lat")} < 15 OR ({_NAMED})),
+ {_kept("g_poi", "conf")} SELECT g_poi.* FROM g_poi JOIN g_kept USING (id)""")
 def poi_dedup(spark, sf_dir):
     return pois.deduplicate_pois(fixture(spark, sf_dir, "poi"), COS_LAT)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDGE}, {_INFRA_NODES}, conf AS (SELECT l.id AS later, r.id AS earlier FROM g_cyc l JOIN g_cyc r ON l.id > r.id AND {_planar("l.lon", "l.lat", "r.lon", "r.lat")} < 140), {_kept("g_cyc", "conf")} SELECT id FROM g_kept""")
 def origin_thinning(spark, sf_dir):
     c = cut(_cycling_points(spark, sf_dir))
     near = spatial.radius_pairs(c, c, 140.0, COS_LAT, strict=True).filter("l_id > r_id").select(F.col("l_id").alias("later"), F.col("r_id").alias("earlier"))
