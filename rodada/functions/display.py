@@ -1,0 +1,47 @@
+"""What a map client shows, as Column expressions: labels, fallbacks, bounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def preset_label(lon: Column, lat: Column, presets: Column, apart: float = 0.0005, digits: int = 4) -> Column:
+    """The name of the first preset that is close on both axes, or else the coordinates."""
+    near = F.filter(presets, lambda p: (F.abs(p["coord"][0] - lon) < apart) & (F.abs(p["coord"][1] - lat) < apart))
+    return F.coalesce(F.get(near, 0)["name"], F.concat(F.format_number(lat, digits), F.lit(", "), F.format_number(lon, digits)))
+
+
+def phase_label(phase_id: Column) -> Column:
+    """'Fase N' of an expansion's id."""
+    return F.regexp_replace(phase_id, r"^expansion-[a-z]+-0?", "Fase ")
+
+
+def first_value(*values: Column) -> Column:
+    """The first value that is neither null nor, as a text, empty."""
+    return F.coalesce(*(F.when(v.cast("string") != "", v) for v in values))
+
+
+def nonzero(value: Column, fallback: Column) -> Column:
+    """The fallback where the value is null or 0."""
+    return F.coalesce(F.nullif(value, F.lit(0)), fallback)
+
+
+def extent(coords: Column) -> Column:
+    """struct(west, south, east, north) of an array of [lon, lat], and its middle element."""
+    lon, lat = F.transform(coords, lambda c: F.get(c, 0)), F.transform(coords, lambda c: F.get(c, 1))
+    return F.struct(F.array_min(lon).alias("west"), F.array_min(lat).alias("south"), F.array_max(lon).alias("east"), F.array_max(lat).alias("north"), F.get(coords, F.floor(F.size(coords) / 2).cast("int")).alias("middle"))
+
+
+def shown_presets(presets: Column, most: int = 4) -> Column:
+    return F.slice(presets, 1, most)
+
+
+def is_line(kind: Column, wanted: Column) -> Column:
+    """Whether a feature is a line that has the wanted property."""
+    return (kind == "LineString") & wanted.isNotNull()
+
+
+def badge(status: Column, is_demo: Column) -> Column:
+    """What kind of feature a popup tells of."""
+    return F.when(F.coalesce(is_demo, F.lit(False)), "demo").when(status == "ALGORITHMIC_CANDIDATE", "gap").when(status == "ALGORITHMIC_RECOMMENDED", "route").when(status == "ALGORITHMIC_EXPANSION", "expansion").otherwise("infrastructure")

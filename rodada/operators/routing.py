@@ -103,13 +103,18 @@ def path_metrics(routes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return all_.select(key, "path", F.round("m", 1).alias("distance_m"), F.round(F.col("m") / 1000, 2).alias("distance_km"), F.round(F.col("infra") / 1000, 2).alias("cycling_infra_km"), ratio(F.col("infra"), F.col("m"), 1, True).alias("cycling_infra_pct"), F.round("cost", 1).alias("cost_score"), streets.alias("streets"))
 
 
-def route_batch(requests: DataFrame, nodes: DataFrame, edges: DataFrame, cos_lat: Column | float, most_snap_m: float = 500.0) -> DataFrame:
-    """Answers of requests (id, o_lon, o_lat, d_lon, d_lat): both routes, their comparison, or an error."""
+def route_batch(requests: DataFrame, nodes: DataFrame, edges: DataFrame, cos_lat: Column | float, most_snap_m: float | Column = 500.0) -> DataFrame:
+    """Answers of requests (id, o_lon, o_lat, d_lon, d_lat): both routes, their comparison, or an error.
+
+    most_snap_m may be a column of requests.
+    """
     ends = requests.select(F.col("id").alias("req"), F.explode(F.array(F.struct(F.lit("o").alias("end"), F.col("o_lon").alias("lon"), F.col("o_lat").alias("lat")), F.struct(F.lit("d").alias("end"), F.col("d_lon").alias("lon"), F.col("d_lat").alias("lat")))).alias("e"))
     points = ends.select(F.struct("req", "e.end").alias("id"), "e.lon", "e.lat")
-    snapped = snap(points, nodes, cos_lat, most_snap_m).select("id.req", "id.end", "node_id", F.round("snap_m", 1).alias("snap_m"), "out_of_bounds")
-    side = lambda x, to: snapped.filter(F.col("end") == x).select(F.col("req").alias("id"), F.col("node_id").alias(to), F.col("snap_m").alias(f"{to}_snap_m"), F.col("out_of_bounds").alias(f"{to}_out"))
-    asked = requests.join(side("o", "src"), "id").join(side("d", "dst"), "id")
+    snapped = cut(snap(points, nodes, cos_lat).select("id.req", "id.end", "node_id", "snap_m"))
+    side = lambda x, to: snapped.filter(F.col("end") == x).select(F.col("req").alias("id"), F.col("node_id").alias(to), F.col("snap_m").alias(f"{to}_snap_m"))
+    limit = most_snap_m if isinstance(most_snap_m, Column) else F.lit(most_snap_m)
+    asked = requests.withColumn("_limit", limit).join(side("o", "src"), "id").join(side("d", "dst"), "id")
+    asked = asked.withColumns({f"{to}_out": F.col(f"{to}_snap_m").isNull() | (F.col(f"{to}_snap_m") > F.col("_limit")) for to in ("src", "dst")} | {f"{to}_snap_m": F.round(f"{to}_snap_m", 1) for to in ("src", "dst")})
     good = asked.filter("not src_out and not dst_out").select("src", "dst")
     routes, both = cut(shortest_routes(good, edges, ("cost", "length_m"))), None
     for name, weight in (("cycling", "cost"), ("shortest", "length_m")):

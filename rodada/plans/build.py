@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rodada.functions.tags import classify_cycleway, cycleway_display
+from rodada.functions.geo import cos_latitude
+from rodada.functions.tags import ACCESS_HIGHWAYS, classify_cycleway, cycleway_display
 from rodada.operators import gaps, graph
-from rodada.operators.expansion import plan_expansion
-from rodada.operators.work import cut
+from rodada.operators.expansion import coverage, plan_expansion, points
+from rodada.operators.graph import access_nodes, cycling_nodes
 from rodada.operators.pois import deduplicate_pois, parse_pois
-from rodada.sources.osm import cycleway_scan, place_scan, read_elements, road_scan, split_elements
+from rodada.operators.work import cut
+from rodada.plans.catalog import enabled_cities, od_pairs
+from rodada.plans.reports import city_document, expansion_totals, suggested_routes, with_expansion
+from rodada.plans.service import city_graph
+from rodada.sources.osm import cycleway_scan, place_scan, read_elements, read_registry, road_scan, split_elements
+from rodada.sources.raw import exists, publish
 from rodada.sources.sinks import write_features, write_graph
 
 
@@ -28,40 +34,99 @@ def cycleway_layer(elements, city: str):
     )
 
 
-def build_city(spark: SparkSession, city: str, elements_path: str, out: str, cos_lat: float, max_phases: int = 6) -> dict[str, int]:
-    """Write the city's graph tables and layers under out; returns row counts."""
+#: What is published of a city.
+PUBLISHED = ("city", "cycling-infrastructure", "missing-connections", "suggested-routes", "network-expansion")
+
+
+def plan_city(spark: SparkSession, city: str, nodes: DataFrame, edges: DataFrame, places: DataFrame, out: str, cos_lat: float, max_phases: int = 6) -> DataFrame | None:
+    """Write the expansion layer of a built city and put its totals into the city's document; returns the totals."""
+    plan = plan_expansion(city, nodes, edges, places, cos_lat, max_phases)
+    if plan is None:
+        return None
+    plan = cut(plan)
+    at = nodes.select("id", "lon", "lat")
+    stops = plan.select("phase_id", F.posexplode("path").alias("pos", "id")).join(at, "id").groupBy("phase_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("c"))
+    rows = plan.join(stops, "phase_id").withColumn("coordinates", F.transform("c", lambda x: F.array(x["lon"], x["lat"]))).drop("c", "seq")
+    write_features(rows.withColumnRenamed("phase_id", "id"), f"{out}/{city}/network-expansion")
+    base = coverage(points(access_nodes(edges, ACCESS_HIGHWAYS), nodes), points(cycling_nodes(edges), nodes), cos_lat)
+    totals = cut(expansion_totals(plan, base))
+    if exists(spark, f"{out}/{city}/city"):
+        document = spark.read.json(f"{out}/{city}/city")
+        write_city(with_expansion(document, totals, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")), out, city)
+    return totals
+
+
+def write_city(document: DataFrame, out: str, city: str) -> None:
+    """The city's document: one row of JSON."""
+    cut(document).coalesce(1).write.mode("overwrite").json(f"{out}/{city}/city")
+
+
+def build_city(spark: SparkSession, city: str, elements_path: str, out: str, cos_lat: float | None = None, max_phases: int = 6, registry: DataFrame | None = None, publish_to: str | None = None) -> dict[str, int]:
+    """Write the city's graph tables, layers and document under out, and publish copies; returns row counts.
+
+    The scale of longitudes is that of the middle of the registry's bounding box (south, west, north, east), or else of
+    the city's nodes.
+    """
+    at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
     elements = read_elements(spark, elements_path)
+    row = None if registry is None else registry.filter(F.col("id") == city)
     layer = cut(cycleway_layer(elements, city))
     write_features(layer, f"{out}/{city}/cycling-infrastructure")
     nodes, ways = split_elements(road_scan(elements))
     tags = ways.select(F.col("id").alias("way_id"), "tags")
     edges = cut(graph.largest_component(cut(graph.directed_edges(graph.way_positions(ways), tags, nodes))))
     used = cut(nodes.join(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi"))
+    if cos_lat is None:
+        box = None if row is None else row.select(cos_latitude(F.get("bbox", 0), F.get("bbox", 2)).alias("c")).first()
+        cos_lat = box["c"] if box and box["c"] is not None else used.agg(cos_latitude(F.min("lat"), F.max("lat")).alias("c")).first()["c"]
     write_graph(used, edges, out, city)
+    routes = 0
+    if row is not None:
+        found = cut(suggested_routes(od_pairs(row), used, edges, cos_lat))
+        write_features(found, f"{out}/{city}/suggested-routes")
+        routes = found.count()
     comps = cut(graph.components(graph.cycling_edges(edges), used))
     ranked = cut(gaps.rank_gaps(cut(gaps.gap_candidates(edges, used, comps, cos_lat)), 10))
     write_features(gaps.gap_features(ranked, F.lit(city)), f"{out}/{city}/missing-connections")
     places = cut(deduplicate_pois(parse_pois(place_scan(elements)), cos_lat))
-    plan = plan_expansion(city, used, edges, places, cos_lat, max_phases)
-    phases = 0
-    if plan is not None:
-        at = used.select("id", "lon", "lat")
-        stops = plan.select("phase_id", F.posexplode("path").alias("pos", "id")).join(at, "id").groupBy("phase_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("c"))
-        rows = plan.join(stops, "phase_id").withColumn("coordinates", F.transform("c", lambda x: F.array(x["lon"], x["lat"]))).drop("c", "seq")
-        write_features(rows.withColumnRenamed("phase_id", "id"), f"{out}/{city}/network-expansion")
-        phases = plan.count()
-    return {"cycleways": layer.count(), "nodes": used.count(), "edges": edges.count(), "components": comps.count(), "gaps": ranked.count(), "places": places.count(), "phases": phases}
+    if row is not None:
+        write_city(city_document(row, layer, comps, ranked, list(PUBLISHED[1:4]), at), out, city)
+    totals = plan_city(spark, city, used, edges, places, out, cos_lat, max_phases)
+    if publish_to:
+        publish(spark, f"{out}/{city}", f"{publish_to}/{city}", PUBLISHED)
+    phases = 0 if totals is None else totals.first()["total_phases"]
+    return {"cycleways": layer.count(), "nodes": used.count(), "edges": edges.count(), "routes": routes, "components": comps.count(), "gaps": ranked.count(), "places": places.count(), "phases": phases}
 
 
 def main() -> None:
-    p = argparse.ArgumentParser(description="Build a city's tables and layers from element documents.")
-    p.add_argument("city")
+    p = argparse.ArgumentParser(description="Build cities' tables and layers from element documents (<elements>/<city>.json).")
+    p.add_argument("registry")
     p.add_argument("elements")
     p.add_argument("out")
-    p.add_argument("--cos-lat", type=float, default=0.82)
+    which = p.add_mutually_exclusive_group(required=True)
+    which.add_argument("--city")
+    which.add_argument("--all-enabled", action="store_true")
+    p.add_argument("--refresh", action="store_true", help="build again what is there")
+    p.add_argument("--plan-only", action="store_true", help="plan the expansion of a city whose graph is there")
     p.add_argument("--max-phases", type=int, default=6)
+    p.add_argument("--publish")
     a = p.parse_args()
-    print(build_city(SparkSession.builder.appName("rodada-build").getOrCreate(), a.city, a.elements, a.out, a.cos_lat, a.max_phases))
+    spark = SparkSession.builder.appName("rodada-build").getOrCreate()
+    registry = read_registry(spark, a.registry)
+    names = [a.city] if a.city else [r["id"] for r in enabled_cities(registry).select("id").orderBy("id").collect()]  # a row a city
+    for city in names:
+        if a.plan_only:
+            built = city_graph(spark, a.out, city)
+            if built is None:
+                raise SystemExit(f"{city} has no graph under {a.out}")
+            cos = built[0].agg(cos_latitude(F.min("lat"), F.max("lat")).alias("c")).first()["c"]
+            places = cut(deduplicate_pois(parse_pois(place_scan(read_elements(spark, f"{a.elements}/{city}.json"))), cos))
+            totals = plan_city(spark, city, *built, places, a.out, cos, a.max_phases)
+            print(city, None if totals is None else totals.first().asDict())
+        elif a.refresh or not exists(spark, f"{a.out}/{city}/city"):
+            print(city, build_city(spark, city, f"{a.elements}/{city}.json", a.out, None, a.max_phases, registry, a.publish))
+        else:
+            print(city, "is built")
 
 
 if __name__ == "__main__":

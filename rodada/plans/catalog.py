@@ -35,11 +35,21 @@ def layer(files: DataFrame, city_id: str, layer_id: str) -> DataFrame:
     return files.filter((F.col("city") == city_id) & (F.col("layer") == layer_id)).select(F.explode("features").alias("feature"))
 
 
+def enabled_cities(registry: DataFrame) -> DataFrame:
+    return registry.filter(F.coalesce("enabled", F.lit(False)))
+
+
 def od_pairs(registry: DataFrame, most: int = 5) -> DataFrame:
-    """(city, id, origin, destination): representative routes, or else the first preset with each of the next ones."""
-    own = registry.filter(F.size("representative_routes") > 0).select(F.col("id").alias("city"), F.explode("representative_routes").alias("r")).select("city", F.col("r.id").alias("id"), F.col("r.origin_coord").alias("origin"), F.col("r.dest_coord").alias("destination"))
+    """(city, id, name, description, origin_name, dest_name, origin, destination): representative routes, or else each of the next presets with the first one."""
+    own = registry.filter(F.size("representative_routes") > 0).select(F.col("id").alias("city"), F.explode("representative_routes").alias("r"))
+    own = own.select("city", "r.id", "r.name", "r.description", "r.origin_name", "r.dest_name", F.col("r.origin_coord").alias("origin"), F.col("r.dest_coord").alias("destination"))
     rest = registry.filter(F.coalesce(F.size("representative_routes"), F.lit(0)) <= 0).filter(F.size("presets") > 1)
-    made = rest.select(F.col("id").alias("city"), F.get("presets", 0)["coord"].alias("origin"), F.posexplode(F.slice("presets", 2, most)).alias("pos", "p")).select("city", F.format_string("route-%02d", F.col("pos") + 1).alias("id"), "origin", F.col("p.coord").alias("destination"))
+    made = rest.select(F.col("id").alias("city"), F.get("presets", 0).alias("c"), F.posexplode(F.slice("presets", 2, most)).alias("pos", "p"))
+    number, other = F.format_string("%02d", F.col("pos") + 1), F.col("p.name")
+    made = made.select(
+        "city", F.concat(F.lit("route-"), "city", F.lit("-"), number).alias("id"), F.concat(F.lit("Ruta #"), number, F.lit(": "), other, F.lit(" → "), F.col("c.name")).alias("name"),
+        F.concat(F.lit("Conexión desde "), other, F.lit(" hacia el centro cívico.")).alias("description"), other.alias("origin_name"), F.col("c.name").alias("dest_name"), F.col("p.coord").alias("origin"), F.col("c.coord").alias("destination"),
+    )
     return own.unionByName(made)
 
 

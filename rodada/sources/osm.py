@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rodada.functions.tags import HIGHWAY_PENALTY
+
 ELEMENTS = "elements array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,nodes:array<bigint>,tags:map<string,string>>>"
-CITY = "id string, name string, province string, region string, country string, enabled boolean, center array<double>, bounds array<array<double>>, bbox array<double>, initial_zoom double, presets array<struct<id:string,name:string,coord:array<double>>>, representative_routes array<struct<id:string,name:string,origin_coord:array<double>,dest_coord:array<double>>>"
-#: What the road scan takes (a prefix match), and what the place scan takes.
-ROADS = r"^(cycleway|path|living_street|residential|unclassified|service|pedestrian|track|tertiary|secondary|primary|trunk)"
+CITY = "id string, name string, province string, region string, country string, enabled boolean, center array<double>, bounds array<array<double>>, bbox array<double>, initial_zoom double, presets array<struct<id:string,name:string,coord:array<double>>>, representative_routes array<struct<id:string,name:string,description:string,origin_name:string,dest_name:string,origin_coord:array<double>,dest_coord:array<double>>>, description string"
+#: Roads that bicycles may use: the kinds with a known penalty but motorways. A prefix match, so link roads follow.
+ROADS = "^(" + "|".join(dict.fromkeys(k.removesuffix("_link") for k in HIGHWAY_PENALTY if not k.startswith("motorway"))) + ")"
+#: What the place scan takes.
 NODE_PLACES = {
     "amenity": r"^(school|college|university|hospital|clinic|doctors|pharmacy|police|fire_station|post_office|townhall|courthouse|community_centre|marketplace|bus_station)",
     "leisure": r"^(park|pitch|sports_centre|playground)",
@@ -70,6 +73,12 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"version string, cities array<struct<{CITY.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path).select(F.inline("cities"))
 
 
+def read_city_documents(spark: SparkSession, pattern: str) -> DataFrame:
+    """One row per city document (.../<city>/city.json) by path, for folders without a registry; malformed ones are left out."""
+    doc = spark.read.schema(f"{CITY}, stats map<string,string>, connectivity map<string,string>").option("multiLine", True).option("mode", "DROPMALFORMED").json(pattern)
+    return doc.filter("id is not null").withColumn("file", F.col("_metadata.file_path")).orderBy("file")
+
+
 def read_layers(spark: SparkSession, pattern: str) -> DataFrame:
     """(file, city, layer, feature_count, features as JSON) of GeoJSON documents under .../<city>/<layer>.geojson."""
     doc = spark.read.option("wholetext", True).text(pattern).select(F.col("_metadata.file_path").alias("file"), "value")
@@ -78,7 +87,7 @@ def read_layers(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a serialised graph document."""
+    """(nodes, edges) of a serialised graph document; a path without one is an error of Spark's reader."""
     edge = "u:bigint,v:bigint,length_m:double,cost:double,penalty_factor:double,way_id:bigint,name:string,highway:string,category:string,infra_label:string,is_cycling_infra:boolean"
     doc = spark.read.schema(f"nodes array<struct<id:bigint,lon:double,lat:double>>, edges array<struct<{edge}>>").option("multiLine", True).json(path)
     return doc.select(F.inline("nodes")), doc.select(F.inline("edges"))
