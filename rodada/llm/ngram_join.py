@@ -47,6 +47,8 @@ from rodada.operators.work import cut, drop
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 CACHE = 200_000
+#: Up to so many classes are broadcast (about 64 MB), so that only their texts are shuffled; beyond, all texts are.
+BROADCAST_CLASSES = 2_000_000
 
 
 class _WordHash(dict):
@@ -372,6 +374,9 @@ def _search_cells(docs: DataFrame, work: DataFrame, size: int, percent: int, ask
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for_doc = work.groupBy("cls").agg(F.collect_list(F.struct("lead", "block", "portion", "asked")).alias("jobs"))
+    sources, there = docs.select(F.col("doc_id").alias("cls"), "text"), work.select("cls").distinct()
+    if there.count() <= BROADCAST_CLASSES:
+        sources = sources.join(F.broadcast(there), "cls", "left_semi")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = kept(Shingler, size)
@@ -406,8 +411,8 @@ def _search_cells(docs: DataFrame, work: DataFrame, size: int, percent: int, ask
                 held[c, m] = f or held.get((c, m), False)
         yield from done()
 
-    cut = docs.select(F.col("doc_id").alias("cls"), "text").join(for_doc.hint("shuffle_hash"), "cls").mapInArrow(expand, "lead long, block int, portion int, asked boolean, cls long, members binary")
-    together = cut.repartition(n, "lead", "block", "portion").sortWithinPartitions("lead", "block", "portion")
+    sets = sources.join(for_doc.hint("shuffle_hash"), "cls").mapInArrow(expand, "lead long, block int, portion int, asked boolean, cls long, members binary")
+    together = sets.repartition(n, "lead", "block", "portion").sortWithinPartitions("lead", "block", "portion")
     return together.mapInArrow(search, "src long, dst long")
 
 
