@@ -59,8 +59,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold a passage of a benchmark item go."""
-    found = benchmark_hits(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), keep=COLUMNS)
-    return found.filter(F.size("spans") == 0).select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("_th", text_hash())
+    found = benchmark_hits(docs.select("doc_id", "text", "_th"), table(spark, sf_dir, "benchmark"), keep=("_th",))
+    leaked = found.filter(F.size("spans") > 0).select("doc_id", "_th")
+    return docs.join(leaked, ["doc_id", "_th"], "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
