@@ -211,7 +211,7 @@ class Bpe:
     #: Fixed value: the byte-level pre-token pattern of the tokenizers library.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 300_000):
         import regex
 
         self.m = MergeList(path)

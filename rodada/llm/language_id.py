@@ -114,13 +114,13 @@ def learn(docs: DataFrame, top: int = 300, n_max: int = 3, train_docs: int = 300
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, list] = {}
-            for rows, strings in texts(batch, "text", 2048):
+            for rows, strings in texts(batch, "text", 64):  # a slice's n-grams are held at once
+                held: dict[str, list] = {}
                 for s, lang in zip(strings, rows.column("lang").to_pylist(), strict=True):
                     held.setdefault(lang, []).append(grams(s, n_max))
-            for lang, parts in held.items():
-                codes, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+                for lang, parts in held.items():
+                    codes, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
