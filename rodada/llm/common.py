@@ -15,12 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def kept(make: Callable, *settings):
     """make(*settings), kept by the worker process: Spark gives a process many tasks, which then find caches warm.
 
-    Nothing that a task computes depends on what an earlier one left; only `make`'s bounded caches stay. The bound of 4
-    is on kinds of objects, each of which bounds itself.
+    Nothing that a task computes depends on what an earlier one left; only `make`'s bounded caches stay. One object is
+    kept, so that a pipeline's next stage doesn't pay for the last one's.
     """
     return make(*settings)
 
