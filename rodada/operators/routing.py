@@ -14,6 +14,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from rodada.functions.scores import ratio
 from rodada.functions.text import route_key, without_repeats
+from rodada.operators.cells import CellSearch, id_cells
 from rodada.operators.gaps import path_hops
 from rodada.operators.iterative import SMALL, adjacency, broadcast_graph
 from rodada.operators.spatial import nearest
@@ -48,12 +49,12 @@ def best_routes(out: dict[int, list[tuple[int, float]]], src: int, dsts: set[int
     return found
 
 
-def shortest_routes(pairs: DataFrame, edges: DataFrame, weights: tuple[str, ...], small: int = SMALL, portion: int = 4096) -> DataFrame:
+def shortest_routes(pairs: DataFrame, edges: DataFrame, weights: tuple[str, ...], small: int = SMALL, cells: DataFrame | None = None) -> DataFrame:
     """(src, dst, weight, total, path) of distinct pairs (src, dst) under each weight; pairs without a route are missing.
 
     A graph of up to `small` edges (the largest known city has some 65,000) is broadcast, and each task searches from
-    the sources that it has, once for all destinations of a source. A larger graph meets portions of the sources in
-    one task each.
+    the sources that it has, once for all destinations of a source. In a larger graph a search passes from cell to cell
+    (cells.CellSearch), so that no task holds more than one; cells (node, cell) default to stretches of ids.
     """
     asked = pairs.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct().groupBy("src").agg(F.collect_list("dst").alias("dsts"))
     schema = "src long, dst long, weight string, total double, path array<long>"
@@ -75,20 +76,15 @@ def shortest_routes(pairs: DataFrame, edges: DataFrame, weights: tuple[str, ...]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["src", "dst", "weight", "total", "path"])
 
         return asked.repartition("src").mapInArrow(search, schema)
-    parts = max(1, -(-asked.count() // portion))
-    work = asked.withColumn("part", F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int"))
-    copies = edges.select("u", "v", *weights).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def meet(key: tuple, asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for name in weights:
-            out: dict[int, list] = {}
-            for u, v, w in zip(graph["u"].tolist(), graph["v"].tolist(), graph[name].tolist(), strict=True):
-                out.setdefault(u, []).append((v, w))
-            rows += [x for src, dsts in zip(asked["src"].tolist(), asked["dsts"], strict=True) for x in rows_of(out, name, src, list(dsts))]
-        return pd.DataFrame(rows, columns=["src", "dst", "weight", "total", "path"])
-
-    return work.groupBy("part").cogroup(copies.groupBy("part")).applyInPandas(meet, schema)
+    asked = pairs.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct()
+    if cells is None:
+        cells = id_cells(edges.select(F.explode(F.array("u", "v")).alias("node")))
+    each = edges.select("u", "v", F.explode(F.array(*(F.struct(F.lit(w).alias("graph"), F.col(w).alias("w")) for w in weights))).alias("e")).select("e.graph", "u", "v", "e.w")
+    names = F.explode(F.array(*map(F.lit, weights))).alias("graph")
+    search = CellSearch(each, cells)
+    found = cut(search.run(asked.select(names, F.col("src").alias("query"), F.col("src").alias("node"))))
+    lines = search.paths(found, asked.select(names, F.col("src").alias("query"), F.col("dst").alias("node")))
+    return lines.select(F.col("query").alias("src"), F.col("node").alias("dst"), F.col("graph").alias("weight"), F.col("dist").alias("total"), F.reverse("path").alias("path"))
 
 
 def path_metrics(routes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
