@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,22 +12,22 @@ from rodada.functions.scores import gap_gain, gap_priority
 from rodada.functions.text import numbered, without_repeats
 from rodada.operators.graph import ranked
 from rodada.operators.iterative import bounded_paths, first_fit
-from rodada.operators.spatial import radius_pairs
+from rodada.operators.spatial import Scale, radius_pairs
 from rodada.operators.work import cut
 
 
 def component_endpoints(components: DataFrame, nodes: DataFrame, least_km: float = 0.20) -> DataFrame:
-    """(id, lon, lat, comp) of the endpoints of components of least_km or more that are in the road graph."""
+    """(id, nodes' other columns, comp) of the endpoints of components of least_km or more that are in the road graph."""
     ends = components.filter(F.col("length_km") >= least_km).select(F.col("id").alias("comp"), F.explode("endpoints").alias("id"))
-    return ends.join(nodes.select("id", "lon", "lat"), "id")
+    return ends.join(nodes, "id")
 
 
-def endpoint_pairs(endpoints: DataFrame, cos_lat: Column | float, least_m: float = 35.0, most_m: float = 850.0) -> DataFrame:
-    """(a, b, comp_a, comp_b, crow_m) of endpoints of different components, in (component, node) order."""
-    near = radius_pairs(endpoints, endpoints, most_m * 1.01, cos_lat)  # planar metres bound the candidates
+def endpoint_pairs(endpoints: DataFrame, cos_lat: Scale, least_m: float = 35.0, most_m: float = 850.0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, comp_a, comp_b, crow_m) of endpoints of different components of a group, in (component, node) order."""
+    near = radius_pairs(endpoints, endpoints, most_m * 1.01, cos_lat, by=by)  # planar metres bound the candidates
     crow = haversine_m(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat"))
     pairs = near.filter((F.col("l_comp") < F.col("r_comp"))).withColumn("crow_m", crow).filter(F.col("crow_m").between(least_m, most_m))
-    return pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.col("l_comp").alias("comp_a"), F.col("r_comp").alias("comp_b"), "crow_m")
+    return pairs.select(*(F.col(f"l_{c}").alias(c) for c in by), F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.col("l_comp").alias("comp_a"), F.col("r_comp").alias("comp_b"), "crow_m")
 
 
 def path_hops(paths: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -34,21 +36,24 @@ def path_hops(paths: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return hops.join(edges, ["u", "v"], "left")
 
 
-def gap_candidates(edges: DataFrame, nodes: DataFrame, components: DataFrame, cos_lat: Column | float, most_path_m: float = 1200.0, most_detour: float = 2.2, **limits) -> DataFrame:
-    """Scored candidates, one for each endpoint pair that has a short enough road path in list order."""
-    ends = component_endpoints(components, nodes)
-    pairs = endpoint_pairs(ends, cos_lat, **limits)
+def gap_candidates(edges: DataFrame, nodes: DataFrame, components: DataFrame, cos_lat: Scale, most_path_m: float = 1200.0, most_detour: float = 2.2, by: Sequence[str] = (), **limits) -> DataFrame:
+    """Scored candidates, one for each endpoint pair that has a short enough road path in list order.
+
+    by names columns of nodes and components: each group is a network of its own, with node ids that no other has.
+    """
+    ends = component_endpoints(components.drop(*(c for c in components.columns if c in by)), nodes.select("id", "lon", "lat", *dict.fromkeys([*by, *([cos_lat] if isinstance(cos_lat, str) else [])])))
+    pairs = endpoint_pairs(ends, cos_lat, by=by, **limits)
     roads = edges.select("u", "v", F.col("length_m").alias("w"))
     reached = bounded_paths(roads, pairs.select(F.col("a").alias("query"), F.col("a").alias("node")), most_path_m, pairs.select(F.col("a").alias("query"), F.col("b").alias("node")))
     found = pairs.join(reached.select(F.col("query").alias("a"), F.col("node").alias("b"), F.col("dist").alias("gap_m"), "path"), ["a", "b"]).filter(F.col("gap_m") <= F.col("crow_m") * most_detour)
     found = found.withColumn("key", F.struct("a", "b"))
     hops = path_hops(found, edges, "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "highway"))).alias("h"), F.avg(F.coalesce("penalty_factor", F.lit(1.0))).alias("avg_penalty"))
     stops = found.select("key", F.posexplode("path").alias("pos", "id")).join(nodes.select("id", "lon", "lat"), "id").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("c"))
-    comp = lambda x: components.select(F.col("id").alias(f"comp_{x}"), F.col("length_km").alias(f"{x}_km"))
-    full = found.join(hops, "key").join(stops, "key").join(comp("a"), "comp_a").join(comp("b"), "comp_b")
+    comp = lambda x: components.select(*by, F.col("id").alias(f"comp_{x}"), F.col("length_km").alias(f"{x}_km"))
+    full = found.join(hops, "key").join(stops, "key").join(comp("a"), [*by, "comp_a"]).join(comp("b"), [*by, "comp_b"])
     gain = gap_gain(F.col("a_km"), F.col("b_km"), F.col("gap_m"))
     return full.select(
-        F.col("comp_a").alias("comp_a_id"), F.col("comp_b").alias("comp_b_id"), F.col("a_km").alias("comp_a_km"), F.col("b_km").alias("comp_b_km"), F.col("a").alias("node_origin"), F.col("b").alias("node_dest"),
+        *by, F.col("comp_a").alias("comp_a_id"), F.col("comp_b").alias("comp_b_id"), F.col("a_km").alias("comp_a_km"), F.col("b_km").alias("comp_b_km"), F.col("a").alias("node_origin"), F.col("b").alias("node_dest"),
         F.round("gap_m", 1).alias("gap_length_m"), F.round("crow_m", 1).alias("crow_distance_m"), gain["connected_network_km"].alias("connected_network_km"), gain["network_gain_km"].alias("network_gain_km"), gain["gain_ratio"].alias("gain_ratio"),
         gap_priority(F.col("a_km"), F.col("b_km"), F.col("gap_m"), F.col("avg_penalty")).alias("priority_score"),
         without_repeats(F.transform("h", lambda x: x["name"])).alias("streets"), F.array_distinct(F.filter(F.transform("h", lambda x: x["highway"]), lambda x: x != "")).alias("highway_types"),
@@ -56,10 +61,10 @@ def gap_candidates(edges: DataFrame, nodes: DataFrame, components: DataFrame, co
     )
 
 
-def best_of_pairs(candidates: DataFrame) -> DataFrame:
-    """The best candidate of each pair of components: highest score, then smallest nodes."""
+def best_of_pairs(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The best candidate of each pair of components (of a group): highest score, then smallest nodes."""
     order = F.struct(-F.col("priority_score"), "node_origin", "node_dest")
-    best = candidates.groupBy("comp_a_id", "comp_b_id").agg(F.min_by(F.struct(*candidates.columns), order).alias("b"))
+    best = candidates.groupBy(*by, "comp_a_id", "comp_b_id").agg(F.min_by(F.struct(*candidates.columns), order).alias("b"))
     return best.select("b.*")
 
 
@@ -81,11 +86,11 @@ def overlap_conflicts(rows: DataFrame, share: float = 0.60) -> DataFrame:
     return both.select(F.greatest("s", "l").alias("later"), F.least("s", "l").alias("earlier")).distinct()
 
 
-def rank_gaps(candidates: DataFrame, most: int = 12) -> DataFrame:
-    """Ranked, non-overlapping candidates: best of each pair, by score, without those that overlap a better one."""
-    rows = ranked(best_of_pairs(candidates), [F.desc("priority_score"), F.asc("comp_a_id"), F.asc("comp_b_id")], "id")
+def rank_gaps(candidates: DataFrame, most: int = 12, by: Sequence[str] = ()) -> DataFrame:
+    """Ranked, non-overlapping candidates (of each group): best of each pair, by score, without those that overlap a better one."""
+    rows = ranked(best_of_pairs(candidates, by), [*by, F.desc("priority_score"), F.asc("comp_a_id"), F.asc("comp_b_id")], "id")
     kept = rows.join(first_fit(rows.select("id"), overlap_conflicts(rows)), "id", "left_semi")
-    return ranked(kept, [F.asc("id")], "rank").drop("id").filter(F.col("rank") <= most)
+    return ranked(kept, [F.asc("id")], "rank", by).drop("id").filter(F.col("rank") <= most)
 
 
 def gap_features(gaps: DataFrame, city: Column) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,20 +69,21 @@ def degrees(folded: DataFrame) -> DataFrame:
     return folded.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def components(folded: DataFrame, nodes: DataFrame, lone: DataFrame | None = None) -> DataFrame:
+def components(folded: DataFrame, nodes: DataFrame, lone: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Components ranked by node count: id, component, node_count, length_m, length_km, endpoints, bbox.
 
     Endpoints are the nodes of degree 1, or the smallest node of a loop; lone (node) adds isolated nodes. node_ids can
-    be had from component_nodes; rows here stay small.
+    be had from component_nodes; rows here stay small. by names columns of nodes: ids then count in each group, whose
+    nodes have edges among themselves only.
     """
     labels = component_nodes(folded, lone)
-    per_node = labels.join(degrees(folded), "node", "left").join(nodes.select(F.col("id").alias("node"), "lon", "lat"), "node", "left")
+    per_node = labels.join(degrees(folded), "node", "left").join(nodes.select(F.col("id").alias("node"), "lon", "lat", *by), "node", "left")
     box = F.struct(F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"))
     ends = F.array_sort(F.collect_list(F.when(F.col("degree") == 1, F.col("node"))))
-    stats = per_node.groupBy("component").agg(F.count("*").alias("node_count"), box.alias("bbox"), ends.alias("ends"), F.min("node").alias("least"))
+    stats = per_node.groupBy("component", *by).agg(F.count("*").alias("node_count"), box.alias("bbox"), ends.alias("ends"), F.min("node").alias("least"))
     length = folded.join(labels.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.sum("length_m").alias("length_m"))
-    out = stats.join(length, "component", "left").select("component", "node_count", F.round(F.coalesce("length_m", F.lit(0.0)), 1).alias("length_m"), F.round(F.coalesce("length_m", F.lit(0.0)) / 1000, 2).alias("length_km"), F.when(F.size("ends") > 0, F.col("ends")).otherwise(F.array("least")).alias("endpoints"), "bbox")
-    return ranked(out, [F.desc("node_count"), F.asc("component")], "id")
+    out = stats.join(length, "component", "left").select(*by, "component", "node_count", F.round(F.coalesce("length_m", F.lit(0.0)), 1).alias("length_m"), F.round(F.coalesce("length_m", F.lit(0.0)) / 1000, 2).alias("length_km"), F.when(F.size("ends") > 0, F.col("ends")).otherwise(F.array("least")).alias("endpoints"), "bbox")
+    return ranked(out, [F.desc("node_count"), F.asc("component")], "id", by)
 
 
 def component_nodes(folded: DataFrame, lone: DataFrame | None = None) -> DataFrame:
@@ -90,16 +94,22 @@ def component_nodes(folded: DataFrame, lone: DataFrame | None = None) -> DataFra
     return connected_components(pairs)
 
 
-def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """rows with their place 1, 2, ... in `order`: a distributed sort, then each partition's first place; order is total."""
-    placed = cut(rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+def ranked(rows: DataFrame, order: list, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """rows with their place 1, 2, ... in `order`, in each group of by: a distributed sort, then each partition's first place; order is total."""
+    placed = cut(rows.orderBy(*by, *order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
     counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}  # a row a partition
     before, first = 0, []
     for part in sorted(counts):
         first += [F.lit(part), F.lit(before).cast("long")]
         before += counts[part]
     start = F.create_map(*first)[F.col("_part")] if first else F.lit(0).cast("long")
-    return placed.withColumn(name, start + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_row")
+    out = placed.withColumn(name, start + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_row")
+    if not by:
+        return out
+    group = [F.col(c).alias(f"_{c}") for c in by]
+    firsts = out.groupBy(*group).agg((F.min(name) - 1).alias("_first"))
+    same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_{c}")), by, F.lit(True))
+    return out.join(firsts, same).withColumn(name, F.col(name) - F.col("_first")).drop("_first", *(f"_{c}" for c in by))
 
 
 def largest_component(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
