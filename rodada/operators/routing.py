@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-from itertools import islice, tee
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -17,13 +16,13 @@ from rodada.functions.text import route_key, without_repeats
 from rodada.operators.cells import CellSearch, id_cells
 from rodada.operators.gaps import path_hops
 from rodada.operators.iterative import SMALL, adjacency, broadcast_graph
-from rodada.operators.spatial import nearest
+from rodada.operators.spatial import Scale, nearest
 from rodada.operators.work import cut
 
 
-def snap(points: DataFrame, nodes: DataFrame, cos_lat: Column | float, most_m: float | Column = 500.0) -> DataFrame:
-    """points (id, lon, lat) with node_id, snap_m of the nearest node (haversine), and out_of_bounds."""
-    found = nearest(points, nodes, cos_lat, metric="haversine").withColumnsRenamed({"near_id": "node_id", "near_m": "snap_m"})
+def snap(points: DataFrame, nodes: DataFrame, cos_lat: Scale, most_m: float | Column = 500.0, by: Sequence[str] = ()) -> DataFrame:
+    """points (id, lon, lat) with node_id, snap_m of the nearest node (haversine; of their group), and out_of_bounds."""
+    found = nearest(points, nodes, cos_lat, metric="haversine", by=by).withColumnsRenamed({"near_id": "node_id", "near_m": "snap_m"})
     limit = most_m if isinstance(most_m, Column) else F.lit(most_m)
     return found.withColumn("out_of_bounds", F.col("snap_m").isNull() | (F.col("snap_m") > limit))
 
@@ -99,63 +98,82 @@ def path_metrics(routes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return all_.select(key, "path", F.round("m", 1).alias("distance_m"), F.round(F.col("m") / 1000, 2).alias("distance_km"), F.round(F.col("infra") / 1000, 2).alias("cycling_infra_km"), ratio(F.col("infra"), F.col("m"), 1, True).alias("cycling_infra_pct"), F.round("cost", 1).alias("cost_score"), streets.alias("streets"))
 
 
-def route_batch(requests: DataFrame, nodes: DataFrame, edges: DataFrame, cos_lat: Column | float, most_snap_m: float | Column = 500.0) -> DataFrame:
+def route_batch(requests: DataFrame, nodes: DataFrame, edges: DataFrame, cos_lat: Scale, most_snap_m: float | Column = 500.0, by: Sequence[str] = ()) -> DataFrame:
     """Answers of requests (id, o_lon, o_lat, d_lon, d_lat): both routes, their comparison, or an error.
 
-    most_snap_m may be a column of requests.
+    most_snap_m may be a column of requests. by names columns of requests and nodes (a city): requests then find nodes of
+    their own group, and the answers carry them.
     """
-    ends = requests.select(F.col("id").alias("req"), F.explode(F.array(F.struct(F.lit("o").alias("end"), F.col("o_lon").alias("lon"), F.col("o_lat").alias("lat")), F.struct(F.lit("d").alias("end"), F.col("d_lon").alias("lon"), F.col("d_lat").alias("lat")))).alias("e"))
-    points = ends.select(F.struct("req", "e.end").alias("id"), "e.lon", "e.lat")
-    snapped = cut(snap(points, nodes, cos_lat).select("id.req", "id.end", "node_id", "snap_m"))
+    group = list(dict.fromkeys([*by, *([cos_lat] if isinstance(cos_lat, str) else [])]))
+    ends = requests.select(F.col("id").alias("req"), F.explode(F.array(F.struct(F.lit("o").alias("end"), F.col("o_lon").alias("lon"), F.col("o_lat").alias("lat")), F.struct(F.lit("d").alias("end"), F.col("d_lon").alias("lon"), F.col("d_lat").alias("lat")))).alias("e"), *group)
+    points = ends.select(F.struct("req", "e.end").alias("id"), "e.lon", "e.lat", *group)
+    snapped = cut(snap(points, nodes, cos_lat, by=by).select("id.req", "id.end", "node_id", "snap_m"))
     side = lambda x, to: snapped.filter(F.col("end") == x).select(F.col("req").alias("id"), F.col("node_id").alias(to), F.col("snap_m").alias(f"{to}_snap_m"))
     limit = most_snap_m if isinstance(most_snap_m, Column) else F.lit(most_snap_m)
     asked = requests.withColumn("_limit", limit).join(side("o", "src"), "id").join(side("d", "dst"), "id")
     asked = asked.withColumns({f"{to}_out": F.col(f"{to}_snap_m").isNull() | (F.col(f"{to}_snap_m") > F.col("_limit")) for to in ("src", "dst")} | {f"{to}_snap_m": F.round(f"{to}_snap_m", 1) for to in ("src", "dst")})
     good = asked.filter("not src_out and not dst_out").select("src", "dst")
-    routes, both = cut(shortest_routes(good, edges, ("cost", "length_m"))), None
-    for name, weight in (("cycling", "cost"), ("shortest", "length_m")):
-        r = routes.filter(F.col("weight") == weight).select(F.struct("src", "dst").alias("od"), "path")
-        m = path_metrics(r, edges, "od").select("od", F.struct("path", "distance_m", "distance_km", "cycling_infra_km", "cycling_infra_pct", "cost_score", "streets").alias(name))
-        both = m if both is None else both.join(m, "od")
+    routes = cut(shortest_routes(good, edges, ("cost", "length_m")))
+    measured = path_metrics(routes.select(F.struct("src", "dst", "weight").alias("odw"), "path"), edges, "odw")
+    one = F.struct("path", "distance_m", "distance_km", "cycling_infra_km", "cycling_infra_pct", "cost_score", "streets")
+    of = lambda weight: F.max(F.when(F.col("odw.weight") == weight, one))  # noqa: E731  one row of each weight
+    both = measured.groupBy(F.struct("odw.src", "odw.dst").alias("od")).agg(of("cost").alias("cycling"), of("length_m").alias("shortest"))
     c, s = F.col("cycling"), F.col("shortest")
     compared = both.select("od.src", "od.dst", "cycling", "shortest", F.struct(
         F.round(c["distance_km"] - s["distance_km"], 2).alias("distance_diff_km"), ratio(c["distance_m"] - s["distance_m"], s["distance_m"], 1, True).alias("length_diff_pct"),
         F.round(c["cycling_infra_pct"] - s["cycling_infra_pct"], 1).alias("cycling_gain_pct"), (c["path"] == s["path"]).alias("is_same_path")).alias("comparison"))
     error = F.when(F.col("src_out") | F.col("dst_out"), F.lit("out_of_bounds")).when(F.col("cycling").isNull(), F.lit("no_route"))
-    return asked.join(compared, ["src", "dst"], "left").select("id", "src", "dst", "src_snap_m", "dst_snap_m", "cycling", "shortest", "comparison", error.alias("error"))
+    return asked.join(compared, ["src", "dst"], "left").select("id", *by, "src", "dst", "src_snap_m", "dst_snap_m", "cycling", "shortest", "comparison", error.alias("error"))
 
 
-def cache_outcome(requests: DataFrame, seq: str = "seq", capacity: int = 1000) -> DataFrame:
+def cache_outcome(requests: DataFrame, seq: str = "seq", capacity: int = 1000, by: Sequence[str] = ()) -> DataFrame:
     """requests (seq, coordinates, profile) with the cache key and `cached`: a balanced request whose key was stored.
 
-    Every request stores its key; only balanced ones read. Under the capacity nothing is evicted, and the first request
-    of a key tells. Otherwise each hit depends on all requests before it: one task replays them in order.
+    Each group of by (a city) has a cache of its own. Every request stores its key; only balanced ones read. In a group
+    with fewer keys than the capacity nothing is evicted, and the first request of a key tells. In a larger one each hit
+    depends on all requests before it: they stream through a task in order, which holds the stored keys alone.
     """
-    keyed = requests.withColumn("key", route_key(*(F.col(c) for c in ("o_lon", "o_lat", "d_lon", "d_lat"))))
-    if keyed.select("key").distinct().count() >= capacity:
-
-        def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ahead, frames = tee(frames)
-            hits = cache_replay(({"key": k, "profile": p} for f in ahead for k, p in zip(f["key"], f["profile"], strict=True)), capacity)
-            for f in frames:
-                yield f.assign(cached=list(islice(hits, len(f))))
-
-        in_order = keyed.repartition(1).sortWithinPartitions(seq)
-        return in_order.mapInPandas(replay, StructType([*in_order.schema, StructField("cached", BooleanType())]))
-    first = keyed.groupBy("key").agg(F.min(seq).alias("_first"))
-    return keyed.join(first, "key").withColumn("cached", (F.col("profile") == "balanced") & (F.col(seq) > F.col("_first"))).drop("_first")
+    keyed = requests.withColumn("key", route_key(*(F.col(c) for c in ("o_lon", "o_lat", "d_lon", "d_lat")))).withColumn("_group", F.to_json(F.struct(*by)) if by else F.lit(""))
+    keys = keyed.groupBy("_group", "key").agg(F.min(seq).alias("_first"))
+    full = keys.groupBy("_group").agg(F.count("*").alias("_n")).filter(F.col("_n") >= capacity).select("_group")
+    first = keyed.join(full, "_group", "left_anti").join(keys, ["_group", "key"]).withColumn("cached", (F.col("profile") == "balanced") & (F.col(seq) > F.col("_first"))).drop("_first")
+    evicting = keyed.join(full, "_group", "left_semi").repartition("_group").sortWithinPartitions("_group", seq)
+
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, cache = None, None
+        for f in frames:
+            hits = []
+            for at, key, profile in zip(f["_group"], f["key"], f["profile"], strict=True):
+                if at != group:
+                    group, cache = at, RouteCache(capacity)
+                hits.append(cache.meet(key, profile))
+            yield f.assign(cached=hits)
+
+    replayed = evicting.mapInPandas(replay, StructType([*evicting.schema, StructField("cached", BooleanType())]))
+    return first.unionByName(replayed).drop("_group")
+
+
+class RouteCache:
+    """Stored keys in the order of insertion; at capacity a store drops the oldest one first."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.stored = capacity, {}
+
+    def meet(self, key: str, profile: str) -> bool:
+        """Whether the request is answered from the cache; if it isn't, its key is stored."""
+        hit = profile == "balanced" and key in self.stored
+        if not hit:
+            if len(self.stored) >= self.capacity:
+                del self.stored[next(iter(self.stored))]
+            self.stored[key] = None
+        return hit
 
 
 def cache_replay(requests: Iterator[dict], capacity: int = 1000) -> Iterator[bool]:
-    """The cache with eviction, one request after the other: at capacity a store drops the oldest inserted key first."""
-    stored: dict[str, None] = {}
+    """The hits of requests in order."""
+    cache = RouteCache(capacity)
     for r in requests:
-        hit = r["profile"] == "balanced" and r["key"] in stored
-        if not hit:
-            if len(stored) >= capacity:
-                del stored[next(iter(stored))]
-            stored[r["key"]] = None
-        yield hit
+        yield cache.meet(r["key"], r["profile"])
 
 
 def first_of_key(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from rodada.functions.geo import cos_latitude
+from rodada.functions.text import route_key
 from rodada.operators.routing import cache_outcome, route_batch
+from rodada.operators.work import cut
 from rodada.plans import catalog
+from rodada.plans.stack import stacked_graphs, unstacked
+from rodada.sources.versions import current, merge
 
 VERSION = "0.1.0"
 #: The fields of a city in a list, and of a layer.
@@ -59,43 +62,56 @@ def city_graph(spark: SparkSession, tables: str, city_id: str) -> tuple[DataFram
     return None if nodes.isEmpty() else (nodes, edges)
 
 
-def answer_routes(spark: SparkSession, requests: DataFrame, details: DataFrame, tables: str) -> DataFrame:
+ANSWER = ("src", "dst", "src_snap_m", "dst_snap_m", "cycling", "shortest", "comparison")
+
+
+def answer_routes(spark: SparkSession, requests: DataFrame, details: DataFrame, tables: str, cache: str | None = None) -> DataFrame:
     """Answers of requests (id, city_id, origin, destination, max_snap_dist_m = 500, profile = 'balanced', seq).
 
-    error: invalid_coordinates (not two numbers), city_not_found, graph_not_found, out_of_bounds, no_route. cached tells
-    whether the city's route cache, whose capacity evicts the oldest key, would have had the answer. One graph is read
-    for each city that is asked about.
+    error: invalid_coordinates (not two numbers), city_not_found, graph_not_found, out_of_bounds, no_route. All cities
+    are answered by one plan. With a cache (a folder of save_route_cache), balanced requests whose key it holds get the
+    stored answer and aren't searched. cached tells whether the answer came from there, or would have from the city's
+    cache in memory, whose capacity evicts the oldest key.
     """
     two = lambda c: (F.size(c) == 2) & F.get(c, 0).isNotNull() & F.get(c, 1).isNotNull()
     most = F.coalesce("max_snap_dist_m", F.lit(500.0)) if "max_snap_dist_m" in requests.columns else F.lit(500.0)
     profile = F.coalesce("profile", F.lit("balanced")) if "profile" in requests.columns else F.lit("balanced")
-    asked = requests.select("id", "city_id", "seq", F.coalesce(two("origin") & two("destination"), F.lit(False)).alias("valid"), profile.alias("profile"), most.alias("most_m"), *(F.get(c, k).alias(f"{c[0]}_{x}") for c in ("origin", "destination") for k, x in enumerate(("lon", "lat"))))
-    known = asked.join(details.select(F.col("id").alias("city_id")).distinct().withColumn("known", F.lit(True)), "city_id", "left")
+    ends = [F.get(c, k).alias(f"{c[0]}_{x}") for c in ("origin", "destination") for k, x in enumerate(("lon", "lat"))]
+    asked = cut(requests.select("id", F.col("city_id").alias("city"), "seq", F.coalesce(two("origin") & two("destination"), F.lit(False)).alias("valid"), profile.alias("profile"), most.alias("most_m"), *ends))
+    known = asked.join(details.select(F.col("id").alias("city")).distinct().withColumn("known", F.lit(True)), "city", "left")
     wrong = F.when(~F.col("valid"), "invalid_coordinates").when(F.col("known").isNull(), "city_not_found")
-    out = known.filter(wrong.isNotNull()).select("id", "city_id", wrong.alias("error"))
-    good = known.filter("valid and known").drop("valid", "known")
-    answers = None
-    for city in sorted(r["city_id"] for r in good.select("city_id").distinct().collect()):  # a row for each city
-        mine, graph = good.filter(F.col("city_id") == city), city_graph(spark, tables, city)
-        if graph is None:
-            out = out.unionByName(mine.select("id", "city_id", F.lit("graph_not_found").alias("error")))
-            continue
-        cos = graph[0].agg(cos_latitude(F.min("lat"), F.max("lat")).alias("c")).first()["c"]
-        found = route_batch(mine, graph[0], graph[1], cos, F.col("most_m")).withColumn("city_id", F.lit(city))
-        stored = cache_outcome(mine.join(found.filter("error is null").select("id"), "id", "left_semi")).select("id", "key", "cached")
-        found = found.join(stored, "id", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
-        answers = found if answers is None else answers.unionByName(found)
-    return out if answers is None else answers.unionByName(out, allowMissingColumns=True)
+    refused = known.filter(wrong.isNotNull()).select("id", F.col("city").alias("city_id"), wrong.alias("error"))
+    good = known.filter("valid and known").drop("valid", "known").withColumn("key", route_key(*(F.col(c) for c in ("o_lon", "o_lat", "d_lon", "d_lat"))))
+    stored = None if cache is None else load_route_cache(spark, cache)
+    served = None
+    if stored is not None:
+        # an answer whose ends are farther from the network than this request allows is no answer to it
+        hits = good.filter("profile = 'balanced'").join(stored.select(F.col("city_id").alias("city"), "key", "answer"), ["city", "key"]).filter(F.greatest("answer.src_snap_m", "answer.dst_snap_m") <= F.col("most_m"))
+        served = cut(hits.select("id", F.col("city").alias("city_id"), *(F.col(f"answer.{c}").alias(c) for c in ANSWER), F.lit(None).cast("string").alias("error"), "key", F.lit(True).alias("cached")))
+        good = good.join(served.select("id"), "id", "left_anti")
+    graphs = stacked_graphs(spark, tables, good.select("city"))
+    if graphs is None:
+        lost, found = good, None
+    else:
+        numbers, nodes, edges = graphs
+        lost = good.join(numbers, "city", "left_anti")
+        here = good.join(numbers.select("city", "cos_lat"), "city")
+        found = unstacked(route_batch(here, nodes, cut(edges), "cos_lat", F.col("most_m"), by=("city",)), ("src", "dst"), ("cycling.path", "shortest.path"))
+        found = cut(found.select("id", F.col("city").alias("city_id"), *ANSWER, "error"))
+        hit = cache_outcome(here.join(found.filter("error is null").select("id"), "id", "left_semi").select("id", "city", "seq", "profile", "o_lon", "o_lat", "d_lon", "d_lat"), by=("city",)).select("id", "key", "cached")
+        found = found.join(hit, "id", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+    out = refused.unionByName(lost.select("id", F.col("city").alias("city_id"), F.lit("graph_not_found").alias("error")))
+    for answers in (served, found):
+        out = out if answers is None else answers.unionByName(out, allowMissingColumns=True)
+    return out
 
 
 def save_route_cache(answers: DataFrame, path: str) -> None:
-    """Persist answers under their keys: what was computed last stays. A table that replaces the old one as a whole."""
-    answers.filter("error is null").groupBy("key").agg(F.max_by(F.struct("cycling", "shortest", "comparison"), "id").alias("answer")).write.mode("overwrite").parquet(path)
+    """Keep answers under their city and key: of the same key what was computed last stays, all other keys stay too."""
+    good = answers.filter("error is null").select("city_id", "key", "id", F.struct(*ANSWER).alias("answer"))
+    merge(good, path, ("city_id", "key"), latest="id")
 
 
-def load_route_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The persisted answers; an absent or unreadable table is an empty cache."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:
-        return spark.createDataFrame([], "key string")
+def load_route_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """The kept answers (city_id, key, answer); None where none was ever saved."""
+    return current(spark, path)

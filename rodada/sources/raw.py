@@ -18,6 +18,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.exists(at)
 
 
+def read_document(spark: SparkSession, path: str) -> str:
+    """The text of one small document."""
+    return "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect())
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    where, at = _place(spark, path)
+    return [x.getPath().getName() for x in where.listStatus(at)]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, at = _place(spark, path)
+    where.delete(at, True)
+
+
 def first_answer(mirrors: Sequence[str], fetch: Callable[[str], str], attempts: int = 2, pause_s: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> str:
     """The first mirror's answer: each is tried `attempts` times, with a longer pause after each failure."""
     last: Exception | None = None

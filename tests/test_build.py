@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rodada.functions import display
-from rodada.plans import build, catalog, reports, service
-from rodada.sources import osm, raw
+from rodada.plans import build, catalog, reports, service, stack
+from rodada.sources import osm, raw, versions
 
 SIDE = 6
 
@@ -48,9 +48,48 @@ def test_build_report_and_serve(spark, tmp_path):
     got = {r["id"]: r for r in service.answer_routes(spark, requests, details, out).collect()}
     assert {i: r["error"] for i, r in got.items()} == {1: None, 2: None, 3: None, 4: "out_of_bounds", 5: "invalid_coordinates", 6: "city_not_found", 7: "graph_not_found", 8: "out_of_bounds"}
     assert [got[i]["cached"] for i in (1, 2, 3)] == [False, True, False] and got[1]["cycling"]["cycling_infra_pct"] == 100.0
-    answers = service.answer_routes(spark, requests, details, out)
-    service.save_route_cache(answers, f"{out}/cache")
-    assert service.load_route_cache(spark, f"{out}/cache").count() == 1 and service.load_route_cache(spark, f"{out}/none").count() == 0
+    cache = f"{out}/cache"
+    assert service.load_route_cache(spark, cache) is None
+    service.save_route_cache(service.answer_routes(spark, requests.filter("id = 1"), details, out, cache), cache)
+    again = {r["id"]: r for r in service.answer_routes(spark, requests, details, out, cache).collect()}
+    assert [again[i]["cached"] for i in (1, 2, 3)] == [True, True, False] and again[2]["cycling"] == got[2]["cycling"] and {i: r["error"] for i, r in again.items()} == {i: r["error"] for i, r in got.items()}
+    other = requests.filter("id = 1").withColumn("destination", F.array(F.lit(-71.2345), F.lit(-34.9755)))
+    service.save_route_cache(service.answer_routes(spark, other, details, out, cache), cache)
+    assert service.load_route_cache(spark, cache).count() == 2 and versions.vacuum(spark, cache) and service.load_route_cache(spark, cache).count() == 2
+
+
+def test_routes_of_many_cities_are_one_plan(spark, tmp_path):
+    from rodada.sources.sinks import write_graph
+
+    edge = "u long, v long, length_m double, cost double, penalty_factor double, way_id long, name string, highway string, category string, infra_label string, is_cycling_infra boolean"
+    for c, (shift, step) in {"a": (0.0, 0.001), "b": (0.0, 0.001), "c": (0.2, 0.002)}.items():  # a and b lie in one spot and share ids
+        nodes = spark.createDataFrame([(i, -71.24 + i * step, -34.98 + shift) for i in range(6)], "id long, lon double, lat double")
+        rows = [(i, i + 1, 90.0 + ord(c), 80.0, 1.0, i, f"{c}{i}", "residential", "local_street", "x", False) for i in range(5)]
+        write_graph(nodes, spark.createDataFrame(rows, edge), str(tmp_path), c)
+    asked = [(k, c, k, [-71.24, -34.98 + s], [-71.24 + 3 * t, -34.98 + s]) for k, (c, s, t) in enumerate((("a", 0.0, 0.001), ("b", 0.0, 0.001), ("c", 0.2, 0.002), ("a", 0.2, 0.002)))]
+    requests = spark.createDataFrame(asked, "id long, city_id string, seq long, origin array<double>, destination array<double>")
+    details = spark.createDataFrame([(c,) for c in "abc"], "id string")
+    got = {r["id"]: r for r in service.answer_routes(spark, requests, details, str(tmp_path)).collect()}
+    assert [got[k]["error"] for k in range(4)] == [None, None, None, "out_of_bounds"]
+    for k, c in enumerate("abc"):
+        alone = service.answer_routes(spark, requests.filter(F.col("id") == k), details, str(tmp_path)).first()
+        assert got[k].asDict(True) == alone.asDict(True) and got[k]["cycling"]["path"] == [0, 1, 2, 3] and got[k]["cycling"]["streets"] == [f"{c}{i}" for i in range(3)] and got[k]["cycling"]["distance_m"] == 3 * (90 + ord(c))
+    bad = spark.createDataFrame([("x", -1, 0.0, 0.0)], "city string, id long, lon double, lat double")
+    with pytest.raises(ValueError, match="ids of nodes"):
+        stack.city_numbers(bad)
+
+
+def test_versions_keep_what_a_merge_does_not_name(spark, tmp_path):
+    path, row = str(tmp_path / "t"), "city string, key string, v int, extra string"
+    assert versions.current(spark, path) is None and versions.vacuum(spark, path) == []
+    versions.merge(spark.createDataFrame([("a", "1", 1, "x"), ("a", "1", 3, "y"), (None, "2", 5, None)], row), path, ("city", "key"), latest="v")
+    before = versions.current(spark, path)
+    versions.merge(spark.createDataFrame([("b", "1", 7, None), (None, "2", 6, "z")], row), path, ("city", "key"), latest="v")
+    show = lambda df: sorted(map(str, ((r["city"], r["key"], r["v"]) for r in df.collect())))
+    assert show(before) == ["('a', '1', 3)", "(None, '2', 5)"] and show(versions.current(spark, path)) == ["('a', '1', 3)", "('b', '1', 7)", "(None, '2', 6)"]
+    with pytest.raises(Exception):  # noqa: B017  a merge that fails
+        versions.merge(spark.createDataFrame([("c", "1", 1, "")], row).withColumn("v", F.raise_error(F.lit("no")).cast("int")), path, ("city", "key"))
+    assert versions.current(spark, path).count() == 3 and len(versions.vacuum(spark, path)) >= 1 and versions.current(spark, path).count() == 3
 
 
 def test_expansion_totals_and_upsert(spark):
