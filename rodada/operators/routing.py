@@ -93,7 +93,7 @@ def path_metrics(routes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     sums = hops.groupBy(key).agg(
         F.sum(length).alias("m"), F.sum(F.when(F.col("is_cycling_infra"), length).otherwise(0.0)).alias("infra"), F.sum(F.coalesce("cost", length)).alias("cost"), F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("names")
     )
-    all_ = routes.select(key, "path").join(sums, key, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("m", "infra", "cost")})
+    all_ = routes.select(key, "path").join(sums, key, "left").withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 6) for c in ("m", "infra", "cost")})  # whatever the order of the sum
     streets = F.coalesce(without_repeats(F.transform("names", lambda x: x["name"])), F.expr("cast(array() as array<string>)"))
     return all_.select(key, "path", F.round("m", 1).alias("distance_m"), F.round(F.col("m") / 1000, 2).alias("distance_km"), F.round(F.col("infra") / 1000, 2).alias("cycling_infra_km"), ratio(F.col("infra"), F.col("m"), 1, True).alias("cycling_infra_pct"), F.round("cost", 1).alias("cost_score"), streets.alias("streets"))
 

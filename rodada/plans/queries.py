@@ -172,6 +172,28 @@ def connectivity_stats(spark, sf_dir):
     return _components(spark, sf_dir).agg(F.count("*").alias("components"), F.count_if(F.col("length_km") < 1.0).alias("isolated"), F.round(F.sum("length_km"), 2).alias("total_km"), main.alias("main_km"), scores.main_percent(main, F.sum("length_km")).alias("main_pct"))
 
 
+#: Three cities, each a third of the lattice's rows; edges between them don't count.
+_CITY = "g_city AS (SELECT id, 'c' || (CAST((id - id % 50) / 50 AS BIGINT) * 3 // (SELECT CAST(max((id - id % 50) / 50) AS BIGINT) + 1 FROM g_node)) AS city FROM g_node)"
+_CITY_COMP = _COMP.replace(" g_fold AS (", f" {_CITY}, g_all AS (", 1).replace(", g_both AS (", ", g_fold AS (SELECT f.* FROM g_all f JOIN g_city x ON x.id=f.a JOIN g_city y ON y.id=f.b WHERE x.city=y.city), g_both AS (", 1)
+
+
+def _city_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row, nodes = F.floor((F.col("id") - F.col("id") % 50) / 50), fixture(spark, sf_dir, "node")
+    return nodes.crossJoin(F.broadcast(nodes.agg((F.max(row) + 1).alias("rows")))).withColumn("city", F.concat(F.lit("c"), F.floor(row * 3 / F.col("rows")).cast("string"))).drop("rows")  # one row
+
+
+def _city_edges(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    side = lambda c: nodes.select(F.col("id").alias(c), F.col("city").alias(f"{c}_city"))
+    return road_edges(spark, sf_dir).join(side("u"), "u").join(side("v"), "v").filter("u_city = v_city").drop("u_city", "v_city")
+
+
+@query(f"WITH RECURSIVE {_CITY_COMP} SELECT city, row_number() OVER (PARTITION BY city ORDER BY node_count DESC, component) AS id, component, node_count, length_m FROM g_comp JOIN g_city ON g_city.id = component")
+def city_components(spark, sf_dir):
+    """Components of three cities by one plan, ranked in each."""
+    nodes = _city_nodes(spark, sf_dir)
+    return graph.components(cut(graph.cycling_edges(_city_edges(spark, sf_dir, nodes))), nodes, by=("city",)).select("city", "id", "component", "node_count", "length_m")
+
+
 # --- spatial joins -------------------------------------------------------------------------------------------------
 
 
@@ -310,7 +332,20 @@ def route_totals(spark, sf_dir):
     return routing.shortest_routes(pairs, cut(road_edges(spark, sf_dir)), ("cost", "length_m")).select("src", "dst", "weight", F.round("total", 2).alias("total"))
 
 
-@query()
+_PAIRS = """pair AS (SELECT DISTINCT o.s.id AS src, d.s.id AS dst FROM g_request r JOIN g_snap o ON o.lon=r.o_lon AND o.lat=r.o_lat JOIN g_snap d ON d.lon=r.d_lon AND d.lat=r.d_lat WHERE o.s.d <= 500 AND d.s.d <= 500),
+ w AS MATERIALIZED (SELECT u, v, 'cost' AS weight, cost AS w FROM g_edge UNION ALL SELECT u, v, 'length_m', length_m FROM g_edge),
+ sp(weight, query, node, dist) USING KEY (weight, query, node) AS (SELECT DISTINCT weight, src, src, 0.0::DOUBLE FROM pair, (SELECT DISTINCT weight FROM w) k UNION SELECT x.weight, x.query, x.node, x.dist FROM
+ (SELECT s.weight, s.query, w.v AS node, min(s.dist+w.w) AS dist FROM sp s JOIN w ON w.u=s.node AND w.weight=s.weight GROUP BY s.weight, s.query, w.v) x LEFT JOIN recurring.sp o ON o.weight=x.weight AND o.query=x.query AND o.node=x.node WHERE o.query IS NULL OR x.dist < o.dist)"""
+#: Each route back from its end, over the smallest node that a shortest way comes from, and what is summed along it.
+_ROUTE = f"""{_PAIRS}, prev AS MATERIALIZED (SELECT a.weight, a.query, w.v AS node, min(w.u) AS prev FROM sp a JOIN w ON w.u=a.node AND w.weight=a.weight JOIN sp b ON b.weight=a.weight AND b.query=a.query AND b.node=w.v AND b.dist=a.dist+w.w WHERE w.v <> a.query GROUP BY ALL),
+ back(weight, src, dst, node, prev) AS (SELECT p.weight, src, dst, p.node, p.prev FROM pair JOIN prev p ON p.query=src AND p.node=dst UNION ALL SELECT b.weight, b.src, b.dst, p.node, p.prev FROM back b JOIN prev p ON p.weight=b.weight AND p.query=b.src AND p.node=b.prev),
+ total AS (SELECT b.weight, b.src, b.dst, round(sum(e.length_m),6) AS m, round(sum(e.cost),6) AS cost FROM back b JOIN g_edge e ON e.u=b.prev AND e.v=b.node GROUP BY ALL UNION ALL SELECT weight, src, dst, 0.0, 0.0 FROM pair, (SELECT DISTINCT weight FROM w) k WHERE src=dst),
+ route AS (SELECT c.src, c.dst, {_rounded("c.m", 1)} AS cycling_m, {_rounded("s.m", 1)} AS shortest_m, {_rounded("c.cost", 1)} AS cost_score FROM total c JOIN total s USING (src, dst) WHERE c.weight='cost' AND s.weight='length_m')"""
+
+
+@query(f"""WITH RECURSIVE {_EDGE}, {ctes("request")}, {_SNAP}, {_ROUTE}
+ SELECT r.seq AS id, o.s.id AS src, d.s.id AS dst, cycling_m, shortest_m, cost_score, CASE WHEN shortest_m > 0 THEN {_rounded("(cycling_m - shortest_m) / shortest_m * 100.0e0", 1)} WHEN shortest_m IS NOT NULL THEN 0.0 END AS length_diff_pct,
+ CASE WHEN o.s.d > 500 OR d.s.d > 500 THEN 'out_of_bounds' WHEN cycling_m IS NULL THEN 'no_route' END AS error FROM g_request r JOIN g_snap o ON o.lon=r.o_lon AND o.lat=r.o_lat JOIN g_snap d ON d.lon=r.d_lon AND d.lat=r.d_lat LEFT JOIN route x ON x.src=o.s.id AND x.dst=d.s.id""")
 def route_compare(spark, sf_dir):
     r = fixture(spark, sf_dir, "request").withColumnRenamed("seq", "id")
     out = routing.route_batch(r, fixture(spark, sf_dir, "node"), cut(road_edges(spark, sf_dir)), COS_LAT)
@@ -510,6 +545,12 @@ def layer_semi_join(spark, sf_dir):
     return n.join(s.filter("s_acctbal > 5000"), n["n_nationkey"] == s["s_nationkey"], "left_semi").groupBy(F.col("n_regionkey").alias("city")).agg(F.count("*").alias("layers"))
 
 
-@query(f"WITH {ctes('request')} SELECT seq, profile, profile='balanced' AND seq > min(seq) OVER (PARTITION BY o_lon, o_lat, d_lon, d_lat) AS cached FROM g_request")
+#: The requests in order, with the keys that the cache holds before each: at 1000 keys a store drops the oldest one first.
+_CACHE = """k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS n, seq, profile, dense_rank() OVER (ORDER BY o_lon, o_lat, d_lon, d_lat) AS key FROM g_request),
+ walk(n, held) AS (SELECT CAST(1 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT w.n + 1, CASE WHEN k.profile = 'balanced' AND list_contains(held, k.key) THEN held WHEN list_contains(CASE WHEN len(held) >= 1000 THEN held[2:] ELSE held END, k.key) THEN CASE WHEN len(held) >= 1000 THEN held[2:] ELSE held END
+ ELSE list_append(CASE WHEN len(held) >= 1000 THEN held[2:] ELSE held END, k.key) END FROM walk w JOIN k ON k.n = w.n)"""
+
+
+@query(f"WITH RECURSIVE {ctes('request')}, {_CACHE} SELECT seq, profile, profile = 'balanced' AND list_contains(held, key) AS cached FROM k JOIN walk USING (n)")
 def cache_hits(spark, sf_dir):
     return routing.cache_outcome(fixture(spark, sf_dir, "request")).select("seq", "profile", "cached")
