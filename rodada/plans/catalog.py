@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,15 @@ def city(registry: DataFrame, details: DataFrame, city_id: str) -> DataFrame:
     return cities(registry, details).filter(F.col("id") == city_id)
 
 
+def with_files(layers: DataFrame, files: DataFrame, on: list[str]) -> DataFrame:
+    """Those layers that have a file."""
+    return layers.join(files.select(*on), on, "left_semi")
+
+
 def available_layers(spark: SparkSession, files: DataFrame, city_id: str) -> DataFrame:
     """Definitions of the layers whose file (city, layer, feature_count) is there, with the number of features."""
-    return layer_definitions(spark).join(files.filter(F.col("city") == city_id).select(F.col("layer").alias("id"), "feature_count"), "id")
+    mine = files.filter(F.col("city") == city_id).select(F.col("layer").alias("id"), "feature_count")
+    return with_files(layer_definitions(spark), mine, ["id"]).join(mine, "id")
 
 
 def layer(files: DataFrame, city_id: str, layer_id: str) -> DataFrame:
@@ -54,8 +62,8 @@ def od_pairs(registry: DataFrame, most: int = 5) -> DataFrame:
 
 
 def first_available(*sources: DataFrame) -> DataFrame:
-    """The first of the sources that has a row; the last one if none has."""
-    for s in sources[:-1]:
-        if not s.isEmpty():
-            return s
-    return sources[-1]
+    """The first of the sources that has a row, all by one plan; the last one if none has."""
+    there = [s.limit(1).agg((F.count("*") > 0).alias("_any")).select(F.lit(k).alias("_source"), "_any") for k, s in enumerate(sources)]
+    first = reduce(DataFrame.unionByName, there).filter(F.col("_any")).agg(F.min("_source").alias("_first"))  # one row
+    tagged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.withColumn("_source", F.lit(k)) for k, s in enumerate(sources)])
+    return tagged.join(F.broadcast(first), F.col("_source") == F.col("_first")).drop("_source", "_first")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rodada.functions import geo, scores, tags, text
-from rodada.operators import cluster, gaps, graph, pois, routing, spatial
+from rodada.operators import cluster, gaps, graph, groups, pois, routing, spatial
 from rodada.operators.iterative import bounded_paths, first_fit
 from rodada.operators.work import cut
+from rodada.plans import catalog
 from rodada.plans.fixtures import COS_LAT, ctes, fixture, way_tags
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -503,25 +504,23 @@ def running_totals(phases: DataFrame) -> DataFrame:
 
 @query(f"WITH {_EDGE} SELECT category, CAST(trunc(list_extract(list_sort(list(length_m)), CAST(floor(count(*)/2) AS INT)+1)) AS INT) AS median_m FROM g_edge GROUP BY category")
 def upper_median(spark, sf_dir):
-    return road_edges(spark, sf_dir).groupBy("category").agg(scores.upper_median(F.collect_list("length_m")).alias("median_m"))
+    return groups.upper_medians(road_edges(spark, sf_dir), ["category"], "length_m", "median_m")
 
 
 @query(f"WITH {ctes('position')} SELECT way_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM (SELECT way_id, pos, row_number() OVER (PARTITION BY way_id ORDER BY pos) - 1 AS k FROM g_position) x WHERE k % 3 = 0 GROUP BY way_id")
 def stride_sample(spark, sf_dir):
-    k = F.row_number().over(Window.partitionBy("way_id").orderBy("pos")) - 1
-    return fixture(spark, sf_dir, "position").withColumn("k", k).filter("k % 3 = 0").groupBy("way_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+    return groups.every_nth(fixture(spark, sf_dir, "position"), ["way_id"], ["pos"], 3).groupBy("way_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
 
 
 @query("SELECT user_id AS target, event_id AS origin, value AS dist FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS n FROM events) x WHERE n <= 2")
 def topk_per_group(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("target"), F.col("event_id").alias("origin"), F.col("value").alias("dist"))
-    return e.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy("dist", "origin"))).filter("n <= 2").drop("n")
+    return groups.best_per_group(e, ["target"], ["dist", "origin"], 2)
 
 
 @query(f"WITH {ctes('way')} SELECT g, name, c AS n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY c DESC, name) AS k FROM (SELECT way_id % 100 AS g, name, count(*) AS c FROM g_way WHERE name IS NOT NULL GROUP BY 1, 2) x) y WHERE k=1")
 def mode_street(spark, sf_dir):
-    c = fixture(spark, sf_dir, "way").filter("name is not null").groupBy((F.col("way_id") % 100).alias("g"), "name").agg(F.count("*").alias("n"))
-    return c.groupBy("g").agg(F.min_by(F.struct("name", "n"), F.struct(-F.col("n"), F.col("name"))).alias("m")).select("g", "m.name", "m.n")
+    return groups.most_frequent(fixture(spark, sf_dir, "way").select((F.col("way_id") % 100).alias("g"), "name"), ["g"], "name", "n")
 
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY 1, 2")
@@ -533,16 +532,19 @@ def json_props(spark, sf_dir):
 # --- catalogue, cache ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT r_regionkey AS id, r_name AS name, coalesce(n_name, concat('Ciudad ', r_name)) AS description, n_nationkey AS stats FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 3) x ON n_nationkey = r_regionkey")
+@query("SELECT r_regionkey AS id, r_name AS name, coalesce(nullif(n_name, ''), 'Ciudad ' || r_name) AS description, n_nationkey AS stats, n_regionkey AS connectivity FROM region LEFT JOIN nation ON n_nationkey = r_regionkey")
 def catalog_left_join(spark, sf_dir):
+    """Registry rows (regions) with what the cities' documents (nations) add."""
     r, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation"))
-    return r.join(n.filter("n_nationkey < 3"), r["r_regionkey"] == n["n_nationkey"], "left").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.coalesce("n_name", F.concat(F.lit("Ciudad "), "r_name")).alias("description"), F.col("n_nationkey").alias("stats"))
+    registry = r.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.concat(F.lit("Ciudad "), "r_name").alias("description"))
+    return catalog.cities(registry, n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("description"), F.col("n_nationkey").alias("stats"), F.col("n_regionkey").alias("connectivity")))
 
 
 @query("SELECT n_regionkey AS city, count(*) AS layers FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000) GROUP BY n_regionkey")
 def layer_semi_join(spark, sf_dir):
     n, s = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "supplier"))
-    return n.join(s.filter("s_acctbal > 5000"), n["n_nationkey"] == s["s_nationkey"], "left_semi").groupBy(F.col("n_regionkey").alias("city")).agg(F.count("*").alias("layers"))
+    layers = n.select(F.col("n_regionkey").alias("city"), F.col("n_nationkey").alias("layer"))
+    return catalog.with_files(layers, s.filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("layer")), ["layer"]).groupBy("city").agg(F.count("*").alias("layers"))
 
 
 #: The requests in order, with the keys that the cache holds before each: at 1000 keys a store drops the oldest one first.

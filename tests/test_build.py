@@ -5,7 +5,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rodada.functions import display
 from rodada.plans import build, catalog, reports, service, stack
 from rodada.sources import osm, raw, versions
 
@@ -139,14 +138,3 @@ def test_raw_documents(spark, tmp_path):
         (tmp_path / "cities" / name / "city.json").write_text(text)
     assert [r["id"] for r in osm.read_city_documents(spark, f"{tmp_path}/cities/*/city.json").collect()] == ["a", "b"]
     assert raw.publish(spark, f"{tmp_path}/cities", f"{tmp_path}/out", ["a", "no"]) == ["a"] and (tmp_path / "out" / "a" / "city.json").exists()
-
-
-def test_what_a_client_shows(spark):
-    presets = "array(named_struct('name', 'P', 'coord', array(1.0D, 2.0D)))"
-    row = spark.range(1).select(
-        display.preset_label(F.lit(1.0003), F.lit(2.0), F.expr(presets)).alias("near"), display.preset_label(F.lit(1.1), F.lit(2.0), F.expr(presets)).alias("far"), display.phase_label(F.lit("expansion-talca-02")).alias("phase"),
-        display.first_value(F.lit(""), F.lit(None).cast("string"), F.lit("z")).alias("first"), display.nonzero(F.lit(0), F.lit(5)).alias("n"), display.extent(F.expr("array(array(1.0D, 5.0D), array(-1.0D, 6.0D), array(0.0D, 2.0D))")).alias("e"),
-        F.size(display.shown_presets(F.expr("sequence(1, 9)"))).alias("shown"), display.is_line(F.lit("LineString"), F.lit(None)).alias("line"), display.badge(F.lit("ALGORITHMIC_CANDIDATE"), F.lit(False)).alias("badge"),
-    ).first()
-    assert (row["near"], row["far"], row["phase"], row["first"], row["n"], row["shown"], row["line"], row["badge"]) == ("P", "2.0000, 1.1000", "Fase 2", "z", 5, 4, False, "gap")
-    assert tuple(row["e"]) == (-1.0, 2.0, 1.0, 6.0, [-1.0, 6.0])
