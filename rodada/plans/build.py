@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from rodada.functions.geo import cos_latitude
 from rodada.functions.tags import ACCESS_HIGHWAYS, classify_cycleway, cycleway_display
 from rodada.operators import gaps, graph
-from rodada.operators.expansion import coverage, plan_expansion, points
+from rodada.operators.expansion import cluster_report, coverage, plan_cities, plan_expansion, points
 from rodada.operators.graph import access_nodes, cycling_nodes
 from rodada.operators.pois import deduplicate_pois, parse_pois
 from rodada.operators.work import cut
 from rodada.plans.catalog import enabled_cities, od_pairs
 from rodada.plans.reports import city_document, expansion_totals, suggested_routes, with_expansion
 from rodada.plans.service import city_graph
+from rodada.plans.stack import stacked, stacked_graphs, unstacked
 from rodada.sources.osm import cycleway_scan, place_scan, read_elements, read_registry, road_scan, split_elements
 from rodada.sources.raw import exists, publish
-from rodada.sources.sinks import write_features, write_graph
+from rodada.sources.sinks import write_collection, write_features, write_graph
 
 
 def cycleway_layer(elements, city: str):
@@ -35,27 +36,57 @@ def cycleway_layer(elements, city: str):
 
 
 #: What is published of a city.
-PUBLISHED = ("city", "cycling-infrastructure", "missing-connections", "suggested-routes", "network-expansion")
+PUBLISHED = ("city", "cycling-infrastructure", "missing-connections", "suggested-routes", "network-expansion", "network-expansion.geojson")
 
 
 def plan_city(spark: SparkSession, city: str, nodes: DataFrame, edges: DataFrame, places: DataFrame, out: str, cos_lat: float, max_phases: int = 6) -> DataFrame | None:
-    """Write the expansion layer of a built city and put its totals into the city's document; returns the totals."""
+    """Write the expansion layer of a built city and put its totals into the city's document; returns the totals.
+
+    The layer is a GeoJSON document whose metadata are the totals, the counts by type and context, and the clusters that
+    were under-served before the first phase.
+    """
     plan = plan_expansion(city, nodes, edges, places, cos_lat, max_phases)
     if plan is None:
         return None
     plan = cut(plan)
-    at = nodes.select("id", "lon", "lat")
-    stops = plan.select("phase_id", F.posexplode("path").alias("pos", "id")).join(at, "id").groupBy("phase_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("c"))
-    rows = plan.join(stops, "phase_id").withColumn("coordinates", F.transform("c", lambda x: F.array(x["lon"], x["lat"]))).drop("c", "seq")
-    write_features(rows.withColumnRenamed("phase_id", "id"), f"{out}/{city}/network-expansion")
+    here = {"city": F.lit(city), "cos_lat": F.lit(cos_lat)}
     base = coverage(points(access_nodes(edges, ACCESS_HIGHWAYS), nodes), points(cycling_nodes(edges), nodes), cos_lat)
     totals = cut(expansion_totals(plan, base))
+    clusters = cluster_report(nodes.withColumns(here), edges, places.withColumns(here)).drop("city")
+    report = clusters.agg(F.array_sort(F.collect_list(F.struct(*clusters.columns))).alias("clusters"))  # ten clusters at most
+    rows = phase_lines(plan, nodes.select("id", "lon", "lat"))
+    write_features(rows, f"{out}/{city}/network-expansion")
+    write_collection(rows, f"{out}/{city}/network-expansion.geojson", "network-expansion", totals.crossJoin(report), "phase")  # one row each
     if exists(spark, f"{out}/{city}/city"):
         document = spark.read.json(f"{out}/{city}/city")
         write_city(with_expansion(document, totals, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")), out, city)
     return totals
 
 
+def phase_lines(plan: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The phases with id and coordinates of their paths."""
+    stops = plan.select("phase_id", F.posexplode("path").alias("pos", "id")).join(nodes, "id").groupBy("phase_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("c"))
+    return plan.join(stops, "phase_id").withColumn("coordinates", F.transform("c", lambda x: F.array(x["lon"], x["lat"]))).drop("c", "seq").withColumnRenamed("phase_id", "id")
+
+
+def plan_all(spark: SparkSession, cities: DataFrame, places: DataFrame, out: str, max_phases: int = 6, min_samples: int = 20) -> DataFrame | None:
+    """Plan all of cities (city) that have a graph under out by one plan; places (city, id, name, category, lon, lat).
+
+    Writes the phases of every city, with lines, to the table expansions, partitioned by city; returns (city, phases,
+    length_km, new_nodes, new_pois), or None if no city has a graph.
+    """
+    graphs = stacked_graphs(spark, out, cities)
+    if graphs is None:
+        return None
+    numbers, nodes, edges = graphs
+    nodes, known = cut(nodes), stacked(numbers, places, "id")
+    kept = deduplicate_pois(known, "cos_lat", by=("city",))
+    plan = cut(plan_cities(nodes, edges, kept, max_phases, min_samples))
+    lines = phase_lines(plan, nodes.select("id", "lon", "lat")).withColumnRenamed("city", "city_id")
+    unstacked(lines, ("target", "origin"), ("path",)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city_id").parquet(f"{out}/expansions")
+    return plan.groupBy("city").agg(F.count("*").alias("phases"), F.round(F.sum("length_km"), 2).alias("length_km"), F.sum("new_nodes").alias("new_nodes"), F.sum("new_pois").alias("new_pois"))
+
+
 def write_city(document: DataFrame, out: str, city: str) -> None:
     """The city's document: one row of JSON."""
     cut(document).coalesce(1).write.mode("overwrite").json(f"{out}/{city}/city")
@@ -98,7 +129,7 @@ def build_city(spark: SparkSession, city: str, elements_path: str, out: str, cos
     return {"cycleways": layer.count(), "nodes": used.count(), "edges": edges.count(), "routes": routes, "components": comps.count(), "gaps": ranked.count(), "places": places.count(), "phases": phases}
 
 
-def main() -> None:
+def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Build cities' tables and layers from element documents (<elements>/<city>.json).")
     p.add_argument("registry")
     p.add_argument("elements")
@@ -110,10 +141,18 @@ def main() -> None:
     p.add_argument("--plan-only", action="store_true", help="plan the expansion of a city whose graph is there")
     p.add_argument("--max-phases", type=int, default=6)
     p.add_argument("--publish")
-    a = p.parse_args()
+    a = p.parse_args(args)
     spark = SparkSession.builder.appName("rodada-build").getOrCreate()
     registry = read_registry(spark, a.registry)
     names = [a.city] if a.city else [r["id"] for r in enabled_cities(registry).select("id").orderBy("id").collect()]  # a row a city
+    if a.plan_only and a.all_enabled:  # one plan for all
+        elements = read_elements(spark, [f"{a.elements}/{city}.json" for city in names])
+        city = F.regexp_extract("file", r"([^/]+)\\.json$", 1)
+        done = plan_all(spark, spark.createDataFrame([(n,) for n in names], "city string"), parse_pois(place_scan(elements).withColumn("city", city), ("city",)), a.out, a.max_phases)
+        if done is None:
+            raise SystemExit(f"no city has a graph under {a.out}")
+        done.orderBy("city").show(len(names), False)
+        return
     for city in names:
         if a.plan_only:
             built = city_graph(spark, a.out, city)

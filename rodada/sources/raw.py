@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,20 @@ def write_document(spark: SparkSession, text: str, path: str) -> None:
         raise OSError(f"can't put {path} in place")
 
 
+def place_text(document: DataFrame, path: str) -> None:
+    """A frame of one row of text as one file at path: written beside it by a task and renamed, so a failure leaves the old file."""
+    spark, beside = document.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
+    try:
+        document.coalesce(1).write.text(beside)
+        where, at = _place(spark, path)
+        part = next(n for n in folders(spark, beside) if n.startswith("part-"))
+        where.delete(at, False)
+        if not where.rename(_place(spark, f"{beside}/{part}")[1], at):
+            raise OSError(f"can't put {path} in place")
+    finally:
+        delete(spark, beside)
+
+
 def read_through(spark: SparkSession, path: str, mirrors: Sequence[str], fetch: Callable[[str], str], read: Callable[[SparkSession, str], DataFrame], refresh: bool = False, **retry) -> DataFrame:
     """read(path), fetched and written there first if it isn't there or refresh asks for it."""
     if refresh or not exists(spark, path):

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rodada.sources.raw import place_text
 
-def line_features(rows: DataFrame, coords: str = "coordinates", id_col: str = "id") -> DataFrame:
-    """One JSON text per row: a LineString feature whose properties are the other columns."""
+
+def line_features(rows: DataFrame, coords: str = "coordinates", id_col: str = "id", order: str | None = None) -> DataFrame:
+    """One JSON text per row: a LineString feature whose properties are the other columns; with the column to order by, if given."""
     properties = F.struct(*(c for c in rows.columns if c != coords))
     feature = F.struct(F.lit("Feature").alias("type"), F.col(id_col).cast("string").alias("id"), properties.alias("properties"), F.struct(F.lit("LineString").alias("type"), F.col(coords).alias("coordinates")).alias("geometry"))
-    return rows.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
+    return rows.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"), *([F.col(order).alias("_order")] if order else []))
 
 
 def write_features(rows: DataFrame, path: str, **kwargs) -> None:
@@ -18,11 +20,23 @@ def write_features(rows: DataFrame, path: str, **kwargs) -> None:
     line_features(rows, **kwargs).write.mode("overwrite").text(path)
 
 
-def collection(features: DataFrame, name: str, metadata: Column, order: str | None = None) -> DataFrame:
-    """One row with a whole FeatureCollection, for layers of bounded size (a city's gaps or phases)."""
+def collection(features: DataFrame, name: str, metadata: Column | DataFrame, order: str | None = None) -> DataFrame:
+    """One row with a whole FeatureCollection, for layers of bounded size (a city's gaps or phases).
+
+    metadata is a constant, or a frame of one row whose columns become its fields.
+    """
     items = F.array_sort(F.collect_list(F.struct(F.col(order) if order else F.lit(0), F.col("feature"))))
-    head = F.concat(F.lit('{"type":"FeatureCollection","name":'), F.to_json(F.array(F.lit(name))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(name)))) - 2), F.lit(',"metadata":'), F.to_json(metadata), F.lit(',"features":['))
-    return features.agg(items.alias("f")).select(F.concat(head, F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}")).alias("document"))
+    title, made = F.to_json(F.array(F.lit(name))), features.agg(items.alias("f"))
+    if isinstance(metadata, DataFrame):
+        made, metadata = made.crossJoin(metadata.select(F.struct(*metadata.columns).alias("m"))), F.col("m")  # one row each
+    crs = '"crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}}'
+    head = F.concat(F.lit('{"type":"FeatureCollection","name":'), title.substr(F.lit(2), F.length(title) - 2), F.lit(f',{crs},"metadata":'), F.to_json(metadata), F.lit(',"features":['))
+    return made.select(F.concat(head, F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}")).alias("document"))
+
+
+def write_collection(rows: DataFrame, path: str, name: str, metadata: Column | DataFrame, order: str) -> None:
+    """The rows' features, in the order of a column, as one GeoJSON document at path; the old one stays until it is whole."""
+    place_text(collection(line_features(rows, order=order), name, metadata, "_order"), path)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, city: str) -> None:

@@ -138,3 +138,35 @@ def test_raw_documents(spark, tmp_path):
         (tmp_path / "cities" / name / "city.json").write_text(text)
     assert [r["id"] for r in osm.read_city_documents(spark, f"{tmp_path}/cities/*/city.json").collect()] == ["a", "b"]
     assert raw.publish(spark, f"{tmp_path}/cities", f"{tmp_path}/out", ["a", "no"]) == ["a"] and (tmp_path / "out" / "a" / "city.json").exists()
+
+
+def test_all_cities_are_planned_by_one_command(spark, tmp_path, capsys):
+    from test_expansion import COS, EDGE, _cities, _city
+
+    from rodada.operators.expansion import cluster_report
+    from rodada.sources.sinks import write_graph
+
+    parts = {"a": _city("a", 0, 12, 0, 1), "b": _city("b", 0, 10, 0, 2)}
+    out = str(tmp_path / "out")
+    for c, (nodes, edges, places) in parts.items():
+        write_graph(spark.createDataFrame([n[2:] for n in nodes], "id long, lon double, lat double"), spark.createDataFrame(edges, EDGE), out, c)
+        elements = [{"type": "node", "id": p[2], "lat": p[5], "lon": p[4], "tags": {"amenity": "school", "name": f"{p[3]} {p[2]}"}} for p in places]
+        (tmp_path / f"{c}.json").write_text(json.dumps({"elements": elements}))
+    (tmp_path / "r.json").write_text(json.dumps({"version": "1", "cities": [{"id": c, "enabled": c != "z"} for c in "abz"]}))
+    build.main([str(tmp_path / "r.json"), str(tmp_path), out, "--all-enabled", "--plan-only", "--max-phases", "1"])
+    rows = spark.read.parquet(f"{out}/expansions").collect()
+    assert sorted(r["city_id"] for r in rows) == ["a", "b"] and all(max(r["path"]) < 144 and len(r["coordinates"]) == len(r["path"]) for r in rows) and "length_km" in capsys.readouterr().out
+    nodes, edges, places = _cities(spark, _city("a", 0, 12, 0, 1), _city("b", 1000, 12, 0, 2))
+    clusters = cluster_report(nodes, edges, places, min_samples=6).collect()
+    assert sorted((r["city"], r["id"]) for r in clusters) == [("a", "cluster-a-01"), ("b", "cluster-b-01")] and all(r["node_count"] > 20 and r["min_lat" if "min_lat" in r else "bbox"] and r["mean_distance_to_cycle_network"] > 400 for r in clusters)
+    n, e, p = _cities(spark, _city("a", 0, 12, 0, 1))
+    from rodada.operators import expansion
+
+    totals = build.plan_city(spark, "a", n.drop("city", "cos_lat"), e, p.drop("city", "cos_lat"), out, COS["a"], 1)
+    layer = json.loads((tmp_path / "out" / "a" / "network-expansion.geojson").read_text())
+    assert totals.first()["total_phases"] == 1 == layer["metadata"]["total_phases"] and layer["features"][0]["id"] == "expansion-a-01" and layer["metadata"]["expansion_types_summary"] and layer["crs"]
+    assert isinstance(layer["metadata"]["clusters"], list) and expansion.COVER_M == 400.0
+    before = (tmp_path / "out" / "a" / "network-expansion.geojson").read_text()
+    with pytest.raises(Exception):  # noqa: B017  a task that fails leaves the old document
+        raw.place_text(spark.range(1).select(F.raise_error(F.lit("no")).cast("string").alias("value")), f"{out}/a/network-expansion.geojson")
+    assert (tmp_path / "out" / "a" / "network-expansion.geojson").read_text() == before
