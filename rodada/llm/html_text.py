@@ -5,10 +5,15 @@ A page becomes a small DOM. For every node: characters per tag, adjusted by the
 them. The node with the largest sum holds the article. The smallest density on the path from body to that node is the
 threshold: a link-heavy block below it is a menu, and blocks that stand farther off than beside the node need it.
 
-Menus, footers, sidebars, forms, scripts and hidden elements are known by their tags and aren't counted. Class and role
-names that speak of adverts, notices, sidebars or comments only count against a block that holds the smaller part of
-the page's text (or is a single block, and not nearly all of it) and isn't a heading; ids only against a block that
-density doubts (link-heavy, or below half the threshold). A header stays if it has a heading and stands in the article. No name decides about what holds the node.
+Blocks beside the path stay if they reach the threshold, wherever they stand; below it, only what stands beside the
+node or holds a heading inside the outermost block of the path stays.
+
+Menus, footers, sidebars, scripts and hidden elements are known by their tags and aren't counted, nor is a form that
+holds the smaller part of the page's text. Class and role names that speak of adverts, notices, sidebars or comments only
+count against a block that holds the smaller part of the page's text (or is a single block, and not nearly all of it) and
+isn't a heading; ids, and names beside other words that aren't a layout's ("search algorithms"), only against a block
+that density doubts (link-heavy, or below half the threshold). A header stays if it has a heading and stands in the
+article; the header of a post or an entry is none of the site's. No name decides about what holds the node.
 
 Linear in the page's length, one page at a time, no shuffle. Broken markup is repaired like browsers do for paragraphs
 and list items; unclosed elements end with their parents.
@@ -42,14 +47,19 @@ _OTHERS = (
     "|recommend(?:ed|ations)?|widgets?|toolbar|paginat(?:ion|or)|pager|login|search|dialog|complementary|contentinfo|skip-link"
 )
 _NAMED = re.compile(rf"(?:^|[\s_-])(?:({_COMMENTS})|({_HEADERS})|({_OTHERS}))(?=$|[\s_-])", re.I)
+#: Words that say nothing beside those names; any other word makes a name doubtful.
+_NEUTRAL = frozenset(
+    "box container wrapper wrap block section area inner outer content list item items group row col column left right top bottom main global site page primary secondary link links post posts article articles story form bar panel title text body strip unit slot zone module card inline sticky fixed small large".split()
+)
+_POST_HEADER = re.compile(r"(?:^|[\s_-])(?:post|entry|article|story|chapter)[_-]?headers?(?=$|[\s_-])", re.I)
 #: What a name makes of a block; a node's kind is the largest.
-_PLAIN, _BY_ID, _HEADER, _ASIDE, _COMMENT = range(5)
+_PLAIN, _BY_ID, _FORM, _HEADER, _ASIDE, _COMMENT = range(6)
 #: The share of the page's characters from which on a name doesn't count, for blocks that hold blocks and for others.
-_MOST = {_HEADER: (0.5, 0.9), _ASIDE: (0.5, 0.9), _COMMENT: (0.9, 0.9)}
+_MOST = {_FORM: (0.5, 0.5), _HEADER: (0.5, 0.9), _ASIDE: (0.5, 0.9), _COMMENT: (0.9, 0.9)}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _RAW = frozenset("script style noscript template iframe svg textarea title select object math canvas audio video noembed noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NOISE_TAGS = frozenset("nav footer aside form button menu dialog fieldset head".split())
+_NOISE_TAGS = frozenset("nav footer aside button menu dialog fieldset head".split())
 _KEEP_TAGS = frozenset("html body article main".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -129,7 +139,7 @@ class Page:
     @staticmethod
     def _named(name: str, attrs: str) -> tuple[bool, int]:
         """(hidden, kind) by an element's tag and attributes."""
-        kind = _HEADER if name == "header" else _PLAIN
+        kind = _HEADER if name == "header" else _FORM if name == "form" else _PLAIN
         if not attrs or name in _KEEP_TAGS:
             return False, kind
         for key, *values in _ATTR.findall(attrs):
@@ -137,8 +147,10 @@ class Page:
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                 return True, kind
             if key in ("class", "id", "role") and name not in _HEADINGS:
+                value = _POST_HEADER.sub(" ", value)
+                others = [w for w in re.split(r"[\s_-]+", _NAMED.sub(" ", value).lower()) if w and w not in _NEUTRAL and not w[0].isdigit()]
                 for comment, header, _ in _NAMED.findall(value):
-                    kind = max(kind, _BY_ID if key == "id" else _COMMENT if comment else _HEADER if header else _ASIDE)
+                    kind = max(kind, _BY_ID if key == "id" or others else _COMMENT if comment else _HEADER if header else _ASIDE)
         return False, kind
 
     def _set_aside(self) -> list[bool]:
@@ -198,9 +210,10 @@ class Page:
         while k >= 0:
             path.append(k)
             k = up[k]
-        outer = ("#root", "html", "body")
+        outer, article = ("#root", "html", "body"), [False] * n
+        for k in range(1, n):
+            article[k] = article[up[k]] or self.tag[k] == "article"
         threshold = min((density[k] for k in path if self.tag[k] not in ("#root", "html")), default=0.0)
-        top = next((k for k in reversed(path) if self.tag[k] not in outer), best)
         on_path, near = set(path), {best, up[best]}
         titled = [False] * n
         for k in range(n - 1, 0, -1):
@@ -208,13 +221,15 @@ class Page:
             titled[up[k]] = titled[up[k]] or titled[k]
         inside = [False] * n
         for k in range(n):
-            if k == top or k in on_path:
-                inside[k] = top in on_path and (k == top or (k > 0 and inside[up[k]]))
+            if k in on_path:
+                inside[k] = True
                 continue
             low = density[k] < threshold
             stays = inside[up[k]] and not self.noise[k]
+            if stays and self.tag[up[k]] in outer and up[k] != best:  # outside the outermost block of the path
+                stays = self.tag[k] in _BLOCK and not low and not out[k] and chars[k] > 0
             if stays and out[k] and not out[up[k]]:  # named: only a header of the article itself stays
-                stays = self.kind[k] == _HEADER and titled[k] and up[k] in near and self.tag[up[k]] not in outer
+                stays = self.kind[k] == _HEADER and titled[k] and (up[k] in near or article[k]) and self.tag[up[k]] not in outer
             if stays and self.tag[k] in _BLOCK and not out[k]:
                 doubted = low and 2 * links[k] > chars[k] or (self.kind[k] == _BY_ID and 2 * density[k] < threshold)
                 afar = up[k] in on_path and up[k] not in near and low and not titled[k]
