@@ -43,6 +43,8 @@ LENGTH, GRAM = 200, 64
 SLICE, STRETCH = 1 << 18, 1 << 16
 PIECE = 2048
 BLOCK_BYTES = 1 << 20
+#: Copies of a leader's piece that one task writes, at most.
+FAN = 256
 
 
 def _byte_table() -> np.ndarray:
@@ -233,13 +235,27 @@ def _anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
     return source.filter(F.octet_length("text") >= length).mapInArrow(emit, f"{_KEY}, part int, h array<long>, at array<int>")
 
 
-def _search(source: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """Per block: (doc_id, th, starts array<struct<a,b>>) of repeated windows; and for hot cells rows of window hashes."""
+def fanned(pieces: DataFrame, parts: int) -> DataFrame:
+    """Leaders' pieces (block -1, n), which go to all n blocks of their cell, as a row for each block.
+
+    In two steps, so that no task writes more than FAN copies of a row: stretches of FAN blocks are dealt to tasks first.
+    """
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / FAN).cast("int"))).alias("chunk")
+    spread = pieces.select("*", chunk).repartition(parts, "cell", "chunk")
+    block = F.explode(F.sequence(F.col("chunk") * FAN, (F.least((F.col("chunk") + 1) * FAN, "n") - 1).cast("int")))
+    return spread.withColumn("block", block).drop("chunk")
+
+
+def _search(source: DataFrame, wanted: DataFrame, wide: DataFrame | None, length: int, gram: int) -> DataFrame:
+    """Per block: (doc_id, th, starts array<struct<a,b>>) of repeated windows; and for hot cells rows of window hashes.
+
+    wide has the jobs of leaders whose cells have more than FAN blocks; wanted has all others.
+    """
     reach, long_gram = length - gram, max(1, length - length // 10)
     n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("cell", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("hot", pa.bool_()), ("pivot", pa.bool_()), ("bytes", pa.binary())])
+        schema = pa.schema([("cell", pa.int64()), ("block", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("hot", pa.bool_()), ("pivot", pa.bool_()), ("bytes", pa.binary())])
         for batch in batches:
             for rows, strings in texts(batch, "text", 64):
                 out = []
@@ -250,7 +266,7 @@ def _search(source: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                         for a, b in union([(max(j["part"] * SLICE, x - reach), min(end, x + length)) for x in j["at"]]):
                             for p in range(a, max(a + 1, b - length + 1), PIECE):
                                 piece = data[p : min(b, p + PIECE + length - 1)]
-                                out += [(j["cell"], k, doc_id, th, p, j["hot"], j["pivot"], piece) for k in j["blocks"]]
+                                out.append((j["cell"], j["block"], j["n"], doc_id, th, p, j["n"] > 1, j["pivot"], piece))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -310,8 +326,12 @@ def _search(source: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                 size += len(x["bytes"]) + 1
         yield from done()
 
-    pieces = source.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]).mapInArrow(stretches, f"cell long, block int, {_KEY}, start int, hot boolean, pivot boolean, bytes binary")
-    together = pieces.repartition(n, "cell", "block").sortWithinPartitions("cell", "block")
+    cut_out = lambda jobs: source.join(jobs.hint("shuffle_hash"), ["doc_id", "th"]).mapInArrow(stretches, f"cell long, block int, n int, {_KEY}, start int, hot boolean, pivot boolean, bytes binary")
+    block = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array("block"))
+    pieces = cut_out(wanted).withColumn("block", F.explode(block))
+    if wide is not None:
+        pieces = pieces.unionByName(fanned(cut_out(wide), n))
+    together = pieces.drop("n").repartition(n, "cell", "block").sortWithinPartitions("cell", "block")
     return together.mapInArrow(search, f"{_KEY}, cell long, starts array<struct<a:int,b:int>>, open array<struct<w:binary,at:int,g:bigint>>")
 
 
@@ -352,9 +372,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     drop(mine)
     sizes = cells.groupBy("cell").agg(F.sum(F.size("at") * 90 + 2 * length).alias("bytes"))
     dealt = cells.join(sizes, "cell").withColumn("n", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
-    blocks = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "th", "part"), F.col("n")).cast("int")))
-    wanted = dealt.groupBy("doc_id", "th").agg(F.collect_list(F.struct("cell", "part", (F.col("n") > 1).alias("hot"), "pivot", blocks.alias("blocks"), "at")).alias("jobs"))
-    made = cut(_search(source, wanted, length, gram))
+    # a leader's stretch goes to all blocks of its cell (-1), any other one to its own
+    block = F.when(F.col("pivot") & (F.col("n") > 1), -1).otherwise(F.pmod(F.xxhash64("doc_id", "th", "part"), F.col("n"))).cast("int")
+    dealt = dealt.withColumn("block", block)
+    of = lambda rows: rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("cell", "part", "n", "pivot", "block", "at")).alias("jobs"))
+    fans = (F.col("block") < 0) & (F.col("n") > FAN)
+    wide = None if dealt.filter(fans).isEmpty() else of(dealt.filter(fans))
+    wanted = of(dealt.filter(~fans))
+    made = cut(_search(source, wanted, wide, length, gram))
     drop(cells)
     starts = made.select("doc_id", "th", F.explode("starts").alias("s"))
     # equal windows name equal long grams: a window of which that gram is nowhere else in the cell is alone

@@ -184,12 +184,22 @@ def limits(monkeypatch):
 
 @pytest.mark.parametrize(("block", "size", "stretch"), [(1 << 20, 1 << 18, 1 << 16), (600, 1 << 18, 1 << 16), (1 << 20, 500, 1 << 16), (600, 500, 300)])
 def test_removal(spark, limits, block, size, stretch):
-    limits(BLOCK_BYTES=block, SLICE=size, STRETCH=stretch)
+    limits(BLOCK_BYTES=block, SLICE=size, STRETCH=stretch, FAN=2)
     rows = _corpus(block + size, 40)
     got = sorted(tuple(r) for r in remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == _removal(rows, 200)
 
 
+def test_a_leader_of_many_blocks_is_copied_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    pieces = spark.createDataFrame([(7, -1, 100_000, b"x"), (8, -1, 300, b"y")], "cell long, block int, n int, bytes binary")
+    got = suffix_dedup.fanned(pieces, 16).withColumn("task", F.spark_partition_id())
+    counts = {r["cell"]: (r["n"], r["blocks"], r["top"], r["tasks"]) for r in got.groupBy("cell").agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks"), F.max("block").alias("top"), F.count_distinct("task").alias("tasks")).collect()}
+    assert counts[7] == (100_000, 100_000, 99_999, 16) and counts[8][:3] == (300, 300, 299) and counts[8][3] >= 1
+    assert got.groupBy("task").count().agg(F.max("count")).first()[0] < 15_000
+
+
 def test_removal_of_empty_and_repeated_rows(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, "ab" * 150, 1, ""), (1, "ab" * 150, 1, ""), (2, None, 1, ""), (3, "é" * 120, 1, ""), (4, "short", 1, "")]
