@@ -24,13 +24,13 @@ from rodada.operators.work import cut
 Scale = Column | float | str
 
 
-def _scale(cos_lat: Scale, side: str = "") -> Column | float:
+def scale(cos_lat: Scale, side: str = "") -> Column | float:
     """cos_lat as an expression over one side's columns."""
     return F.col(side + cos_lat) if isinstance(cos_lat, str) else cos_lat
 
 
 def _celled(points: DataFrame, size_m: float, cos_lat: Scale, spread: int = 0) -> DataFrame:
-    cx, cy = metre_cells(F.col("lon"), F.col("lat"), size_m, _scale(cos_lat))
+    cx, cy = metre_cells(F.col("lon"), F.col("lat"), size_m, scale(cos_lat))
     p = points.filter("lon is not null and lat is not null").withColumns({"_cx": cx, "_cy": cy})
     if spread:
         p = p.withColumn("_cx", F.explode(around(F.col("_cx"), spread))).withColumn("_cy", F.explode(around(F.col("_cy"), spread)))
@@ -43,7 +43,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, cos_lat: Sc
     same = [F.col(c).alias(f"_{c}") for c in by]
     l = _celled(left, radius_m, cos_lat).select("_cx", "_cy", *same, *(F.col(c).alias(f"l_{c}") for c in left.columns))
     r = _celled(right, radius_m, cos_lat, 1).select("_cx", "_cy", *same, *(F.col(c).alias(f"r_{c}") for c in right.columns))
-    d = planar_m(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat"), _scale(cos_lat, "l_"))
+    d = planar_m(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat"), scale(cos_lat, "l_"))
     pairs = l.join(r, keys).drop(*keys).withColumn("dist_m", d)
     return pairs.filter(F.col("dist_m") < radius_m if strict else F.col("dist_m") <= radius_m)
 
@@ -54,7 +54,7 @@ def radius_semi(left: DataFrame, right: DataFrame, radius_m: float, cos_lat: Sca
     l = _celled(left, radius_m, cos_lat).alias("l")
     r = _celled(right.select("lon", "lat", *dict.fromkeys([*by, *extra])), radius_m, cos_lat, 1).alias("r")
     same = reduce(lambda x, c: x & (F.col(f"l.{c}") == F.col(f"r.{c}")), by, F.lit(True))
-    near = same & (F.col("l._cx") == F.col("r._cx")) & (F.col("l._cy") == F.col("r._cy")) & (planar_m(F.col("l.lon"), F.col("l.lat"), F.col("r.lon"), F.col("r.lat"), _scale(cos_lat, "l.")) <= radius_m)
+    near = same & (F.col("l._cx") == F.col("r._cx")) & (F.col("l._cy") == F.col("r._cy")) & (planar_m(F.col("l.lon"), F.col("l.lat"), F.col("r.lon"), F.col("r.lat"), scale(cos_lat, "l.")) <= radius_m)
     return l.join(r, near, "left_anti" if anti else "left_semi").drop("_cx", "_cy")
 
 
@@ -75,7 +75,7 @@ def _axes(cos_lat: Scale, metric: str) -> dict[str, Column]:
     """Coordinates in metres whose straight-line distance grows with the metric."""
     lon, lat = F.col("lon"), F.col("lat")
     if metric == "planar":
-        return {"_a0": lon * _scale(cos_lat) * DEGREE_M, "_a1": lat * DEGREE_M}
+        return {"_a0": lon * scale(cos_lat) * DEGREE_M, "_a1": lat * DEGREE_M}
     x, y = F.radians(lon), F.radians(lat)
     return {"_a0": F.cos(y) * F.cos(x) * EARTH_M, "_a1": F.cos(y) * F.sin(x) * EARTH_M, "_a2": F.sin(y) * EARTH_M}
 
@@ -109,8 +109,8 @@ def nearest(left: DataFrame, right: DataFrame, cos_lat: Scale, most: float = 16,
     the cells whose nearest side isn't beyond the nearest of all the farthest corners.
     """
     axes, on = _axes(cos_lat, metric), [*by, "lon", "lat"]
-    place, scale = "lon is not null and lat is not null", [cos_lat] if isinstance(cos_lat, str) else []
-    there = right.filter(place).groupBy(*dict.fromkeys([*on, *scale])).agg(F.min("id").alias("near_id")).withColumns(axes)
+    place, extra = "lon is not null and lat is not null", [cos_lat] if isinstance(cos_lat, str) else []
+    there = right.filter(place).groupBy(*dict.fromkeys([*on, *extra])).agg(F.min("id").alias("near_id")).withColumns(axes)
     there = cut(there.select(*by, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), "near_id", *axes))
     divided = _divided(there, list(axes), by, most)
     none = left.select(*left.columns, F.lit(None).cast(right.schema["id"].dataType).alias("near_id"), F.lit(None).cast("double").alias("near_m"))
@@ -120,7 +120,7 @@ def nearest(left: DataFrame, right: DataFrame, cos_lat: Scale, most: float = 16,
     at = ["_level", *(f"_c{k}" for k in range(len(axes)))]
     bounds = {"_near": F.sqrt(sum(F.pow(F.greatest(F.col(f"_low{a}") - F.col(a), F.col(a) - F.col(f"_high{a}"), F.lit(0.0)), 2) for a in axes)), "_far": F.sqrt(sum(F.pow(F.greatest(F.col(f"_high{a}") - F.col(a), F.col(a) - F.col(f"_low{a}")), 2) for a in axes))}
     box = [f"_{n}{a}" for a in axes for n in ("low", "high")]
-    found = left.filter(place).select(*dict.fromkeys([*on, *scale])).distinct().withColumns(axes).withColumns({c: F.lit(0).cast("int" if c == "_level" else "long") for c in at})
+    found = left.filter(place).select(*dict.fromkeys([*on, *extra])).distinct().withColumns(axes).withColumns({c: F.lit(0).cast("int" if c == "_level" else "long") for c in at})
     # the root's place is 0 on all axes, so it is joined like any other cell
     found = found.join(F.broadcast(cells.filter("_level = 0").select(*by, *at, *box)), [*by, *at]).withColumns(bounds).drop(*box)
     sizes = {r["_level"]: r["n"] for r in cells.groupBy("_level").agg(F.count("*").alias("n")).collect()}  # a row a level
@@ -133,7 +133,7 @@ def nearest(left: DataFrame, right: DataFrame, cos_lat: Scale, most: float = 16,
         least = F.min("_far").over(Window.partitionBy(*on))
         found = inner.withColumn("_least", least).filter(F.col("_near") <= F.col("_least") * (1 + _SLACK) + _SLACK).drop("_least")
     if metric == "planar":
-        d = planar_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"), _scale(cos_lat))
+        d = planar_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"), scale(cos_lat))
     else:
         d = haversine_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
     ends = leaves.select(*by, *at, "_lon", "_lat", "near_id")

@@ -19,7 +19,7 @@ def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["edge_totals", "edge_penalty", "tag_classify", "oneway_rules", "way_length", "street_runs", "ordered_distinct", "cache_hits", "topology_type", "urban_context", "dbscan"])
+@pytest.mark.parametrize("name", ["edge_totals", "edge_penalty", "tag_classify", "oneway_rules", "way_length", "street_runs", "ordered_distinct", "cache_hits", "topology_type", "urban_context", "dbscan", "city_components", "route_compare", "upper_median", "catalog_left_join"])
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):

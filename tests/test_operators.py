@@ -96,8 +96,10 @@ def test_spatial_joins(spark):
     assert got[2] is None and got[1] is not None
 
 
-def test_dbscan_border_rule(spark):
-    for seed in (1, 4):
+@pytest.mark.parametrize("few", [4, 0])
+def test_dbscan_border_rule(spark, monkeypatch, few):
+    monkeypatch.setattr(cluster, "_FEW", few)  # 0: cells meet by nearest neighbours alone
+    for seed in (1, 4) if few else (4,):
         pts = _cloud(90, seed, 0.006)
         near = {p[0]: [q[0] for q in pts if _d(p[1:], q[1:]) <= 100] for p in pts}
         visited, clusters = set(), {}
@@ -125,6 +127,18 @@ def test_dbscan_border_rule(spark):
         assert got == clusters
 
 
+def test_dbscan_of_crowds_makes_few_pairs(spark, monkeypatch):
+    """Two crowds of 400 in one eps, and a few points between: no crowd is compared with itself or with the other."""
+    r = random.Random(3)
+    pts = [(i, -71.0 + r.random() * 0.0004, -34.0 + r.random() * 0.0004) for i in range(400)] + [(400 + i, -70.9986 + r.random() * 0.0004, -34.0 + r.random() * 0.0004) for i in range(400)] + [(900 + i, -70.9975 + 0.0004 * i, -34.0) for i in range(3)]
+    made, real = [], cluster.cut
+    monkeypatch.setattr(cluster, "cut", lambda df: made.append(out := real(df)) or out)
+    got = cluster.dbscan(spark.createDataFrame(pts, "id long, lon double, lat double"), COS, 100.0, 6).collect()
+    near = {p[0]: sum(_d(p[1:], q[1:]) <= 100 for q in pts) for p in pts}
+    assert {x["id"] for x in got if x["is_core"]} == {i for i, n in near.items() if n >= 6}
+    assert sum(near.values()) > 200_000 and max(df.count() for df in made) < 25 * 6 * len(pts)
+
+
 def test_components_with_lone_node(spark):
     nodes = spark.createDataFrame([(i, -71.24 + i * 0.001, -34.98) for i in range(1, 7)], "id long, lon double, lat double")
     folded = spark.createDataFrame([(1, 2, 500.0), (2, 3, 500.0), (4, 5, 300.0)], "a long, b long, length_m double")
