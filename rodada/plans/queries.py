@@ -101,8 +101,8 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(_folded(spark, sf_dir), fixture(spark, sf_dir, "node"))
 
 
-def _cycling_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycling_nodes(road_edges(spark, sf_dir)).withColumnRenamed("node", "id").join(fixture(spark, sf_dir, "node"), "id")
+def _cycling_points(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) -> DataFrame:
+    return graph.cycling_nodes(road_edges(spark, sf_dir) if edges is None else edges).withColumnRenamed("node", "id").join(fixture(spark, sf_dir, "node"), "id")
 
 
 # --- graph building ------------------------------------------------------------------------------------------------
@@ -202,13 +202,17 @@ _ENDS = "g_ends AS (SELECT seq, 'o' AS which, o_lon AS lon, o_lat AS lat FROM g_
 _SNAP = f"{_ENDS}, g_snap AS (SELECT p.lon, p.lat, min({{'d': {_hav('p.lon', 'p.lat', 'n.lon', 'n.lat')}, 'id': n.id}}) AS s FROM (SELECT DISTINCT lon, lat FROM g_ends) p CROSS JOIN g_node n GROUP BY p.lon, p.lat)"
 
 
+def _snapped(spark: SparkSession, sf_dir: str, most_m: float) -> DataFrame:
+    """Both ends of every request (id: seq and which), with their node."""
+    end = lambda x: F.struct(F.lit(x).alias("which"), F.col(f"{x}_lon").alias("lon"), F.col(f"{x}_lat").alias("lat"))
+    ends = fixture(spark, sf_dir, "request").select("seq", F.explode(F.array(end("o"), end("d"))).alias("e")).select(F.struct("seq", "e.which").alias("id"), "e.lon", "e.lat")
+    return routing.snap(ends, fixture(spark, sf_dir, "node"), COS_LAT, most_m)
+
+
 @query(f"WITH {ctes('node', 'request')}, {_SNAP} SELECT seq, which, s.id AS node_id, round(s.d,3) AS snap_m, s.d > 15.0 AS out_of_bounds FROM g_ends JOIN g_snap USING (lon, lat)")
 def snap_nearest(spark, sf_dir):
     """Both ends of every request."""
-    end = lambda x: F.struct(F.lit(x).alias("which"), F.col(f"{x}_lon").alias("lon"), F.col(f"{x}_lat").alias("lat"))
-    ends = fixture(spark, sf_dir, "request").select("seq", F.explode(F.array(end("o"), end("d"))).alias("e")).select(F.struct("seq", "e.which").alias("id"), "e.lon", "e.lat")
-    s = routing.snap(ends, fixture(spark, sf_dir, "node"), COS_LAT, 15.0)
-    return s.select("id.seq", "id.which", "node_id", F.round("snap_m", 3).alias("snap_m"), "out_of_bounds")
+    return _snapped(spark, sf_dir, 15.0).select("id.seq", "id.which", "node_id", F.round("snap_m", 3).alias("snap_m"), "out_of_bounds")
 
 
 _NEAR_CYC = f"EXISTS (SELECT 1 FROM g_cyc c WHERE {_planar('p.lon', 'p.lat', 'c.lon', 'c.lat')} <= 250.0)"
@@ -236,8 +240,9 @@ _BAND = "CASE WHEN d <= 250 THEN '0-250m' WHEN d <= 500 THEN '250-500m' WHEN d <
 
 @query(f"WITH {_EDGE}, {_INFRA_NODES}, {_ACC}, m AS (SELECT a.id, min({_planar('a.lon', 'a.lat', 'c.lon', 'c.lat')}) AS d FROM g_acc a CROSS JOIN g_cyc c GROUP BY a.id) SELECT {_BAND} AS band, count(*) AS nodes, round(avg(d),2) AS mean_m FROM m GROUP BY 1")
 def distance_bands(spark, sf_dir):
-    acc = graph.access_nodes(road_edges(spark, sf_dir), tags.ACCESS_HIGHWAYS).withColumnRenamed("node", "id").join(fixture(spark, sf_dir, "node"), "id")
-    d = spatial.nearest(acc, _cycling_points(spark, sf_dir), COS_LAT)
+    e = cut(road_edges(spark, sf_dir).select("u", "v", "highway", "is_cycling_infra"))
+    acc = graph.access_nodes(e, tags.ACCESS_HIGHWAYS).withColumnRenamed("node", "id").join(fixture(spark, sf_dir, "node"), "id")
+    d = spatial.nearest(acc, _cycling_points(spark, sf_dir, e), COS_LAT)
     return d.groupBy(scores.distance_band(F.col("near_m")).alias("band")).agg(F.count("*").alias("nodes"), F.round(F.avg("near_m"), 2).alias("mean_m"))
 
 
@@ -326,10 +331,8 @@ def pair_best(spark, sf_dir):
  SELECT src, dst, weight, round(dist,2) AS total FROM pair JOIN sp ON query=src AND node=dst""")
 def route_totals(spark, sf_dir):
     """Least cost and least length of every request's pair of snapped nodes."""
-    r = fixture(spark, sf_dir, "request").withColumnRenamed("seq", "id")
-    nodes = fixture(spark, sf_dir, "node")
-    side = lambda x: routing.snap(r.select("id", F.col(f"{x}_lon").alias("lon"), F.col(f"{x}_lat").alias("lat")), nodes, COS_LAT).filter("not out_of_bounds").select("id", F.col("node_id").alias(x))
-    pairs = side("o").join(side("d"), "id").select(F.col("o").alias("src"), F.col("d").alias("dst"))
+    both = _snapped(spark, sf_dir, 500.0).filter("not out_of_bounds").groupBy("id.seq").agg(*(F.max(F.when(F.col("id.which") == x, F.col("node_id"))).alias(c) for x, c in (("o", "src"), ("d", "dst"))))
+    pairs = both.filter("src is not null and dst is not null").select("src", "dst")
     return routing.shortest_routes(pairs, cut(road_edges(spark, sf_dir)), ("cost", "length_m")).select("src", "dst", "weight", F.round("total", 2).alias("total"))
 
 
