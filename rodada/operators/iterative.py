@@ -124,28 +124,45 @@ def near_paths(out: dict[int, list[tuple[int, float]]], start: int, cap: float)
     return done
 
 
-def bounded_paths(edges: DataFrame, sources: DataFrame, cap: float, targets: DataFrame | None = None, small: int = SMALL) -> DataFrame:
-    """Cheapest paths from each source: (query, node, dist, path), dist <= cap.
+def near_distances(out: dict[int, list[tuple[int, float]]], start: int, cap: float) -> dict[int, float]:
+    """node -> distance of all that start reaches within cap."""
+    best, heap, done = {start: 0.0}, [(0.0, start)], {}
+    while heap:
+        d, node = heapq.heappop(heap)
+        if node in done:
+            continue
+        done[node] = d
+        for to, w in out.get(node, ()):
+            if to not in done and (far := round(d + w, 6)) <= cap and far < best.get(to, float("inf")):
+                best[to] = far
+                heapq.heappush(heap, (far, to))
+    return done
+
+
+def bounded_paths(edges: DataFrame, sources: DataFrame, cap: float, targets: DataFrame | None = None, small: int = SMALL, paths: bool = True) -> DataFrame:
+    """Cheapest paths from each source: (query, node, dist, path), dist <= cap; without path, and with less work, if not paths.
 
     edges: (u, v, w) with w > 0. sources: (query, node). A graph of up to `small` edges is broadcast and each source is
     searched in the task that has it. Otherwise the frontier is relaxed: each round joins what improved with the edges,
     so a round's shuffle is the frontier and not the whole state; all queries run in the same rounds, until nothing
     improves. Ties go to the lexicographically smaller path. targets (query, node) only selects rows at the end.
     """
+    if not paths and edges.count() > small:
+        return bounded_paths(edges, sources, cap, targets, small).drop("path")
     wanted = None if targets is None else targets.select("query", "node").distinct()
     graph = broadcast_graph(edges, "u", "v", ("w",), small)
     if graph is not None:
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out, kinds = None, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+            out, kinds = None, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))[: 4 if paths else 3]
             for batch in batches:
                 out = adjacency(graph.value) if out is None else out
                 for query, node in zip(batch.column("query").to_pylist(), batch.column("node").to_pylist(), strict=True):
-                    rows = [(query, n, d, path) for n, (d, path) in near_paths(out, node, cap).items()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["query", "node", "dist", "path"])
+                    rows = [(query, n, d, path) for n, (d, path) in near_paths(out, node, cap).items()] if paths else [(query, n, d) for n, d in near_distances(out, node, cap).items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["query", "node", "dist", "path"][: len(kinds)])
 
         spread = sources.select(F.col("query").cast("long"), F.col("node").cast("long")).distinct().repartition("query")
-        found = spread.mapInArrow(search, "query long, node long, dist double, path array<long>")
+        found = spread.mapInArrow(search, "query long, node long, dist double" + (", path array<long>" if paths else ""))
         return found if wanted is None else found.join(wanted, ["query", "node"], "left_semi")
     start = sources.select("query", "node").distinct().select("query", "node", F.lit(0.0).alias("dist"), F.array("node").alias("path"))
     state = frontier = cut(start)

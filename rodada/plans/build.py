@@ -15,7 +15,7 @@ from rodada.operators.graph import access_nodes, cycling_nodes
 from rodada.operators.pois import deduplicate_pois, parse_pois
 from rodada.operators.work import cut
 from rodada.plans.catalog import enabled_cities, od_pairs
-from rodada.plans.reports import city_document, expansion_totals, suggested_routes, with_expansion
+from rodada.plans.reports import city_document, component_totals, expansion_totals, gap_totals, layer_totals, suggested_routes, with_expansion
 from rodada.plans.service import city_graph
 from rodada.plans.stack import stacked, stacked_graphs, unstacked
 from rodada.sources.osm import cycleway_scan, place_scan, read_elements, read_registry, road_scan, split_elements
@@ -36,7 +36,7 @@ def cycleway_layer(elements, city: str):
 
 
 #: What is published of a city.
-PUBLISHED = ("city", "cycling-infrastructure", "missing-connections", "suggested-routes", "network-expansion", "network-expansion.geojson")
+PUBLISHED = ("city", "cycling-infrastructure", "missing-connections", "suggested-routes", "network-expansion", *(f"{x}.geojson" for x in ("cycling-infrastructure", "missing-connections", "suggested-routes", "network-expansion")))
 
 
 def plan_city(spark: SparkSession, city: str, nodes: DataFrame, edges: DataFrame, places: DataFrame, out: str, cos_lat: float, max_phases: int = 6) -> DataFrame | None:
@@ -103,6 +103,7 @@ def build_city(spark: SparkSession, city: str, elements_path: str, out: str, cos
     row = None if registry is None else registry.filter(F.col("id") == city)
     layer = cut(cycleway_layer(elements, city))
     write_features(layer, f"{out}/{city}/cycling-infrastructure")
+    write_collection(layer, f"{out}/{city}/cycling-infrastructure.geojson", "cycling-infrastructure", layer_totals(layer), "source_id")
     nodes, ways = split_elements(road_scan(elements))
     tags = ways.select(F.col("id").alias("way_id"), "tags")
     edges = cut(graph.largest_component(cut(graph.directed_edges(graph.way_positions(ways), tags, nodes))))
@@ -115,10 +116,13 @@ def build_city(spark: SparkSession, city: str, elements_path: str, out: str, cos
     if row is not None:
         found = cut(suggested_routes(od_pairs(row), used, edges, cos_lat))
         write_features(found, f"{out}/{city}/suggested-routes")
+        write_collection(found, f"{out}/{city}/suggested-routes.geojson", "suggested-routes", F.struct(F.lit(city).alias("city")), "id")
         routes = found.count()
     comps = cut(graph.components(graph.cycling_edges(edges), used))
     ranked = cut(gaps.rank_gaps(cut(gaps.gap_candidates(edges, used, comps, cos_lat)), 10))
-    write_features(gaps.gap_features(ranked, F.lit(city)), f"{out}/{city}/missing-connections")
+    features = gaps.gap_features(ranked, F.lit(city))
+    write_features(features, f"{out}/{city}/missing-connections")
+    write_collection(features, f"{out}/{city}/missing-connections.geojson", "missing-connections", component_totals(comps).crossJoin(gap_totals(ranked)), "rank")  # one row each
     places = cut(deduplicate_pois(parse_pois(place_scan(elements)), cos_lat))
     if row is not None:
         write_city(city_document(row, layer, comps, ranked, list(PUBLISHED[1:4]), at), out, city)

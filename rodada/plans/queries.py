@@ -264,7 +264,7 @@ def sssp_bounded(spark, sf_dir):
     """From every node, as far as the search for gaps looks."""
     e = road_edges(spark, sf_dir).select("u", "v", F.col("length_m").alias("w"))
     src = fixture(spark, sf_dir, "node").select(F.col("id").alias("query"), F.col("id").alias("node"))
-    return bounded_paths(cut(e), src, 1200.0).select("query", "node", "dist")
+    return bounded_paths(cut(e), src, 1200.0, paths=False)
 
 
 _GAPS = f"""{_COMP}, e AS (SELECT g_end.id, comp, length_km, lon, lat FROM g_end JOIN g_node USING (id) WHERE length_km >= 0.2),

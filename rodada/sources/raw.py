@@ -87,7 +87,10 @@ def publish(spark: SparkSession, source: str, target: str, names: Sequence[str])
     for name in names:
         if exists(spark, f"{source}/{name}"):
             (a, a_at), (b, b_at) = _place(spark, f"{source}/{name}"), _place(spark, f"{target}/{name}")
-            b.delete(b_at, True)
-            jvm.org.apache.hadoop.fs.FileUtil.copy(a, a_at, b, b_at, False, True, conf)
+            beside = _place(spark, f"{target}/{name}.{uuid.uuid4().hex}.tmp")[1]
+            jvm.org.apache.hadoop.fs.FileUtil.copy(a, a_at, b, beside, False, True, conf)
+            b.delete(b_at, True)  # what was there goes once the new copy is whole
+            if not b.rename(beside, b_at):
+                raise OSError(f"can't put {target}/{name} in place")
             done.append(name)
     return done

@@ -35,6 +35,9 @@ def test_build_report_and_serve(spark, tmp_path):
     first = routes["route-x-01"]["properties"]
     assert first["name"] == "Ruta #01: P1 → P0" and first["origin_name"] == "P1" and first["cycling_infra_pct"] == 100.0 and first["streets"] == ["Calle 0"] and first["status"] == "ALGORITHMIC_RECOMMENDED"
     assert len(routes["route-x-03"]["geometry"]["coordinates"]) == 2 * SIDE - 1
+    documents = {r["layer"]: r for r in osm.read_layers(spark, f"{tmp_path}/public/x/*.geojson").collect()}
+    assert {k: r["feature_count"] for k, r in documents.items()} == {"cycling-infrastructure": 1, "suggested-routes": 3, "missing-connections": 0} and not list((tmp_path / "public" / "x").glob("*.tmp"))
+    assert json.loads((tmp_path / "public" / "x" / "cycling-infrastructure.geojson").read_text())["metadata"]["cycleways_count"] == 1
     city = json.loads(spark.read.text(f"{tmp_path}/public/x/city").first()["value"])
     assert city["stats"]["cycleways_count"] == 1 and city["stats"]["total_km"] == pytest.approx(0.5, abs=0.02) and city["connectivity"]["total_components"] == 1 and city["connectivity"]["main_component_pct"] == 100.0
     assert city["description"] == "Red ciclista y análisis de conectividad urbana para X, R." and city["country"] == "Chile" and len(city["presets"]) == 5

@@ -75,6 +75,8 @@ def test_bounded_paths(spark, small):
             heapq.heapify(heap)
         want |= {(s, u): d for u, d in done.items()}
     assert {k: x["dist"] for k, x in got.items()} == pytest.approx(want)
+    plain = iterative.bounded_paths(df, spark.createDataFrame([(0, 0), (3, 3)], "query long, node long"), 80.0, small=small, paths=False)
+    assert plain.columns == ["query", "node", "dist"] and {(x["query"], x["node"]): x["dist"] for x in plain.collect()} == pytest.approx(want)
     for (s, u), x in got.items():
         assert x["path"][0] == s and x["path"][-1] == u and sum(edges[p] for p in zip(x["path"], x["path"][1:])) == pytest.approx(x["dist"])
 
