@@ -297,6 +297,21 @@ def _ranked_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.rank_gaps(cut(gaps.gap_candidates(e, n, comps, COS_LAT)), 10)
 
 
+#: The gaps of three cities at once: edges between cities don't count, so no path joins components of two.
+_CITY_GAPS = _GAPS.replace(" g_edge AS MATERIALIZED (", f" {_CITY}, g_every AS MATERIALIZED (", 1).replace(", g_fold AS (", ", g_edge AS MATERIALIZED (SELECT e.* FROM g_every e JOIN g_city x ON x.id=e.u JOIN g_city y ON y.id=e.v WHERE x.city=y.city), g_fold AS (", 1)
+
+
+@query(f"""WITH RECURSIVE {_CITY_GAPS} SELECT * FROM (SELECT city, row_number() OVER (PARTITION BY city ORDER BY gap.id) AS rank, a AS node_origin, b AS node_dest, score AS priority_score, {_rounded("gap", 1)} AS gap_length_m, array_to_string(path, ',') AS path_nodes
+ FROM gap JOIN g_city ON g_city.id = gap.a) x WHERE rank <= 10""")
+def city_gaps(spark, sf_dir):
+    """The ranked gaps of three cities by one plan."""
+    n = _city_nodes(spark, sf_dir).withColumn("cos_lat", F.lit(COS_LAT))
+    e = cut(_city_edges(spark, sf_dir, n))
+    comps = cut(graph.components(graph.cycling_edges(e), n, by=("city",)))
+    g = gaps.rank_gaps(cut(gaps.gap_candidates(e, n, comps, "cos_lat", by=("city",))), 10, ("city",))
+    return g.select("city", "rank", "node_origin", "node_dest", "priority_score", "gap_length_m", F.array_join(F.col("path_nodes").cast("array<string>"), ",").alias("path_nodes"))
+
+
 @query(f"""WITH RECURSIVE {_GAPS} SELECT printf('gap-lattice-%02d', rank) AS id, concat('Oportunidad #', printf('%02d', rank), ': ', coalesce(streets[1], 'Conexión barrial')) AS name, rank, score AS priority_score, CAST(trunc({_rounded("gap", 1)}) AS INT) AS gap_length_m,
  CASE WHEN len(streets) > 0 THEN array_to_string(streets[1:3], ', ') ELSE 'Vías urbanas' END AS streets_display, len(path) AS points FROM street""")
 def geojson_feature(spark, sf_dir):
