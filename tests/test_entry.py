@@ -31,6 +31,14 @@ def test_sql_gives_the_same_rows(spark, name):
     assert show(map(tuple, df.select(*cols).collect())) == show(want)
 
 
+def test_street_runs_have_no_row_for_a_group_without_names(spark, tmp_path):
+    con, at = duckdb.connect(), f"{tmp_path}/orders.parquet"
+    con.execute(f"COPY (SELECT CAST(19 * 100 * i + g AS BIGINT) AS o_orderkey, '5-LOW' AS o_orderpriority FROM range(40) a(i), (VALUES (0), (7)) b(g)) TO '{at}' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{at}'")
+    want = con.execute(entry.oracle_sql()["street_runs"]).fetchall()
+    assert [tuple(r) for r in entry.queries()["street_runs"](spark, str(tmp_path)).collect()] == want and len(want) == 1
+
+
 def test_plan_has_six_phases_and_all_edges(spark, monkeypatch):
     import inspect
 
