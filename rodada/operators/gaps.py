@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rodada.functions.geo import haversine_m
 from rodada.functions.scores import gap_gain, gap_priority
 from rodada.functions.text import numbered, without_repeats
+from rodada.operators.cells import NEAR_NODES, node_cells
 from rodada.operators.graph import ranked
 from rodada.operators.iterative import bounded_paths, first_fit
 from rodada.operators.spatial import Scale, radius_pairs
@@ -42,9 +43,9 @@ def gap_candidates(edges: DataFrame, nodes: DataFrame, components: DataFrame, co
     by names columns of nodes and components: each group is a network of its own, with node ids that no other has.
     """
     ends = component_endpoints(components.drop(*(c for c in components.columns if c in by)), nodes.select("id", "lon", "lat", *dict.fromkeys([*by, *([cos_lat] if isinstance(cos_lat, str) else [])])))
-    pairs = endpoint_pairs(ends, cos_lat, by=by, **limits)
+    pairs = cut(endpoint_pairs(ends, cos_lat, by=by, **limits))
     roads = edges.select("u", "v", F.col("length_m").alias("w"))
-    reached = bounded_paths(roads, pairs.select(F.col("a").alias("query"), F.col("a").alias("node")), most_path_m, pairs.select(F.col("a").alias("query"), F.col("b").alias("node")))
+    reached = bounded_paths(roads, pairs.select(F.col("a").alias("query"), F.col("a").alias("node")), most_path_m, pairs.select(F.col("a").alias("query"), F.col("b").alias("node")), cells=lambda: node_cells(nodes, NEAR_NODES, tuple(by)))
     found = pairs.join(reached.select(F.col("query").alias("a"), F.col("node").alias("b"), F.col("dist").alias("gap_m"), "path"), ["a", "b"]).filter(F.col("gap_m") <= F.col("crow_m") * most_detour)
     found = found.withColumn("key", F.struct("a", "b"))
     hops = path_hops(found, edges, "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "highway"))).alias("h"), F.avg(F.coalesce("penalty_factor", F.lit(1.0))).alias("avg_penalty"))
