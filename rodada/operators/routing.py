@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -53,7 +54,8 @@ def shortest_routes(pairs: DataFrame, edges: DataFrame, weights: tuple[str, ...]
 
     A graph of up to `small` edges (the largest known city has some 65,000) is broadcast, and each task searches from
     the sources that it has, once for all destinations of a source. In a larger graph a search passes from cell to cell
-    (cells.CellSearch), so that no task holds more than one; cells (node, cell) default to stretches of ids.
+    (cells.CellSearch), so that no task holds more than one, and no farther than its destinations ask for; cells
+    (node, cell) default to stretches of ids.
     """
     asked = pairs.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct().groupBy("src").agg(F.collect_list("dst").alias("dsts"))
     schema = "src long, dst long, weight string, total double, path array<long>"
@@ -80,12 +82,49 @@ def shortest_routes(pairs: DataFrame, edges: DataFrame, weights: tuple[str, ...]
         cells = id_cells(edges.select(F.explode(F.array("u", "v")).alias("node")))
     each = edges.select("u", "v", F.explode(F.array(*(F.struct(F.lit(w).alias("graph"), F.col(w).alias("w")) for w in weights))).alias("e")).select("e.graph", "u", "v", "e.w")
     names = F.explode(F.array(*map(F.lit, weights))).alias("graph")
-    search = CellSearch(each, cells)
-    found = cut(search.run(asked.select(names, F.col("src").alias("query"), F.col("src").alias("node"))))
-    lines = search.paths(found, asked.select(names, F.col("src").alias("query"), F.col("dst").alias("node")))
+    lines = _widening(cut(each), cut(cells), cut(asked.select(names, "src", "dst")))
     return lines.select(F.col("query").alias("src"), F.col("node").alias("dst"), F.col("graph").alias("weight"), F.col("dist").alias("total"), F.reverse("path").alias("path"))
 
 
+#: First cap of searches in mean lengths of an edge, and by how much the next one is wider.
+FIRST_EDGES, WIDER = 128, 4
+
+
+def _widening(each: DataFrame, cells: DataFrame, open_: DataFrame) -> DataFrame:
+    """CellSearch.paths of all of open_ (graph, src, dst) over each (graph, u, v, w), by searches that widen until all is settled.
+
+    What a search finds within its cap is final. A pair has no route if its source has no edge that leads beyond the cap,
+    or its destination none, read backwards. So work grows with how far the destinations are, not with the graph.
+    """
+    means = each.groupBy("graph").agg(F.avg("w").alias("mean")).agg(F.max("mean")).first()  # a row a graph
+    cap, parts = FIRST_EDGES * (means[0] or 1.0), []
+    ahead = CellSearch(each, cells, cap)
+    back = CellSearch(each.select("graph", F.col("v").alias("u"), F.col("u").alias("v"), "w"), cells, cap)
+    while not open_.isEmpty():
+        ahead.cap = back.cap = cap
+        found = cut(ahead.run(open_.select("graph", F.col("src").alias("query"), F.col("src").alias("node"))))
+        parts.append(cut(ahead.paths(found, open_.select("graph", F.col("src").alias("query"), F.col("dst").alias("node")))))
+        left = cut(open_.join(parts[-1].select("graph", F.col("query").alias("src"), F.col("node").alias("dst")), ["graph", "src", "dst"], "left_anti"))
+        if left.isEmpty():
+            break
+        going = _beyond(found, ahead).withColumnRenamed("query", "src")
+        left = cut(left.join(going, ["graph", "src"], "left_semi"))
+        if left.isEmpty():
+            break
+        came = cut(back.run(left.select("graph", F.col("dst").alias("query"), F.col("dst").alias("node"))))
+        open_ = cut(left.join(_beyond(came, back).withColumnRenamed("query", "dst"), ["graph", "dst"], "left_semi"))
+        cap *= WIDER
+    if not parts:
+        return ahead.paths(ahead.run(open_.select("graph", F.col("src").alias("query"), F.col("src").alias("node"))), open_.select("graph", F.col("src").alias("query"), F.col("dst").alias("node")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _beyond(found: DataFrame, search: CellSearch) -> DataFrame:
+    """(graph, query) of searches that the cap has cut: an edge leads from what they found to a node that they didn't."""
+    over = found.select("graph", "query", F.col("node").alias("u"), "dist").join(search.edges.select("graph", "u", F.col("v").alias("node"), "w"), ["graph", "u"]).filter(F.col("dist") + F.col("w") > search.cap)
+    return over.join(found.select("graph", "query", "node"), ["graph", "query", "node"], "left_anti").select("graph", "query").distinct()
+
+
 def path_metrics(routes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Metrics of routes(key, path): distance, cycling share, cost, streets. Paths under two nodes have zeros."""
     hops = path_hops(routes.select(key, "path"), edges, key)
