@@ -98,3 +98,24 @@ def test_coverage_by_city(spark):
     access, active = expansion.points(graph.access_nodes(edges, ("residential",)), nodes), expansion.points(graph.cycling_nodes(edges), nodes)
     got = {r["city"]: (r["points"], r["covered"]) for r in expansion.coverage(access, active, "cos_lat", ("city",)).collect()}
     assert set(got) == {"a", "b"} and got["b"][0] == got["b"][1] + sum(1 for r in access.collect() if r["city"] == "b" and round((r["lat"] + 34.98) / 0.0009) >= 4 and (r["lat"] + 34.98) * 111320 > 400) and got["a"][1] < got["a"][0]
+
+
+def test_anchors_take_short_plans_and_the_closest_place(spark, monkeypatch):
+    from math import hypot
+
+    from rodada.functions.geo import DEGREE_M
+
+    nodes, edges, places = _cities(spark, _city("a", 0, 20, 0, 7), _city("b", 10_000, 18, 2, 8))
+    places = places.unionByName(spark.createDataFrame([("a", COS["a"], 900 + k, f"Lejos {k}", -70.0, -34.0) for k in range(3)], places.schema)).cache()
+    members = nodes.select("city", "cos_lat", F.when(F.col("city") == "a", 0).otherwise(10_000).cast("long").alias("cluster"), F.lit(1).cast("long").alias("rank"), "id", "lon", "lat").cache()
+    wide, real = [], expansion.cut
+    monkeypatch.setattr(expansion, "cut", lambda df: wide.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange")) or real(df))
+    got = expansion.cut(expansion.anchors(members, places, expansion.node_streets(edges))).collect()
+    assert max(wide) <= 30, wide  # a plan is held by the driver, with all that it broadcasts
+    assert sorted((r["city"], r["second"]) for r in got) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+    for r in got:
+        far = lambda p, r=r: (hypot((p["lon"] - r["lon"]) * r["cos_lat"], p["lat"] - r["lat"]) * DEGREE_M, p["id"])
+        near = min((p for p in places.collect() if p["city"] == r["city"]), key=far)
+        label = f"Sector {r['main_street']}" + (f" / {near['name']}" if far(near)[0] < 400 else "")
+        assert r["size"] == {"a": 400, "b": 324}[r["city"]] and (r["second"] or r["sector"] == label)
+    assert any(" / " in r["sector"] for r in got)
