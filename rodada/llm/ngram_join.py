@@ -33,6 +33,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heapreplace
 
@@ -46,44 +47,107 @@ from rodada.operators.iterative import connected_components
 from rodada.operators.work import cut, drop
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-CACHE = 200_000
 #: Up to so many classes are broadcast (about 64 MB), so that only their texts are shuffled; beyond, all texts are.
 BROADCAST_CLASSES = 2_000_000
+#: Bytes that are hashed at once, and the longest word that is hashed byte by byte.
+PIECE, LONG = 1 << 17, 64
+_BLANK = re.compile(rb"[ \t-\r]")
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 32:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = h
-        return h
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(by))) * np.uint64(times)
+    return x ^ (x >> np.uint64(31))
 
 
 class Shingler:
-    """A text's shingle set as a sorted array of 64-bit hashes."""
+    """Texts' shingle sets as sorted arrays of 64-bit hashes.
+
+    The words of many texts are hashed at once. With a random number for each byte value, sums of number * base^place
+    over all bytes are kept; a word's hash is the difference of two such sums, moved to place 0, mixed with its length.
+    """
 
     def __init__(self, size: int = 5):
-        self.size, self.hash = size, _WordHash()
+        self.size = size
+        base = 0x9E3779B97F4A7C15
+        places = [np.full(2 * PIECE, x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+        for p in places:
+            p[0] = 1
+        self.up, self.down = (np.multiply.accumulate(p) for p in places)
+        self.number = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(base))
+        self.blank = np.zeros(256, np.bool_)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of the words of at most 2 * PIECE bytes."""
+        import xxhash
+
+        at = np.frombuffer(data, np.uint8)
+        inside = np.zeros(len(at) + 2, np.int8)
+        inside[1:-1] = ~self.blank[at]
+        step = np.diff(inside)
+        start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        total = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(self.number[at] * self.up[: len(at)], out=total[1:])
+        length = end - start
+        h = _mixed((total[end] - total[start]) * self.down[start] + length.astype(np.uint64))
+        for k in np.flatnonzero(length > LONG).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]])
+        return start, h
+
+    def _long(self, data: bytes) -> np.ndarray:
+        """Hashes of the words of any number of bytes."""
+        import xxhash
+
+        found, at = [], 0
+        while at < len(data):
+            stop = _BLANK.search(data, at + PIECE)
+            end = stop.start() if stop else len(data)
+            if end - at <= 2 * PIECE:
+                found.append(self.words(data[at:end])[1])
+            else:  # a word as long as that
+                found += [np.array([xxhash.xxh3_64_intdigest(w)], np.uint64) if len(w) > LONG else self.words(w)[1] for w in data[at:end].split()]
+            at = end
+        return np.concatenate(found)
+
+    def _windows(self, h: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of all k neighbouring words."""
+        out = np.full(len(h) - k + 1, np.uint64(k))
+        for j in range(k):
+            out += h[j : len(h) - k + 1 + j] * (_MIX[j % 8] + np.uint64(2 * (j // 8)))
+            out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(32))
+
+    def _set(self, h: np.ndarray) -> np.ndarray:
+        return np.unique(self._windows(h, min(self.size, len(h)))) if len(h) else h
+
+    def _together(self, texts_: list[bytes]) -> Iterator[np.ndarray]:
+        """The sets of texts that are at most 2 * PIECE bytes with a blank behind each."""
+        start, h = self.words(b" ".join(texts_))
+        bounds = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts_)])).tolist()
+        wide = self._windows(h, self.size) if len(h) >= self.size else h[:0]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield np.unique(wide[a : b - self.size + 1]) if b - a >= self.size else self._set(h[a:b])
+
+    def many(self, strings: list[str | None]) -> Iterator[np.ndarray]:
+        """The set of each text, in order; none has no words."""
+        near, n = [], 0
+        for s in strings:
+            data = (s or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z and ASCII blanks
+            if near and n + len(data) + 1 > PIECE:
+                yield from self._together(near)
+                near, n = [], 0
+            if len(data) >= PIECE:
+                yield self._set(self._long(data))
+            else:
+                near.append(data)
+                n += len(data) + 1
+        if near:
+            yield from self._together(near)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z and ASCII blanks
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.hash.__getitem__, words), np.uint64, n)
-        k = min(self.size, n)
-        with np.errstate(over="ignore"):
-            out = np.full(n - k + 1, np.uint64(k))
-            for j in range(k):
-                out += h[j : n - k + 1 + j] * (_MIX[j % 8] + np.uint64(2 * (j // 8)))
-                out ^= out >> np.uint64(29)
-            out *= np.uint64(0xBF58476D1CE4E5B9)
-            out ^= out >> np.uint64(32)
-        return np.unique(out)
+        return next(self.many([text]))
 
 
 def needed(n: int, percent: int) -> int:
@@ -260,8 +324,7 @@ def _sets(docs: DataFrame, size: int, percent: int, heavy) -> DataFrame:
         for batch in batches:
             for rows, strings in texts(batch, "text"):
                 n, k1, k2, prefix, bits = [], [], [], [], []
-                for s in strings:
-                    x = shingles(s)
+                for x in shingles.many(strings):
                     n.append(len(x))
                     digest = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), "<i8")
                     k1.append(int(digest[0]))
@@ -284,7 +347,7 @@ def _frequent(docs: DataFrame, size: int, sample_docs: int, least: int, most: in
         shingles = kept(Shingler, size)
         for batch in batches:
             for _, strings in texts(batch, "text"):
-                found, n = np.unique(np.concatenate([shingles(s) for s in strings]), return_counts=True)
+                found, n = np.unique(np.concatenate(list(shingles.many(strings))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     sample = n_rows_at_most(docs, sample_docs, seed=4)
@@ -384,8 +447,8 @@ def _search_cells(docs: DataFrame, work: DataFrame, size: int, percent: int, ask
         for batch in batches:
             for rows, strings in texts(batch, "text", 128):
                 out = []
-                for s, cls, jobs in zip(strings, rows.column("cls").to_pylist(), rows.column("jobs").to_pylist(), strict=True):
-                    members = shingles(s).tobytes()
+                for x, cls, jobs in zip(shingles.many(strings), rows.column("cls").to_pylist(), rows.column("jobs").to_pylist(), strict=True):
+                    members = x.tobytes()
                     out += [(j["lead"], j["block"], j["portion"], j["asked"], cls, members) for j in jobs]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)

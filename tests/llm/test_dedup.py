@@ -239,3 +239,19 @@ def test_anchors_and_pieces():
     pieces = list(joined([(0, text[:3000]), (2500, text[2500:7000]), (9, text[9:40])], 200))
     starts = [at + k for at, p in pieces for k in range(len(p) - 199)]
     assert starts == list(range(7000 - 199)) and all(text[at : at + len(p)] == p for at, p in pieces)
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    from rodada.llm.ngram_join import PIECE
+
+    r = random.Random(11)
+    strings = [None, "", " \n", "a", "A b\x0bc", "é ü z q w e r", "x" * 70, "y" * (3 * PIECE) + " b c d e f " + "w " * PIECE, "q" * (PIECE - 1), "q" * PIECE, ("ab cd " * PIECE)[: 2 * PIECE + 5]]
+    strings += [" ".join(r.choice(["al", "be", "ga", "x" * 66]) for _ in range(r.randrange(9))) for _ in range(100)]
+    seen = {}
+    for s, got in zip(strings, Shingler().many(strings), strict=True):
+        words = (s or "").encode().lower().split()
+        k = min(5, len(words))
+        want = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+        assert len(want) == len(got) and np.array_equal(got, Shingler()(s)) and np.array_equal(got, np.unique(got))
+        assert seen.setdefault(frozenset(want), got.tobytes()) == got.tobytes()
+    assert len(set(seen.values())) == len(seen)
