@@ -67,7 +67,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: token ids of what is left, and the digest of their decoding."""
-    return round_trip(docs, tokenizer_path(), with_text=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return round_trip(docs, tokenizer_path(), with_ids=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

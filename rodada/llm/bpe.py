@@ -254,9 +254,10 @@ class Bpe:
         yield state.decode(b"", True)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded with with_text) of each document."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else "")
+def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids with with_ids; ids, decoded with with_text) of each document."""
+    with_ids |= with_text
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept(Bpe, tokenizer_path)
@@ -269,11 +270,12 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                     text, whole = hashlib.sha256(), []
                     for part in bpe.decode(ids):
                         text.update(part.encode())
-                        whole.append(part)
+                        if with_text:
+                            whole.append(part)
                     digest = hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest()
-                    out.append((len(ids), digest, text.hexdigest()) + ((ids, "".join(whole)) if with_text else ()))
+                    out.append((len(ids), digest, text.hexdigest()) + ((ids,) if with_ids else ()) + (("".join(whole),) if with_text else ()))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-                names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if with_text else 3]
+                names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 3 + with_ids + with_text]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False))], names=["doc_id", *names])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(code, schema)

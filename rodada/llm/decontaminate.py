@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rodada.llm.common import texts
+from rodada.llm.common import release, texts
 from rodada.operators.work import cut
 
 #: Separator bytes of the contract become spaces; bytes.lower() changes A-Z alone.
@@ -121,6 +121,7 @@ def _search(found: DataFrame, shared, window: int) -> DataFrame:
     span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         searchers = [WuManber(p, m) for m, p in sorted(patterns_of(shared.value, window).items())]
         for batch in batches:
             for rows, strings in texts(batch, "text"):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rodada.llm.common import texts
+from rodada.llm.common import release, texts
 
 #: More than there are languages with a code; what is broadcast is bounded by top * 24 bytes for each.
 MAX_LANGUAGES = 10_000
@@ -113,6 +113,7 @@ def learn(docs: DataFrame, top: int = 300, n_max: int = 3, train_docs: int = 300
     sample = some.withColumn("place", place).filter(F.col("place") <= train_docs)  # rows that share an id come together
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for rows, strings in texts(batch, "text", 64):  # a slice's n-grams are held at once
                 held: dict[str, list] = {}
@@ -138,6 +139,7 @@ def identify(docs: DataFrame, profiles: Profiles, n_max: int = 3, text_col: str
     source = docs.select(*dict.fromkeys([text_col, *keep]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         p = shared.value
         for batch in batches:
             for rows, strings in texts(batch, text_col):

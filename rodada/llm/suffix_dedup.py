@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rodada.llm.common import texts
+from rodada.llm.common import release, texts
 from rodada.operators.work import cut, drop
 
 LENGTH, GRAM = 200, 64
@@ -222,6 +222,7 @@ _KEY = "doc_id long, th long"
 
 def _anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for rows, strings in texts(batch, "text", 64):
                 for k, s in enumerate(strings):

@@ -1,8 +1,12 @@
 """The pipeline's stages on a small corpus whose outcome is known."""
 
 import random
+import weakref
+
+import pyarrow as pa
 
 import corpus_pipeline
+from rodada.llm.common import kept, release
 from rodada.operators.work import cut
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -56,3 +60,32 @@ def test_rows_that_share_a_doc_id_keep_their_texts(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     got = sorted(x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == [*range(20), 50, 50, 60]
+
+
+def test_stages_that_keep_nothing_free_the_workers(spark):
+    def held(batches):
+        from rodada.llm import common
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._KEPT)] * batch.num_rows, pa.int64())], names=["n"])
+
+    most = lambda: spark.range(64).repartition(64).mapInArrow(held, "n long").groupBy().max("n").first()[0]
+    docs = spark.range(64).repartition(64).selectExpr("id AS doc_id", "concat('these are words ', id) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    got = corpus_pipeline.tokens(spark, docs, "")
+    assert got.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    assert all(len(x["ids"]) == x["n_tokens"] for x in got.collect()) and most() == 1
+    assert len(corpus_pipeline.language(spark, docs, "").collect()) == 64
+    assert most() == 0
+
+
+def test_what_a_worker_gave_up_is_freed_at_once():
+    class Circle:
+        def __init__(self, name):
+            self.name, self.me = name, self
+
+    a = weakref.ref(kept(Circle, "a"))
+    assert kept(Circle, "a") is a()
+    b = weakref.ref(kept(Circle, "b"))
+    assert a() is None and b().name == "b"
+    release()
+    assert b() is None
