@@ -119,3 +119,13 @@ def test_anchors_take_short_plans_and_the_closest_place(spark, monkeypatch):
         label = f"Sector {r['main_street']}" + (f" / {near['name']}" if far(near)[0] < 400 else "")
         assert r["size"] == {"a": 400, "b": 324}[r["city"]] and (r["second"] or r["sector"] == label)
     assert any(" / " in r["sector"] for r in got)
+
+
+def test_a_phase_takes_short_plans_and_gives_back_what_they_held(spark, monkeypatch):
+    nodes, edges, places = _cities(spark, _city("a", 0, 14, 0, 1))
+    wide, freed, real = [], [], expansion.cut
+    monkeypatch.setattr(expansion, "cut", lambda df: wide.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange")) or real(df))
+    monkeypatch.setattr(expansion, "free", lambda session: freed.append(len(wide)), raising=False)
+    phases = plan_cities(nodes, edges, places, 2, 6).collect()
+    assert len(phases) == 2 and len(freed) == 2
+    assert max(wide) <= 16, wide
